@@ -16,6 +16,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: The modules that register queries.
 MODULES = (
+    "language_id",
     "quality_rules",
 )
 
