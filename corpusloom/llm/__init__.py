@@ -17,6 +17,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: The modules that register queries.
 MODULES = (
     "language_id",
+    "substring_dedup",
     "packing",
     "fingerprints",
     "quality_rules",

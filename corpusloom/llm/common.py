@@ -68,3 +68,19 @@ def arrow_type(df: DataFrame, name: str):
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(df.schema[name].dataType)
+
+
+#: Bits of the reducer below: 1 MB, whatever the data.
+REDUCER_BITS = 1 << 23
+
+
+def reduced(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df that may have a key of `keys`, found without a shuffle of df.
+
+    A bitmap of REDUCER_BITS hashed keys is broadcast, as at most REDUCER_BITS / 64 rows. Rows that it
+    lets pass by chance are harmless before a join; with very many keys it lets all pass.
+    """
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(REDUCER_BITS))
+    words = keys.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("b") % 64).cast("int"))).alias("_bits"))
+    marked = df.withColumn("_word", F.floor(bit / 64)).join(F.broadcast(words), "_word")
+    return marked.where(F.call_function("shiftrightunsigned", F.col("_bits"), (bit % 64).cast("int")) % 2 != 0).drop("_word", "_bits")
