@@ -22,6 +22,7 @@ MODULES = (
     "fingerprints",
     "quality_rules",
     "byte_bpe",
+    "ngram_join",
 )
 
 
