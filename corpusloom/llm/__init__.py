@@ -18,6 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MODULES = (
     "language_id",
     "substring_dedup",
+    "quality_classifier",
     "packing",
     "fingerprints",
     "quality_rules",
