@@ -21,6 +21,7 @@ MODULES = (
     "quality_classifier",
     "packing",
     "fingerprints",
+    "chat_format",
     "quality_rules",
     "byte_bpe",
     "ngram_join",
