@@ -24,6 +24,7 @@ MODULES = (
     "chat_format",
     "quality_rules",
     "byte_bpe",
+    "lm_scoring",
     "ngram_join",
 )
 
