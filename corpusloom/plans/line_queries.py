@@ -164,7 +164,7 @@ def collapse_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Put in front of a text, and what becomes of it.
-ODD, EVEN = "efﬁx​y\u0001 a⎛bc ½… Ａ|", "effixy a b c 1⁄2... A|"
+ODD, EVEN = "ef\ufb01x\u200by\u0001 a\u239bb\uf8f1c \u00bd\u2026 \uff21|", "effixy a b c 1\u20442... A|"
 
 
 @query("unicode_normalize", f"SELECT doc_id, {S.text(EVEN)} || text AS text FROM documents")
