@@ -11,7 +11,6 @@ slices between starts feed pair merging, whose results are cached by slice.
 from __future__ import annotations
 
 import base64
-import contextlib
 import hashlib
 import sys
 import unicodedata
@@ -19,6 +18,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import prepare, read
@@ -39,21 +39,18 @@ def class_table() -> np.ndarray:
     """The class of every code point, from its general category.
 
     Python's tables may be of an older Unicode version than tiktoken's; what is unassigned in them is
-    looked up in tiktoken's, where it is installed.
+    looked up in tiktoken's.
     """
     by = {"L": LETTER, "N": NUMBER}
     category = unicodedata.category
     white = {"Zs", "Zl", "Zp"}
     kinds = [category(chr(i)) for i in range(sys.maxunicode + 1)]
     table = np.fromiter((WHITE if c in white else by.get(c[0], OTHER) for c in kinds), np.uint8, sys.maxunicode + 1)
-    with contextlib.suppress(ImportError):
-        import tiktoken
-
-        unassigned = "".join(chr(i) for i, c in enumerate(kinds) if c == "Cn")
-        single = {bytes([i]): i for i in range(256)}
-        for name, k in by.items():
-            newer = tiktoken.Encoding(f"category-{name}", pat_str=rf"\p{{{name}}}", mergeable_ranks=single, special_tokens={})
-            table[[ord(x) for x in bytes(newer.encode_ordinary(unassigned)).decode()]] = k
+    unassigned = "".join(chr(i) for i, c in enumerate(kinds) if c == "Cn")
+    single = {bytes([i]): i for i in range(256)}
+    for name, k in by.items():
+        newer = tiktoken.Encoding(f"category-{name}", pat_str=rf"\p{{{name}}}", mergeable_ranks=single, special_tokens={})
+        table[[ord(x) for x in bytes(newer.encode_ordinary(unassigned)).decode()]] = k
     table[list(WHITE_CONTROLS)] = WHITE
     table[ord(" ")] = SPACE
     table[ord("'")] = APOSTROPHE
