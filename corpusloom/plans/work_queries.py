@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import AcquireConfig
@@ -17,6 +17,7 @@ from corpusloom.sources.state import remaining_today, valid_ids
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 CONFIG = AcquireConfig()
+RANGES = 1024
 
 
 def query(name: str, sql: str | None):
@@ -198,8 +199,8 @@ def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each day's state file would leave on the last day."""
     s = _downloads(spark, sf_dir).groupBy("day").agg(F.count("*").alias("downloads"))
-    last = s.agg(F.max("day").alias("today"))
-    return s.crossJoin(F.broadcast(last)).select("day", remaining_today(F.col("day"), F.col("downloads"), F.col("today"), CONFIG.max_per_day).cast("bigint").alias("remaining"))
+    today = s.agg(F.max("day")).first()[0]
+    return s.select("day", remaining_today(F.col("day"), F.col("downloads"), F.lit(today), CONFIG.max_per_day).cast("bigint").alias("remaining"))
 
 
 @query("run_totals", f"WITH {_DOWNLOADS} SELECT count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed FROM d")
@@ -214,15 +215,14 @@ def result_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("batch_progress", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS index, (SELECT count(*) FROM documents) AS total FROM documents")
 def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of each document in its batch, by ranks within ranges of ids, so that no task numbers all."""
-    ids = K.table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 1000).alias("range"))
-    from pyspark.sql import Window
-
-    sizes = ids.groupBy("range").count()
+    """Place of each document in its batch, by ranks within RANGES ranges of ids, so that no task numbers all."""
+    ids = K.table(spark, sf_dir, "documents").select("doc_id")
+    total, low, high = ids.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    ids = ids.withColumn("range", F.floor((F.col("doc_id") - F.lit(low)) * RANGES / F.lit((high or 0) - (low or 0) + 1)))
+    sizes = ids.groupBy("range").count()  # RANGES rows at most
     before = sizes.select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("before"))
-    total = sizes.agg(F.sum("count").alias("total"))
     place = F.row_number().over(Window.partitionBy("range").orderBy("doc_id"))
-    return ids.withColumn("place", place).join(before, "range").crossJoin(F.broadcast(total)).select("doc_id", (F.col("before") + F.col("place")).alias("index"), "total")
+    return ids.withColumn("place", place).join(before, "range").select("doc_id", (F.col("before") + F.col("place")).alias("index"), F.lit(total).cast("bigint").alias("total"))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
