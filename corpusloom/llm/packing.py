@@ -12,6 +12,8 @@ bucket of pieces, so that no task numbers all pieces of a length.
 from __future__ import annotations
 
 import bisect
+import itertools
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,49 +30,90 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of a length are numbered by so many buckets.
 BUCKETS = 64
-CACHE_WORDS = 400_000
-#: Characters of words encoded at a time.
-CHUNK = 1 << 18
+#: Words that a Python worker keeps the ids of, at most; words looked up at a time.
+CACHE_WORDS, PART_WORDS = 500_000, 32_768
+
+
+#: A run of letters and the marks behind it, which the tokenizer takes apart.
+LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?%&$#*|-]*)")
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer file that drops white space and never looks across it, so words' ids are kept."""
+    """Ids of texts by a tokenizer that drops case and white space and never looks across white space.
+
+    So the ids of words between ASCII white space are kept. Of a word of Latin letters, with marks behind
+    it or not, the letters in lower case and the marks are looked up each by itself, which far fewer
+    different ones need; letters not met before are encoded many at once.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Runs of letters: each is one pre-token, whose last id alone ends a word."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(part) else self._encode(part)
+        return out
 
     def learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for kept in (self.words, self.parts):
+            if len(kept) > CACHE_WORDS:  # the first that were met are the frequent ones
+                first = list(itertools.islice(kept.items(), CACHE_WORDS // 4))
+                kept.clear()
+                kept.update(first)
+        split, whole = [], []
+        for w in words:
+            m = LETTERS_THEN_MARKS.fullmatch(w)
+            if m and m[1].isalpha() and max(w) < "\u0100":
+                split.append((w, m[1].lower(), m[2]))
+            else:
+                whole.append(w)
+        self.words.update(zip(whole, self._encode(whole)))
+        new = list({x for _, x, _ in split}.difference(self.parts))
+        self.parts.update(zip(new, self._encode_letters(new)))
+        marks = list({x for _, _, x in split if x}.difference(self.parts))
+        self.parts.update(zip(marks, self._encode(marks)))
+        for w, letters, mark in split:
+            self.words[w] = self.parts[letters] + self.parts[mark] if mark else self.parts[letters]
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids without special tokens; strings of special tokens in the text are ordinary text."""
-        out = []
-        words = ascii_words(text or "")
-        for at in range(0, len(words), CHUNK // 8):
-            part = words[at : at + CHUNK // 8]
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            new = list(set(part).difference(self.known))
+        out: list[bytes] = []
+        words = (text or "").encode().split()
+        for at in range(0, len(words), PART_WORDS):
+            part = b" ".join(words[at : at + PART_WORDS]).decode().split(" ")
+            new = set(part).difference(self.words)
             if new:
-                self.learn(new)
-            out += map(self.known.__getitem__, part)
+                self.learn(list(new))
+                if not self.words.keys() >= set(part):  # some were dropped to make room
+                    self.learn(list(set(part).difference(self.words)))
+            out += map(self.words.__getitem__, part)
         return np.frombuffer(b"".join(out), "<u4")
 
 
-def ascii_words(text: str) -> list[str]:
-    """The text split at ASCII white space."""
-    return [x.decode() for x in text.encode().split()]
-
-
 def pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, with_ids: bool) -> DataFrame:
     """Of each row its pieces: id, piece, start, length, ids_crc32, _row (unique), and ids if asked for."""
     spark = df.sparkSession
     prepare(spark)
+    with open(vocabulary, encoding="utf-8") as f:
+        # a worker keeps the tokenizer, with the words that it has met, between its tasks
+        sent = spark.sparkContext.broadcast({"definition": f.read()})
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         import os
@@ -78,7 +121,10 @@ def pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = WordTokenizer(vocabulary)
+        kept = sent.value
+        if "tokenizer" not in kept:
+            kept["tokenizer"] = WordTokenizer(kept["definition"])
+        tokenizer = kept["tokenizer"]
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             at, columns = [], ([], [], [], [], [], [])
