@@ -133,16 +133,17 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     scanned = stage(_scan(docs, "id", "text", lengths[0], lengths[1]), "scanned")
     long = scanned.where((F.col("n_words") >= lengths[1]) & F.col("id").isNotNull())
-    firsts = long.groupBy("full_sha256").agg(F.min("id").alias("_first"))
+    # staged, as are `repeated` and `owners` below, so that a join's two sides are plain shuffles, of which Spark splits hot keys
+    firsts = stage(long.groupBy("full_sha256").agg(F.min("id").alias("_first")), "firsts")
     every = stage(scanned.drop("anchors").join(firsts, "full_sha256", "left").select("id", "n_words", "full_sha256", F.coalesce((F.col("n_words") >= window) & (F.col("id") > F.col("_first")), F.lit(False)).alias("copy")), "every")
     judged = long.join(firsts, "full_sha256").where(F.col("id") == F.col("_first")).select("id", F.explode("anchors").alias("anchor"))
-    repeated = judged.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
+    repeated = stage(judged.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"), "repeated")
     marks = stage(judged.join(repeated, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("marks")), "marks")
     texts = reduced(docs.where(F.col("text").isNotNull()), marks, "id").join(marks, "id")
     texts = stage(texts.withColumn("_row", F.monotonically_increasing_id()), "texts")
     for length in lengths[1:]:
         at = _candidates(texts, lengths[0], lengths[1], length)
-        owners = at.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+        owners = stage(at.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b"), f"owners-{length}")
         kept = at.join(owners, ["h1", "h2"])
         if length == window:
             kept = kept.where(F.col("id") > F.col("a"))
