@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read
+from corpusloom.llm.common import parts, read
 
 BEGIN, END, SYSTEM, NOBODY = "<|im_start|>", "<|im_end|>\n", "system", "unknown"
+ASSISTANT, NAMED = "assistant", "user name="
 #: Turn numbers of a block.
 TURNS = 64
 
@@ -29,32 +30,48 @@ def perspectives(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     null speaker is `unknown`, a null text empty, a null conversation one of its own; repeated rows are
     turns each. Other columns are not read.
     """
-    turns = df.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit(NOBODY)).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    who = turns.where(F.col("role") != SYSTEM).select(F.col("_conv").alias("_c"), F.col("role").alias("perspective")).distinct()
-    rows = turns.join(who, F.col("_conv").eqNullSafe(F.col("_c"))).drop("_c")
-    own = F.col("role") == F.col("perspective")
-    speaker = F.when(F.col("role") == SYSTEM, F.lit(SYSTEM)).when(own, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), F.col("role")))
-    rows = rows.withColumn("_head", F.concat(F.lit(BEGIN), speaker, F.lit("\n")))
-    rows = rows.withColumn("segment", F.concat("_head", "_text", F.lit(END))).withColumn("length", F.length("segment").cast("bigint"))
-    rows = rows.withColumn("_block", F.floor(F.coalesce(F.col("turn").cast("bigint"), F.lit(-(2**62))) / TURNS))
-    inside = Window.partitionBy("_conv", "perspective", "_block").orderBy(F.col("turn").asc_nulls_first(), "role", "_text")
-    before = Window.partitionBy("_conv", "perspective").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("_conv", "perspective", "_block").agg(F.sum("length").alias("_chars"), F.count("*").alias("_turns"))
-    blocks = blocks.select(F.col("_conv").alias("_c"), F.col("perspective").alias("_p"), F.col("_block").alias("_b"), F.coalesce(F.sum("_chars").over(before), F.lit(0)).alias("_chars"), F.coalesce(F.sum("_turns").over(before), F.lit(0)).alias("_turns"))
-    rows = rows.withColumn("_seq", F.row_number().over(inside) - 1).withColumn("_start", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
-    rows = rows.join(blocks, F.col("_conv").eqNullSafe(F.col("_c")) & (F.col("perspective") == F.col("_p")) & (F.col("_block") == F.col("_b")))
-    start = F.col("_chars") + F.col("_start")
+    n = parts(df)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    role = F.coalesce(F.col(role_col), F.lit(NOBODY))
+    named = F.when(role == SYSTEM, role).otherwise(F.concat(F.lit(NAMED), role))
+    # a turn's length if another speaks for the assistant; the assistant's name makes it longer or shorter
+    size = (F.length(named) + F.length(text) + len(BEGIN) + 1 + len(END)).cast("bigint")
+    block = F.floor(F.coalesce(F.col(turn_col).cast("bigint"), F.lit(-(2**62))) / TURNS)
+    key = F.coalesce(F.col(conv_col).cast("string"), F.lit("\0"))
+    turns = df.select(F.col(conv_col).alias("_conv"), key.alias("_key"), block.alias("_block"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("_text"), size.alias("_size"))
+
+    # what stands before a block: characters and turns, and turns of each participant
+    sums = turns.groupBy("_key", "_block", "role").agg(F.sum("_size").alias("chars"), F.count("*").alias("turns"))
+    before = lambda *by: Window.partitionBy("_key", *by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.groupBy("_key", "_block").agg(F.sum("chars").alias("chars"), F.sum("turns").alias("turns"))
+    blocks = blocks.select("_key", "_block", F.coalesce(F.sum("chars").over(before()), F.lit(0)).alias("_chars"), F.coalesce(F.sum("turns").over(before()), F.lit(0)).alias("_turns"))
+    who = sums.where(F.col("role") != SYSTEM).select("_key", F.col("role").alias("perspective")).distinct()
+    own = sums.select("_key", "_block", F.col("role").alias("perspective"), "turns")
+    places = blocks.join(who, "_key").join(own, ["_key", "_block", "perspective"], "left")
+    places = places.withColumn("_own", F.coalesce(F.sum("turns").over(before("perspective")), F.lit(0))).drop("turns")
+
+    # texts are shuffled once; the windows and the join find them dealt by block
+    inside = Window.partitionBy("_key", "_block").orderBy(F.col("turn").asc_nulls_first(), "role", "_text")
+    rows = turns.repartition(n, "_key", "_block").withColumn("_seq", F.row_number().over(inside) - 1)
+    rows = rows.withColumn("_start", F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
+    rows = rows.join(places, ["_key", "_block"])
+    mine = F.col("role") == F.col("perspective")
+    earlier = F.sum(mine.cast("bigint")).over(Window.partitionBy("_key", "_block", "perspective").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)) - mine.cast("bigint")
+    change = F.lit(len(ASSISTANT) - len(NAMED)) - F.length("perspective")
+    start = F.col("_chars") + F.col("_start") + (F.col("_own") + earlier) * change
+    speaker = F.when(F.col("role") == SYSTEM, F.lit(SYSTEM)).when(mine, F.lit(ASSISTANT)).otherwise(F.concat(F.lit(NAMED), F.col("role")))
+    rows = rows.withColumn("start", start).withColumn("_head", F.concat(F.lit(BEGIN), speaker, F.lit("\n"))).withColumn("length", F.col("_size") + F.when(mine, change).otherwise(0))
     return rows.select(
         F.col("_conv").alias(conv_col),
         "perspective",
         (F.col("_turns") + F.col("_seq")).alias("seq"),
         "turn",
         "role",
-        "segment",
-        start.alias("start"),
+        F.concat("_head", "_text", F.lit(END)).alias("segment"),
+        "start",
         "length",
-        F.when(own, start + F.length("_head")).otherwise(start).alias("mask_start"),
-        F.when(own, F.col("length") - F.length("_head")).otherwise(F.lit(0)).cast("bigint").alias("mask_length"),
+        F.when(mine, F.col("start") + F.length("_head")).otherwise(F.col("start")).alias("mask_start"),
+        F.when(mine, F.col("length") - F.length("_head")).otherwise(F.lit(0)).cast("bigint").alias("mask_length"),
     )
 
 
