@@ -3,9 +3,9 @@
 A set of word shingles is stood for by `SIZE` min-hashes, its tokens. From a root, each run splits the sets
 recursively: at a node some tokens are sampled by a hash of the node's path, 1 / threshold of them
 expected, and every set goes to one child for each sampled token that it has. Nodes of at most LIMIT sets
-are compared by brute force. Nodes still larger at the last level are dealt into parts, each of which
-also gets some of the node's sets as pivots. As many runs are made as the target recall of a pair at the
-threshold needs. Pairs whose tokens agree enough tie sets into candidate groups; within these, every
+are compared by brute force. Nodes still larger at the last level are dealt into blocks, and every pair of
+blocks is compared: to split them further would lower the chance that a pair shares a node, which the
+number of runs is planned by. As many runs are made as the target recall of a pair at the threshold needs. Pairs whose tokens agree enough tie sets into candidate groups; within these, every
 pair's likeness is computed from the whole sets, in blocks.
 """
 
@@ -31,8 +31,8 @@ TARGET_RECALL = 0.99
 SIZE = 64
 #: Sets of a node that are compared by brute force; levels of the tree.
 LIMIT, LEVELS = 200, 3
-#: Sets that tie the parts of a node that is too large at the last level.
-PIVOTS = 8
+#: Sets, on average, of a block of a node that is too large at the last level.
+NODE_BLOCK = 2000
 #: Two sets are candidates if this much less than the threshold of their tokens agree: five standard deviations.
 SLACK = 0.25
 #: Shingles, and sets, of a block of a candidate group, on average.
@@ -166,17 +166,50 @@ def least_connected(near: np.ndarray) -> np.ndarray:
         label = new
 
 
+def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many tokens each set at `left` has in common with each at `right`."""
+    if len(left) <= SIZE:
+        return np.stack([np.count_nonzero(right == x, axis=1) for x in left])
+    out = np.zeros((len(left), len(right)), np.uint8)
+    for a, b in zip(left.T.copy(), right.T.copy()):
+        out += a[:, None] == b
+    return out
+
+
+def least_across(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node of two sides the least left node that it is connected with; the number of left nodes if there is none."""
+    n, m = near.shape
+    left, right = np.arange(n, dtype=np.int32), np.full(m, n, np.int32)
+    while True:
+        new_right = np.where(near, left[:, None], np.int32(n)).min(0)
+        new_left = np.minimum(left, np.where(near, new_right, np.int32(n)).min(1))
+        new_left = new_left[new_left]
+        if (new_left == left).all() and (new_right == right).all():
+            return left, right
+        left, right = new_left, new_right
+
+
 def _ties(df: DataFrame, least: float) -> DataFrame:
-    """(a, b) that tie the connected sets of each node: a candidate, and the first it is connected with."""
+    """(a, b) that tie the connected sets of each pair of a node's blocks: a candidate, and the first it is connected with."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list] = ([], [])
-        for group in groups_of(batches, ["path", "part"]):
-            ids = group.column("id").to_numpy()
+        for group in groups_of(batches, ["path", "i", "j"]):
+            ids, block = (group.column(c).to_numpy() for c in ("id", "block"))
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             if len(ids) > 1:
                 signatures = _matrix(group.column("signature"))
-                near = np.stack([(signatures == x).mean(1) >= least for x in signatures])
-                first = ids[least_connected(near)]
+                if i == j:
+                    first = ids[least_connected(agreement(signatures, signatures) >= least * SIZE)]
+                else:
+                    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+                    first = ids.copy()
+                    if len(left) and len(right):
+                        of_left, of_right = least_across(agreement(signatures[left], signatures[right]) >= least * SIZE)
+                        first[left] = ids[left[of_left]]
+                        first[right] = np.append(ids[left], 0)[of_right]
+                        alone = of_right == len(left)
+                        first[right[alone]] = ids[right[alone]]
                 other = first != ids
                 out[0].extend(ids[other].tolist())
                 out[1].extend(first[other].tolist())
@@ -188,6 +221,12 @@ def _ties(df: DataFrame, least: float) -> DataFrame:
     return df.mapInArrow(run, "a bigint, b bigint")
 
 
+def in_block_pairs(df: DataFrame) -> DataFrame:
+    """Each row once for every pair (i, j) of the `blocks` that its `block` is in, i <= j."""
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    return df.withColumn("pair", F.explode(pairs)).select("*", "pair.i", "pair.j").drop("pair")
+
+
 def candidates(signed: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
     """(a, b) that tie sets (id, signature) into candidate groups, by chosen paths."""
     n = parts(signed)
@@ -203,13 +242,10 @@ def candidates(signed: DataFrame, threshold: float = THRESHOLD, recall: float =
             shared = shared.where(F.col("count") <= LIMIT)
             paths = _expand(large.join(signed.select("id", "signature"), "id"), threshold)
         leaves = shared if leaves is None else leaves.union(shared)
-    in_parts = F.ceil(F.col("count") / LIMIT)
-    dealt = leaves.withColumn("part", F.when(F.col("count") <= LIMIT, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), in_parts)))
-    # pivots: those of the least hashes, at most PIVOTS or so of a node
-    pivot = (F.col("count") > LIMIT) & (F.pmod(F.xxhash64("id", F.lit(8)), F.col("count")) < PIVOTS)
-    copies = dealt.where(pivot).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), in_parts - 1))).where(F.col("part") != F.pmod(F.xxhash64("id", F.lit(7)), in_parts))
-    rows = dealt.select("id", "path", "part").union(copies.select("id", "path", "part")).join(signed.select("id", "signature"), "id")
-    rows = rows.repartition(n, "path", "part").sortWithinPartitions("path", "part", "id").select("path", "part", "id", "signature")
+    blocks = F.when(F.col("count") <= LIMIT, F.lit(1)).otherwise(F.ceil(F.col("count") / NODE_BLOCK)).cast("int")
+    dealt = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = in_block_pairs(dealt).select("id", "path", "block", "i", "j").join(signed.select("id", "signature"), "id")
+    rows = rows.repartition(n, "path", "i", "j").sortWithinPartitions("path", "i", "j", "id").select("path", "i", "j", "block", "id", "signature")
     return _ties(rows, threshold - SLACK)
 
 
@@ -282,8 +318,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int"))
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     texts = reduced(docs, groups, "id").join(members, "id").dropDuplicates(["id"])
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    dealt = texts.withColumn("pair", F.explode(pairs)).select("root", "pair.i", "pair.j", "id", "block", "weight", "text")
+    dealt = in_block_pairs(texts).select("root", "i", "j", "id", "block", "weight", "text")
     dealt = dealt.repartition(parts(df), "root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
     links = stage(_verified(dealt, threshold, k), "links")
     classes = components(links.select(F.col("id").alias("a"), F.col("to").alias("b")))

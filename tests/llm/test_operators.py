@@ -262,6 +262,48 @@ def test_join_large_group(spark, monkeypatch):
     assert all((r.class_id, r.n_links) == (0, 89) for r in got)
 
 
+def test_join_mixed_node(spark, monkeypatch):
+    """Of nodes beyond the limit, of documents on a common form, every pair that is near is tied, by a single run."""
+    monkeypatch.setattr(ngram_join, "LIMIT", 10)
+    monkeypatch.setattr(ngram_join, "NODE_BLOCK", 40, raising=False)
+    draw = random.Random(4)
+    form = [f"form{i}" for i in range(90)]
+    docs = []
+    for i in range(200):
+        own = [f"x{i}_{k}" for k in range(70)]
+        docs.append((2 * i, " ".join([*form, *own])))
+        own[10] = own[30] = own[50] = "edit"
+        docs.append((2 * i + 1, " ".join([*form, *own])))
+    signatures = np.stack([ngram_join.tokens(ngram_join.shingles(t)) for _, t in docs])
+    members, paths = np.arange(400), np.full(400, ngram_join._root(0))
+    shared, largest = set(), 0
+    for level in range(1, ngram_join.LEVELS + 1):
+        row, paths = ngram_join.children(paths, signatures[members], 0.8)
+        members = members[row]
+        nodes = defaultdict(list)
+        for m, p in zip(members.tolist(), paths.tolist()):
+            nodes[p].append(m)
+        leaves = [x for x in nodes.values() if len(x) <= 10 or level == ngram_join.LEVELS]
+        largest = max([largest, *map(len, leaves)])
+        shared |= {(a, b) for x in leaves for a in x for b in x if a // 2 == b // 2 and a < b}
+        go = np.array([len(nodes[p]) > 10 for p in paths.tolist()])
+        members, paths = members[go], paths[go]
+    assert len(shared) > 20 and largest > 40
+    rows = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(signatures)], "id bigint, signature binary")
+    root = {r.id: r.root for r in components.components(ngram_join.candidates(rows, recall=0.1)).collect()}
+    assert [(a, b) for a, b in sorted(shared) if a not in root or root[a] != root.get(b)] == []
+
+
+def test_least_across():
+    near = np.zeros((4, 3), bool)
+    near[1, 0] = near[2, 0] = near[2, 2] = near[3, 2] = True
+    left, right = ngram_join.least_across(near)
+    assert left.tolist() == [0, 1, 1, 1] and right.tolist() == [1, 4, 1]
+    draw = np.random.default_rng(1)
+    a, b = draw.integers(0, 3, (2, 90, ngram_join.SIZE)).astype(np.uint32)
+    assert (ngram_join.agreement(a, b) == (a[:, None] == b).sum(2)).all() and (ngram_join.agreement(a[:5], b) == (a[:5, None] == b).sum(2)).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.id: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
