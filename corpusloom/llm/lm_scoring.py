@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Words whose counts are broadcast.
 HEAD = 200_000
 CLASSES = 16
-#: Words that are clustered, the frequent words that count as their neighbours, and texts looked at for it.
-CLUSTERED, NEIGHBOURS, CLUSTER_TEXTS = 4096, 64, 2000
+#: Words that are clustered, and the frequent words that count as their neighbours.
+CLUSTERED, NEIGHBOURS = 4096, 64
 #: Rows of the weight table; features of a history.
 ROWS, FEATURES = 1 << 14, 5
 RATE, STEP_TOKENS = 0.5, 4096
@@ -188,32 +189,37 @@ def _head(counts: DataFrame) -> tuple[list, int]:
     return sorted(((r[0].encode(), r[1]) for r in rows), key=lambda x: (-x[1], x[0])), least
 
 
-def _clusters(df: DataFrame, head: list) -> tuple[dict, dict]:
-    """Classes of the most frequent words by k-means on the words next to them; classes by ending."""
-    names = [w for w, _ in head[:CLUSTERED]]
-    if not names:
-        return {}, {}
+def neighbours(df: DataFrame, names: list[bytes]) -> DataFrame:
+    """w, f, n: how often the name at f is after the one at w in the texts of df, or with f beyond NEIGHBOURS before it."""
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         at = sent.value
         total = np.zeros((len(at), 2 * NEIGHBOURS), np.int64)
+        flat = total.reshape(-1)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = np.array([at.get(w, -1) for w in tokens_of(text)])
-                a, b = ids[:-1], ids[1:]
-                ok = (a >= 0) & (b >= 0)
-                a, b = a[ok], b[ok]
-                np.add.at(total, (a[b < NEIGHBOURS], b[b < NEIGHBOURS]), 1)
-                np.add.at(total, (b[a < NEIGHBOURS], a[a < NEIGHBOURS] + NEIGHBOURS), 1)
+            texts = [tokens_of(x) for x in batch.column(0).to_pylist()]
+            ids = np.fromiter(map(at.get, chain.from_iterable(texts), repeat(-1)), np.int64)
+            ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
+            ok[np.cumsum([len(x) for x in texts], dtype=np.int64)[:-1] - 1] = False  # the next text's first word is no neighbour
+            a, b = ids[:-1][ok], ids[1:][ok]
+            for w, f, place in ((a, b, 0), (b, a, NEIGHBOURS)):
+                near = f < NEIGHBOURS
+                n = np.bincount(w[near] * (2 * NEIGHBOURS) + f[near] + place)
+                flat[: len(n)] += n
         own = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.array(total[own])], names=["w", "f", "n"])
 
-    n_rows = df.count()
-    chosen = df.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < min(1.0, CLUSTER_TEXTS / max(1, n_rows)) * 1_000_000) if n_rows > CLUSTER_TEXTS else df
-    # at most CLUSTERED * 2 * NEIGHBOURS rows
-    got = chosen.mapInArrow(run, "w bigint, f bigint, n bigint").groupBy("w", "f").agg(F.sum("n").alias("n")).toPandas()
+    return df.mapInArrow(run, "w bigint, f bigint, n bigint").groupBy("w", "f").agg(F.sum("n").alias("n"))
+
+
+def _clusters(df: DataFrame, head: list) -> tuple[dict, dict]:
+    """Classes of the most frequent words by k-means on the words next to them; classes by ending."""
+    names = [w for w, _ in head[:CLUSTERED]]
+    if not names:
+        return {}, {}
+    got = neighbours(df, names).toPandas()  # at most CLUSTERED * 2 * NEIGHBOURS rows
     x = np.zeros((len(names), 2 * NEIGHBOURS))
     x[got.w, got.f] = got.n
     x = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))

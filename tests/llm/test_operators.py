@@ -215,6 +215,26 @@ def test_lm_brute_force(spark):
     assert sum(got[d].score for d in held) > sum(got[d].base_score for d in held)
 
 
+def test_lm_classes_from_all_texts(spark, monkeypatch):
+    """Neighbours are counted in every training text, however many there are."""
+    draw = random.Random(6)
+    texts = [" ".join(f"w{int(draw.paretovariate(1)) % 90}" for _ in range(draw.randint(0, 12))) for _ in range(2500)]
+    seen = []
+    whole = lm_scoring.neighbours
+    monkeypatch.setattr(lm_scoring, "neighbours", lambda df, names: seen.append((names, whole(df, names))) or seen[-1][1])
+    lm_scoring.fit(spark.createDataFrame([(x,) for x in [*texts, None]], "text string"))
+    (names, found), = seen
+    at = {w: i for i, w in enumerate(names)}
+    want: Counter = Counter()
+    for words in map(lm_scoring.tokens_of, texts):
+        for a, b in zip(words, words[1:]):
+            if at[b] < lm_scoring.NEIGHBOURS:
+                want[at[a], at[b]] += 1
+            if at[a] < lm_scoring.NEIGHBOURS:
+                want[at[b], at[a] + lm_scoring.NEIGHBOURS] += 1
+    assert {(r.w, r.f): r.n for r in found.collect()} == want
+
+
 def test_lm_is_a_distribution():
     draw = np.random.default_rng(1)
     weights = draw.normal(size=(lm_scoring.ROWS, lm_scoring.CLASSES)).astype(np.float32)
