@@ -1,4 +1,4 @@
-"""One acquisition run: quota, search hits, selection, fetching, logs."""
+"""Parts of an acquisition run: the selection of works, and fetching. Quota and logs aren't joined to them."""
 
 from __future__ import annotations
 
