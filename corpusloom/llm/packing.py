@@ -5,8 +5,8 @@ capacity, so the count of pieces by length says all that matters for packing: th
 counts, whose number doesn't grow with the data. Pieces above a third of the capacity are matched in
 pairs, each, from the longest on, with the longest that fits; at most two fit a sequence. Then smaller
 pieces, from the longest on, go where they leave the least room. The plan says of each length which
-ranks among its pieces go to which sequences at which offset. Ranks come from counts by length and a
-bucket of pieces, so that no task numbers all pieces of a length.
+ranks among its pieces go to which sequences at which offset. Tasks rank their own pieces of each length;
+where a task's ranks begin among all comes from counts by length and task, so that pieces are never sorted.
 """
 
 from __future__ import annotations
@@ -21,94 +21,106 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import prepare, read, stage
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of a length are numbered by so many buckets.
-BUCKETS = 64
-#: Words that a Python worker keeps the ids of, at most; words looked up at a time.
-CACHE_WORDS, PART_WORDS = 500_000, 32_768
-
-
-#: A run of letters and the marks behind it, which the tokenizer takes apart.
-LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?%&$#*|-]*)")
+#: Words, and parts of words, that a Python worker keeps the ids of, at most; characters looked up at a time.
+CACHE_WORDS, PART_CHARS = 400_000, 1 << 20
+#: What the tokenizer file takes as one pre-token, for text in lower case below U+0100, and the strings that it takes as one id each.
+LATIN = "a-zªµºß-öø-ÿ"
+PRE_TOKEN = re.compile(rf"[{LATIN}]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0{LATIN}0-9²³¹¼½¾]+".encode("latin-1"))
+SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+#: Lower case of the code points below U+0100; none leaves that range.
+LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
+#: The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one from U+0100 on.
+_seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: chr(b) for b in _seen} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)).difference(_seen)))}
+
+
+class _Kept(dict):
+    """Keeps what `make` makes of missing keys; of too many the first quarter stays, which the frequent ones are in."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            first = list(itertools.islice(self.items(), CACHE_WORDS // 4))
+            self.clear()
+            self.update(first)
+        found = self[key] = self.make(key)
+        return found
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops case and white space and never looks across white space.
 
-    So the ids of words between ASCII white space are kept. Of a word of Latin letters, with marks behind
-    it or not, the letters in lower case and the marks are looked up each by itself, which far fewer
-    different ones need; letters not met before are encoded many at once.
+    So the ids of words between ASCII white space are kept, in lower case. A word of code points below
+    U+0100, which no normal form changes, is cut into pre-tokens, whose ids are kept too: far fewer are
+    different. The pair merging is the tokenizer's own. Other words, and those with a special token's
+    string, are encoded by the whole tokenizer.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Runs of letters: each is one pre-token, whose last id alone ends a word."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 512):
-            part = words[at : at + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(part) else self._encode(part)
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        for kept in (self.words, self.parts):
-            if len(kept) > CACHE_WORDS:  # the first that were met are the frequent ones
-                first = list(itertools.islice(kept.items(), CACHE_WORDS // 4))
-                kept.clear()
-                kept.update(first)
-        split, whole = [], []
-        for w in words:
-            m = LETTERS_THEN_MARKS.fullmatch(w)
-            if m and m[1].isalpha() and max(w) < "\u0100":
-                split.append((w, m[1].lower(), m[2]))
+        self.model = self.tokenizer.model
+        self.chars = {i: "".join(BYTE_CHARS[b] for b in chr(i).encode()) for i in range(256)}
+        self.parts = _Kept(self._merge)
+        self.words = _Kept(lambda word: self.parts[word] if word.isalpha() else b"".join(map(self.parts.__getitem__, PRE_TOKEN.findall(word))))
+        self.whole = _Kept(lambda word: np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+
+    def _merge(self, part: bytes) -> bytes:
+        """Ids of a pre-token."""
+        return np.array([t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.chars))], "<u4").tobytes()
+
+    def _by_word(self, text: str) -> bytes:
+        """Ids of a text with words that are encoded whole."""
+        out = []
+        for word in text.encode().split():
+            if word.isascii() and not any(x in word for x in SPECIAL):
+                out.append(self.words[word.lower()])
             else:
-                whole.append(w)
-        self.words.update(zip(whole, self._encode(whole)))
-        new = list({x for _, x, _ in split}.difference(self.parts))
-        self.parts.update(zip(new, self._encode_letters(new)))
-        marks = list({x for _, _, x in split if x}.difference(self.parts))
-        self.parts.update(zip(marks, self._encode(marks)))
-        for w, letters, mark in split:
-            self.words[w] = self.parts[letters] + self.parts[mark] if mark else self.parts[letters]
+                out.append(self.whole[word])
+        return b"".join(out)
 
     def ids(self, text: str | None) -> np.ndarray:
-        """Ids without special tokens; strings of special tokens in the text are ordinary text."""
-        out: list[bytes] = []
-        words = (text or "").encode().split()
-        for at in range(0, len(words), PART_WORDS):
-            part = b" ".join(words[at : at + PART_WORDS]).decode().split(" ")
-            new = set(part).difference(self.words)
-            if new:
-                self.learn(list(new))
-                if not self.words.keys() >= set(part):  # some were dropped to make room
-                    self.learn(list(set(part).difference(self.words)))
-            out += map(self.words.__getitem__, part)
+        """Ids as of encode(add_special_tokens=False): a special token's string in the text is that token."""
+        out = []
+        for part in _cut(text or ""):
+            try:
+                raw = part.encode("latin-1")
+            except UnicodeEncodeError:
+                raw = None
+            if raw is None or any(x in raw for x in SPECIAL):
+                out.append(self._by_word(part))
+            else:
+                out.append(b"".join(map(self.words.__getitem__, raw.translate(LOWER).split())))
         return np.frombuffer(b"".join(out), "<u4")
 
 
+def _cut(text: str) -> Iterator[str]:
+    """The text in parts of about PART_CHARS characters, cut at ASCII white space."""
+    at = 0
+    while len(text) - at > PART_CHARS:
+        end = WHITE.search(text, at + PART_CHARS)
+        if end is None:
+            break
+        yield text[at : end.start()]
+        at = end.start()
+    yield text[at:] if at else text
+
+
+WHITE = re.compile(r"[\x20\x09-\x0D]")
+
+
 def pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, with_ids: bool) -> DataFrame:
-    """Of each row its pieces: id, piece, start, length, ids_crc32, _row (unique), and ids if asked for."""
+    """Of each row its pieces: id, piece, start, length, ids_crc32, _task, _at (its rank among the task's pieces of that length), and ids if asked for."""
     spark = df.sparkSession
     prepare(spark)
     with open(vocabulary, encoding="utf-8") as f:
@@ -125,23 +137,23 @@ def pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity:
         if "tokenizer" not in kept:
             kept["tokenizer"] = WordTokenizer(kept["definition"])
         tokenizer = kept["tokenizer"]
-        row = TaskContext.get().partitionId() << 33
+        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            at, columns = [], ([], [], [], [], [], [])
+            at, columns = [], ([], [], [], [], [], [], [])
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.append(tokenizer.ids(text), np.uint32(END_ID)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     at.append(i)
-                    for column, x in zip(columns, (k, start, len(own), zlib.crc32(own.tobytes()), row, own if with_ids else None)):
+                    for column, x in zip(columns, (k, start, len(own), zlib.crc32(own.tobytes()), task, seen[len(own)], own if with_ids else None)):
                         column.append(x)
-                    row += 1
+                    seen[len(own)] += 1
             arrays = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))]
             yield pa.RecordBatch.from_arrays(arrays[: len(names)], names=names)
 
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-    names = [id_col, "piece", "start", "length", "ids_crc32", "_row", *["ids"] * with_ids]
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, _row bigint" + ", ids array<int>" * with_ids
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+    names = [id_col, "piece", "start", "length", "ids_crc32", "_task", "_at", *["ids"] * with_ids]
+    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, _task int, _at bigint" + ", ids array<int>" * with_ids
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -243,21 +255,17 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
     """
     spark = df.sparkSession
     found = pieces(df, id_col, text_col, vocabulary or public_tokenizers.path("word_bpe_49k.json"), capacity, with_ids)
-    found = stage(found.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(BUCKETS)).cast("int")), "pieces")
-    # at most capacity * BUCKETS rows, whatever the data
-    counts = found.groupBy("length", "_bucket").count().orderBy("length", "_bucket").collect()
-    total, starts = defaultdict(int), []
-    for length, bucket, n in counts:
-        starts.append((length, bucket, total[length]))
-        total[length] += n
-    plan = Plan(dict(total), capacity)
-    if not starts:
-        return found.withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")}).drop("_row", "_bucket")
-    from pyspark.sql import Window
-
-    base = spark.createDataFrame(starts, "length bigint, _bucket int, _base bigint")
-    ranked = found.withColumn("_at", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_row")) - 1)
-    ranked = ranked.join(F.broadcast(base), ["length", "_bucket"]).withColumn("_rank", F.col("_base") + F.col("_at"))
+    found = stage(found, "pieces")
+    # how many pieces of a length each task made, and where its ranks among all of that length begin
+    tasks = found.groupBy("length", "_task").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = stage(tasks.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))), "tasks")
+    total = {r[0]: r[1] for r in tasks.groupBy("length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
+    if not total:
+        return found.withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")}).drop("_task", "_at")
+    plan = Plan(total, capacity)
+    # the counts grow with the tasks: never broadcast
+    ranked = found.join(tasks.drop("_n").hint("merge"), ["length", "_task"]).withColumn("_rank", F.col("_base") + F.col("_at"))
     sent = spark.sparkContext.broadcast(_by_length(plan))
 
     def place(batches):
