@@ -38,6 +38,7 @@ DRAWING_SIGNS = "Gg•·●○|"
 
 # Characters removed, and ranges replaced by a space, after compatibility normalisation.
 REMOVED_CHARS = "\u200b\u200c\u200d\ufeff\u00ad"
+CONTROL_CHARS = "".join(map(chr, [*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20)]))
 SPACED_CHARS = "".join(map(chr, [*range(0x239B, 0x23B2), *range(0xF8EE, 0xF8F5), 0xF8F9, 0xF8FA, 0xF8FB]))
 
 # Patterns.
@@ -45,6 +46,17 @@ EMAIL = r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 CORRESPONDENCE = r"\*?\s*correspond(?:ence|ing author)\s*(?:to)?\s*:"
 AUTHOR_NAME = r"\b[A-Z][a-zA-ZÀ-ÿ]+(?:\s+[A-Z]\.)?(?:\s+[A-Z][a-zA-ZÀ-ÿ]+){1,2}\b"
 CITATION = r"\[\d{1,4}(?:[-–,]\s*\d{1,4})*\]"
+PAGE_NUMBER = r"(?iU)\A(?:[-–—]?\s*\d{1,4}\s*[-–—]?|page\s+\d{1,4}|page\s+\d+\s+of\s+\d+)\z"
+ARTIFACT_SIGNS = r"\d():,;|./\\"
+RULE = r"\A[-_=~•·.]+\z"
+URL_OR_DOI = r"(?U)\A(?:https?://\S+|www\.\S+|(?i:(?:doi:\s*)?10\.\d{4,9}/\S+))\z"
+INDEX_AND_NAME = r"\d{1,3}[A-Z][a-zA-Z]{2,}"
+INDEX_BEFORE_NAME = r"(?U)\A\d{1,3}\s+[A-Z][a-zA-Z]"
+NUMBERED_HEADING = r"(?dU)^\d+(?:\.\d+)*\.?\s+\S.{0,119}\z"
+NUMBERED_TITLE = r"(?U)^\d+(?:\.\d+)*\.?\s+(.+)$"
+LINE_HYPHEN = r"(?<=[A-Za-z])-\n(?=[a-z])"
+BLANK_HYPHEN = r"(?U)\b([a-z]{4,})-\s+([a-z]{2,})\b"
+RECEIVED_SPAN = r"(?sU)\bReceived:\s*\d{1,2}\s+\w+\s+\d{4}\b.{0,1500}?[\w.+-]+@[\w-]+\.[\w.-]+"
 
 # Licences from the most to the least wanted, which are also those allowed by default.
 LICENSES = ("cc-by", "cc-by-sa", "cc0", "public-domain")

@@ -1,7 +1,16 @@
-"""Line predicates as Columns: true for noise of a kind. Lines are stripped and of one row."""
+"""Line predicates as Columns: true for noise of a kind. Lines are stripped and of one row.
+
+A null line gives null, an empty one false, whatever the rule. Every rule takes a line, or a Line, which
+holds what several rules need of one, so that it is computed once where many rules are applied. Cheap
+conditions that a rule implies come first, and spare most lines its regular expressions.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,114 +18,158 @@ from corpusloom.functions import constants as C
 from corpusloom.functions.text import heading_form, strip
 
 
-def has_any(x: Column, parts: tuple[str, ...]) -> Column:
+class Line(NamedTuple):
+    """A line, in lower case, as headings are compared, and its score as an affiliation."""
+
+    x: Column
+    low: Column
+    form: Column
+    terms: Column
+
+
+def affiliation_terms(low: Column) -> Column:
+    """How many different affiliation terms a line in lower case has."""
+    return reduce(add, (F.contains(low, F.lit(t)).cast("int") for t in C.AFFILIATION_TERMS))
+
+
+def line(x: Column | Line) -> Line:
+    """The Line of a column."""
+    return x if isinstance(x, Line) else Line(x, F.lower(x), heading_form(x), affiliation_terms(F.lower(x)))
+
+
+def facts(x: Column) -> Column:
+    """The Line of a column as a struct, for arrays of lines."""
+    low = F.transform(F.array(F.lower(x)), lambda v: F.struct(x.alias("x"), v.alias("low"), heading_form(x).alias("form"), affiliation_terms(v).alias("terms")))
+    return F.element_at(low, 1)
+
+
+def of(struct: Column) -> Line:
+    """The Line that a struct of facts() holds."""
+    return Line(*(struct[name] for name in Line._fields))
+
+
+def has_any(x: Column | Line, parts: tuple[str, ...]) -> Column:
     """Whether the line has one of the parts, whatever its case."""
-    return F.lower(x).rlike("|".join(f"\\Q{p}\\E" for p in parts))
+    low = x.low if isinstance(x, Line) else F.lower(x)
+    return reduce(or_, (F.contains(low, F.lit(p)) for p in parts))
 
 
 def compact(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)\s+", "")
 
 
-def is_page_number(x: Column) -> Column:
-    return x.rlike(r"(?iU)\A(?:[-–—]?\s*\d{1,4}\s*[-–—]?|page\s+\d{1,4}|page\s+\d+\s+of\s+\d+)\z")
+def is_page_number(x: Column | Line) -> Column:
+    return line(x).x.rlike(C.PAGE_NUMBER)
 
 
-def is_pdf_artifact(x: Column) -> Column:
-    return x.isin(*C.ARTIFACT_LINES) | has_any(x, C.ARTIFACT_PARTS) | ((F.length(compact(x)) >= 6) & compact(x).rlike(r"(?U)\A[\d():,;|./\\]+\z"))
+def is_pdf_artifact(x: Column | Line) -> Column:
+    own = line(x)
+    return own.x.isin(*C.ARTIFACT_LINES) | has_any(own, C.ARTIFACT_PARTS) | (own.x.rlike(rf"(?U)\A[{C.ARTIFACT_SIGNS}\s]+\z") & (F.length(compact(own.x)) >= 6))
 
 
-def is_graphical(x: Column) -> Column:
+def is_graphical(x: Column | Line) -> Column:
     """Drawings turned to text: mostly marks, or a rule."""
+    x = line(x).x
     tokens = F.filter(F.split(x, r"(?U)\s+"), lambda t: t != "")
     marks = F.filter(tokens, lambda t: t.rlike(rf"\A[{C.DRAWING_SIGNS}]+\z"))
-    return ((F.size(tokens) >= 3) & (F.size(marks) >= 0.7 * F.size(tokens))) | ((F.length(compact(x)) >= 8) & compact(x).rlike(rf"\A[{C.DRAWING_SIGNS}]+\z")) | x.rlike(r"\A[-_=~•·.]+\z")
+    mostly = (F.size(tokens) >= 3) & (F.size(marks) >= 0.7 * F.size(tokens))
+    some = x.rlike(rf"[{C.DRAWING_SIGNS}](?U:(?<!\S[{C.DRAWING_SIGNS}])[{C.DRAWING_SIGNS}]*(?!\S))")
+    only = x.rlike(rf"(?U)\A[{C.DRAWING_SIGNS}\s]+\z")
+    return (some & mostly) | (only & (F.length(compact(x)) >= 8)) | x.rlike(C.RULE)
 
 
-def is_citation_cluster(x: Column) -> Column:
+def is_citation_cluster(x: Column | Line) -> Column:
     """Two citations or more and hardly anything else."""
+    x = line(x).x
     left = F.regexp_replace(F.regexp_replace(x, rf"(?U){C.CITATION}", ""), r"(?U)[,;:.\s]", "")
-    return (F.regexp_count(x, F.lit(rf"(?U){C.CITATION}")) >= 2) & (F.length(left) <= 2)
+    return x.contains("[") & (F.regexp_count(x, F.lit(rf"(?U){C.CITATION}")) >= 2) & (F.length(left) <= 2)
 
 
-def is_url_or_doi(x: Column) -> Column:
-    return x.rlike(r"(?U)\A(?:https?://\S+|www\.\S+|(?i:(?:doi:\s*)?10\.\d{4,9}/\S+))\z")
+def is_url_or_doi(x: Column | Line) -> Column:
+    return line(x).x.rlike(C.URL_OR_DOI)
 
 
-def is_license(x: Column) -> Column:
+def is_license(x: Column | Line) -> Column:
     return has_any(x, C.LICENSE_PARTS)
 
 
-def is_publisher_metadata(x: Column) -> Column:
+def is_publisher_metadata(x: Column | Line) -> Column:
     return has_any(x, C.PUBLISHER_PARTS)
 
 
-def starts_correspondence(x: Column) -> Column:
-    return x.rlike(f"(?iU){C.CORRESPONDENCE}")
+def starts_correspondence(x: Column | Line) -> Column:
+    x = line(x).x
+    return x.contains(":") & x.rlike(f"(?iU){C.CORRESPONDENCE}")
 
 
-def has_email(x: Column) -> Column:
-    return x.rlike(f"(?iU){C.EMAIL}")
+def has_email(x: Column | Line) -> Column:
+    x = line(x).x
+    return x.contains("@") & x.rlike(f"(?iU){C.EMAIL}")
 
 
-def affiliation_score(x: Column) -> Column:
+def affiliation_score(x: Column | Line) -> Column:
     """How many different affiliation terms the line has."""
-    low = F.lower(x)
-    return F.size(F.filter(F.array(*[F.lit(t) for t in C.AFFILIATION_TERMS]), lambda t: F.contains(low, t)))
+    return line(x).terms
 
 
-def author_name_score(x: Column) -> Column:
-    return F.regexp_count(x, F.lit(f"(?U){C.AUTHOR_NAME}"))
+def author_name_score(x: Column | Line) -> Column:
+    return F.regexp_count(line(x).x, F.lit(f"(?U){C.AUTHOR_NAME}"))
 
 
-def is_author_list(x: Column) -> Column:
-    names = author_name_score(x)
-    marks = F.length(x) - F.length(F.translate(x, ";·", ""))
-    return ((names >= 6) & ((affiliation_score(x) >= 2) | (marks >= 4))) | ((F.length(x) > 300) & (names >= 8))
+def is_author_list(x: Column | Line) -> Column:
+    own = line(x)
+    names = author_name_score(own)
+    marks = F.length(own.x) - F.length(F.translate(own.x, ";·", ""))
+    return (((own.terms >= 2) | (marks >= 4)) & (names >= 6)) | ((F.length(own.x) > 300) & (names >= 8))
 
 
-def is_numbered_affiliation(x: Column) -> Column:
+def is_numbered_affiliation(x: Column | Line) -> Column:
     """Index numbers grown together with the names that they stand before."""
-    fused = r"^\d{1,3}[A-Z][a-zA-Z]{2,}(?:,|$)"
-    tokens = F.split(x, r"(?U)\s+")
+    own = line(x)
+    tokens = F.split(own.x, r"(?U)\s+")
+    fused = rf"^{C.INDEX_AND_NAME}(?:,|$)"
     n = F.size(F.filter(tokens, lambda t: t.rlike(fused)))
-    known = affiliation_score(x) >= 1
-    single = F.element_at(tokens, 1).rlike(fused) & ~x.rlike(f"[{C.MATH_SIGNS}]") & (F.length(x) < 250) & (x.contains(",") | known)
-    return F.when(n >= 2, known & (F.length(x) <= 500)).when(n == 1, single).otherwise(False)
+    single = F.element_at(tokens, 1).rlike(fused) & ~own.x.rlike(f"[{C.MATH_SIGNS}]") & (F.length(own.x) < 250) & (own.x.contains(",") | (own.terms >= 1))
+    some = own.x.rlike(r"[0-9](?U:(?<!\S[0-9]))[0-9]{0,2}[A-Z][a-zA-Z]{2}")
+    return some & (F.length(own.x) <= 500) & F.when(n >= 2, own.terms >= 1).when(n == 1, single).otherwise(False)
 
 
-def is_indexed_affiliation(x: Column) -> Column:
-    return x.rlike(r"(?U)\A\d{1,3}\s+[A-Z][a-zA-Z]") & ~x.rlike("https?://") & (affiliation_score(x) >= 1) & (F.length(x) <= 300)
+def is_indexed_affiliation(x: Column | Line) -> Column:
+    own = line(x)
+    return own.x.rlike(C.INDEX_BEFORE_NAME) & ~own.x.rlike("https?://") & (own.terms >= 1) & (F.length(own.x) <= 300)
 
 
-def is_section_heading(x: Column) -> Column:
+def is_section_heading(x: Column | Line) -> Column:
     """A known section's name, or a number and a title of at most 120 characters."""
-    return heading_form(x).isin(*C.SECTION_NAMES) | strip(x).rlike(r"(?dU)^\d+(?:\.\d+)*\.?\s+\S.{0,119}\z")
+    own = line(x)
+    return own.form.isin(*C.SECTION_NAMES) | strip(own.x).rlike(C.NUMBERED_HEADING)
 
 
-def is_references_heading(x: Column) -> Column:
-    return heading_form(x).isin(*C.REFERENCE_NAMES)
+def is_references_heading(x: Column | Line) -> Column:
+    return line(x).form.isin(*C.REFERENCE_NAMES)
 
 
-def is_first_anchor(x: Column) -> Column:
-    return heading_form(x).isin(*C.FIRST_ANCHORS)
+def is_first_anchor(x: Column | Line) -> Column:
+    return line(x).form.isin(*C.FIRST_ANCHORS)
 
 
-def is_second_anchor(x: Column) -> Column:
-    return heading_form(x).isin(*C.SECOND_ANCHORS)
+def is_second_anchor(x: Column | Line) -> Column:
+    return line(x).form.isin(*C.SECOND_ANCHORS)
 
 
-def noise_category(x: Column) -> Column:
+def noise_category(x: Column | Line) -> Column:
     """What a line outside a correspondence block is dropped as; null if it is kept. The first rule that holds counts."""
+    own = line(x)
     return (
-        F.when(is_url_or_doi(x) | is_publisher_metadata(x) | is_license(x), "publisher_metadata")
-        .when(is_page_number(x), "other_noise")
-        .when(is_graphical(x), "graphics")
-        .when(is_citation_cluster(x), "other_noise")
-        .when(is_author_list(x) | is_numbered_affiliation(x) | is_indexed_affiliation(x), "author_blocks")
+        F.when(is_url_or_doi(own) | is_publisher_metadata(own) | is_license(own), "publisher_metadata")
+        .when(is_page_number(own), "other_noise")
+        .when(is_graphical(own), "graphics")
+        .when(is_citation_cluster(own), "other_noise")
+        .when(is_author_list(own) | is_numbered_affiliation(own) | is_indexed_affiliation(own), "author_blocks")
     )
 
 
-def ends_block(x: Column) -> Column:
+def ends_block(x: Column | Line) -> Column:
     """Whether a line ends a correspondence block: a heading, or a long line without contact data."""
-    return is_section_heading(x) | ~(has_email(x) | (affiliation_score(x) >= 1) | is_url_or_doi(x) | (F.length(x) < 100))
+    own = line(x)
+    return is_section_heading(own) | ~((F.length(own.x) < 100) | (own.terms >= 1) | is_url_or_doi(own) | has_email(own))

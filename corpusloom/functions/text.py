@@ -1,4 +1,4 @@
-"""Scalar text rules as Columns."""
+"""Scalar text rules as Columns. A null gives null, an empty text an empty one; texts of any length are read whole."""
 
 from __future__ import annotations
 
@@ -17,7 +17,8 @@ LINEBREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
+    ends = F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(x, r"(?U)\A\s+|(?<!\s)\s++\z", "")).otherwise(x)
 
 
 def split_lines(text: Column) -> Column:
@@ -38,8 +39,9 @@ def compatibility_form(x: Column) -> Column:
 
 def replace_marks(x: Column) -> Column:
     """Zero-width marks go, bracket pieces become spaces, control characters go."""
-    x = F.translate(x, C.SPACED_CHARS + C.REMOVED_CHARS, " " * len(C.SPACED_CHARS))
-    return F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    ascii_ = F.octet_length(x) == F.length(x)
+    clean = ascii_ & ~x.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+    return F.when(clean, x).otherwise(F.translate(x, C.SPACED_CHARS + C.REMOVED_CHARS + C.CONTROL_CHARS, " " * len(C.SPACED_CHARS)))
 
 
 def normalize_unicode(x: Column) -> Column:
@@ -48,23 +50,25 @@ def normalize_unicode(x: Column) -> Column:
 
 def normalize_line(x: Column) -> Column:
     """Runs of blanks become a space; stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(x, r"\t", " "), r"[ \t]{2,}", " "))
+    x = F.when(x.contains("\t"), F.translate(x, "\t", " ")).otherwise(x)
+    return strip(F.when(x.contains("  "), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
 
 
 def repair_hyphenation(x: Column) -> Column:
     """Words cut by a hyphen at a line's end, or by a hyphen and blanks after four letters, are rejoined."""
-    x = F.regexp_replace(x, r"(?<=[A-Za-z])-\n(?=[a-z])", "")
-    return F.regexp_replace(x, r"(?U)\b([a-z]{4,})-\s+([a-z]{2,})\b", "$1$2")
+    x = F.regexp_replace(x, C.LINE_HYPHEN, "")
+    return F.when(x.rlike(r"(?U)-\s+[a-z]{2}"), F.regexp_replace(x, C.BLANK_HYPHEN, "$1$2")).otherwise(x)
 
 
 def strip_submission_spans(x: Column) -> Column:
     """Spans from `Received: <date>` to the next e-mail address within 1,500 characters become a space."""
-    return F.regexp_replace(x, r"(?sU)\bReceived:\s*\d{1,2}\s+\w+\s+\d{4}\b.{0,1500}?[\w.+-]+@[\w-]+\.[\w.-]+", " ")
+    return F.when(x.contains("Received:"), F.regexp_replace(x, C.RECEIVED_SPAN, " ")).otherwise(x)
 
 
 def collapse_blank_lines(x: Column) -> Column:
     """No blanks before a line break, no more than one empty line; stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(x, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
+    x = F.when(x.rlike(r"[ \t]\n"), F.regexp_replace(x, r"(?<![ \t])[ \t]++\n", "\n")).otherwise(x)
+    return strip(F.when(x.contains("\n\n\n"), F.regexp_replace(x, r"\n{3,}", "\n\n")).otherwise(x))
 
 
 def heading_form(x: Column) -> Column:
@@ -75,7 +79,7 @@ def heading_form(x: Column) -> Column:
 def section_name(x: Column) -> Column:
     """The known section that a heading names, else a numbered heading's title, else the line."""
     known = heading_form(x)
-    title = F.regexp_extract(strip(x), r"(?U)^\d+(?:\.\d+)*\.?\s+(.+)$", 1)
+    title = F.regexp_extract(strip(x), C.NUMBERED_TITLE, 1)
     return F.when(known.isin(*C.SECTION_NAMES), known).when(title != "", heading_form(title)).otherwise(known)
 
 

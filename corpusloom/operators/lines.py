@@ -1,7 +1,12 @@
 """Operators on a document's lines in order.
 
 In long form, a row for each line with its place `ord`, windows by document do what a scan with state
-does. In array form folds and slices do it within the row; the pipeline uses that, without a shuffle.
+does. In array form the same is done within the row, in time that grows with the number of lines; the
+pipeline uses that, without a shuffle.
+
+A null line is neither noise nor heading; an empty one is blank. Documents without a line stay without
+one. In long form rows of a null document are kept as they are, without category or start, and are no one
+task's. Lines of equal place are in any order.
 """
 
 from __future__ import annotations
@@ -9,22 +14,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import constants as C
 from corpusloom.functions import predicates as P
 
 COUNTS = ("front_matter", "publisher_metadata", "correspondence", "author_blocks", "graphics", "references", "other_noise")
 
 
+def _documents(id_col: str) -> tuple[Column, ...]:
+    """Columns that a window goes by: the document, and for rows of none a share of them each."""
+    return F.col(id_col), F.when(F.col(id_col).isNull(), F.xxhash64("ord") % 4096)
+
+
 def trim_front_matter(df: DataFrame, id_col: str = "doc_id", line_col: str = "line") -> DataFrame:
     """Lines from the first abstract or summary on, else from the first introduction or background, else all; with `start`."""
-    w, line = Window.partitionBy(id_col), F.col(line_col)
-    start = F.coalesce(F.min(F.when(P.is_first_anchor(line), F.col("ord"))).over(w), F.min(F.when(P.is_second_anchor(line), F.col("ord"))).over(w), F.lit(0))
-    return df.withColumn("start", start).where("ord >= start")
+    w, form = Window.partitionBy(*_documents(id_col)), F.col("_form")
+    df = df.withColumn("_form", P.heading_form(F.col(line_col)))
+    first, second = (F.min(F.when(form.isin(*names) & F.col(id_col).isNotNull(), F.col("ord"))).over(w) for names in (C.FIRST_ANCHORS, C.SECOND_ANCHORS))
+    return df.withColumn("start", F.coalesce(first, second, F.lit(0))).where(F.col(id_col).isNull() | (F.col("ord") >= F.col("start"))).drop("_form")
 
 
 def trim_references(df: DataFrame, id_col: str = "doc_id", line_col: str = "line") -> DataFrame:
     """Lines before the first heading of a reference list."""
-    w = Window.partitionBy(id_col)
-    end = F.min(F.when(P.is_references_heading(F.col(line_col)), F.col("ord"))).over(w)
+    w = Window.partitionBy(*_documents(id_col))
+    end = F.min(F.when(P.is_references_heading(F.col(line_col)) & F.col(id_col).isNotNull(), F.col("ord"))).over(w)
     return df.withColumn("_end", end).where("_end is null or ord < _end").drop("_end")
 
 
@@ -36,11 +48,15 @@ def classify_noise(df: DataFrame, id_col: str = "doc_id", line_col: str = "line"
     changed by each line after it that is an opener and an end at once.
     """
     line, blank = F.col(line_col), F.col(line_col) == ""
-    order = Window.partitionBy(id_col).orderBy("ord")
-    df = df.withColumn("_t", ~blank & P.ends_block(line)).withColumn("_s", ~blank & P.starts_correspondence(line)).withColumn("_c", F.when(~blank, P.noise_category(line)))
+    order = Window.partitionBy(*_documents(id_col)).orderBy("ord")
+    # what several rules need is a column of its own, which the optimizer doesn't compute again for each
+    df = df.withColumn("_low", F.lower(line)).withColumns({"_form": P.heading_form(line), "_terms": P.affiliation_terms(F.col("_low"))})
+    own = P.Line(line, F.col("_low"), F.col("_form"), F.col("_terms"))
+    known = ~blank & F.col(id_col).isNotNull()
+    df = df.withColumns({"_t": known & P.ends_block(own), "_s": known & P.starts_correspondence(own), "_c": F.when(known, P.noise_category(own))}).drop("_low", "_form", "_terms")
     df = df.withColumn("_k", F.when(F.col("_s") & ~F.col("_t"), 1).when(F.col("_t") & ~F.col("_s"), 0))
     df = df.withColumn("_seg", F.count("_k").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    segment = Window.partitionBy(id_col, "_seg")
+    segment = Window.partitionBy(*_documents(id_col), "_seg")
     flips = F.sum(F.when(F.col("_s") & F.col("_t"), 1).otherwise(0)).over(segment.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumn("_after", (F.coalesce(F.max("_k").over(segment), F.lit(0)) + flips) % 2)
     inside = F.coalesce(F.lag("_after").over(order), F.lit(0)) == 1
@@ -56,8 +72,12 @@ def cleanup_counts(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def front_start(lines: Column) -> Column:
     """The place of the first line to keep, on an array."""
-    first, second = F.array_position(F.transform(lines, P.is_first_anchor), True), F.array_position(F.transform(lines, P.is_second_anchor), True)
-    return F.when(first > 0, first - 1).when(second > 0, second - 1).otherwise(0).cast("int")
+
+    def go(forms: Column) -> Column:
+        first, second = (F.array_position(F.transform(forms, lambda f: f.isin(*names)), True) for names in (C.FIRST_ANCHORS, C.SECOND_ANCHORS))
+        return F.when(first > 0, first - 1).when(second > 0, second - 1).otherwise(0).cast("int")
+
+    return _let(F.transform(lines, P.heading_form), go)
 
 
 def references_start(lines: Column) -> Column:
@@ -66,28 +86,69 @@ def references_start(lines: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.size(lines)).cast("int")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: a lambda's variable is never inlined."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def noise_categories(lines: Column) -> Column:
-    """The category of each line of an array, `` for kept ones, by a fold."""
+    """The category of each line of an array, `` for kept ones.
+
+    Each line is a sign in a text: `b` blank, `t` ends a block, `s` opens one, `x` is both, `-` neither. A
+    block goes from an opener, `s` or `x`, to before the next `t` or `x`; so one regular expression over
+    the signs finds all blocks.
+    """
+
+    def judged(x: Column) -> Column:
+        own = P.of(x)
+        ends, opens = P.ends_block(own), P.starts_correspondence(own)
+        sign = F.when(own.x == "", "b").when(ends & opens, "x").when(ends, "t").when(opens, "s").otherwise("-")
+        return F.struct(sign.alias("sign"), F.when(own.x == "", "").otherwise(F.coalesce(P.noise_category(own), F.lit(""))).alias("c"))
+
+    def marked(all_: Column) -> Column:
+        signs = F.array_join(F.transform(all_, lambda z: z["sign"]), "")
+        # `<` block `>` the line that ends it, if any `;`
+        parts = F.split(F.regexp_replace(signs, "([sx][b\\-s]*+)([tx]?)", "<$1>$2;"), "<", -1)
+        flags = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(_in_block(p))), "")
+        return F.zip_with(all_, F.split(flags, ""), lambda z, f: F.when(f == "c", "correspondence").when((f == "k") | (f == "b"), "").otherwise(z["c"]))
+
+    found = _let(F.transform(F.transform(lines, P.facts), judged), marked)
+    return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(found)
 
-    def flags(x: Column) -> Column:
-        return F.struct((x == "").alias("blank"), P.ends_block(x).alias("t"), P.starts_correspondence(x).alias("s"), F.coalesce(P.noise_category(x), F.lit("")).alias("c"))
 
-    def step(acc: Column, x: Column) -> Column:
-        dropped = F.when(acc["inside"], F.when(x["t"], "").otherwise("correspondence")).when(x["s"], "correspondence").otherwise(x["c"])
-        inside = F.when(acc["inside"], ~x["t"]).otherwise(x["s"])
-        return F.struct(F.when(x["blank"], acc["inside"]).otherwise(inside).alias("inside"), F.array_append(acc["out"], F.when(x["blank"], F.lit("")).otherwise(dropped)).alias("out"))
+def _in_block(part: Column) -> Column:
+    """Signs before `>` become `c`, except blank ones; the one between that and `;`, if any, `k`; what follows stays."""
+    inside, rest = F.substring_index(part, ">", 1), F.substring_index(part, ">", -1)
+    after = lambda n: F.substring(rest, F.lit(n), F.length(rest))
+    return F.concat(F.translate(inside, "sx-", "ccc"), F.when(rest.startswith(";"), after(2)).otherwise(F.concat(F.lit("k"), after(3))))
 
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(F.transform(lines, flags), start, step, lambda acc: acc["out"])
+
+#: Stands between lines that may go on in the next: lines have no such character.
+SOFT = "\x01"
+#: From where a joined line begins: joined lines that are a heading, up to where they became one.
+_BLANK, _ANY = r"[\s&&[^\n]]", rf"[\s{SOFT}&&[^\n]]"
+_NAMES = "|".join(n.replace(" ", f"[ {SOFT}]") for n in sorted(C.SECTION_NAMES, key=len, reverse=True))
+_JOINED_NAME = rf"{_ANY}*[ .:\-{SOFT}]*(?i:{_NAMES})[ .:\-]*{_BLANK}*"
+_JOINED_NUMBER = rf"{_ANY}*\d+(?:\.\d+)*\.?{_ANY}+[^\s{SOFT}][^\n{SOFT}]{{0,119}}{_BLANK}*"
+JOINED_HEADING = rf"(?U)(?:\A|(?<=\n)|\G)({_JOINED_NAME}|{_JOINED_NUMBER}){SOFT}"
 
 
 def join_wrapped(lines: Column) -> Column:
-    """Lines that go on in the next joined with it. Empty lines, headings and closing punctuation stand between."""
-    closed = r"[.:;?!)\]}]\z"
+    """Lines that go on in the next joined with it. Empty lines, headings and closing punctuation stand between.
+
+    Lines are of one row and without control characters. What one line and the one before it tell is found
+    line by line; that lines became a heading only by being joined, by one regular expression.
+    """
+    facts = F.transform(lines, lambda x: F.struct(x.alias("x"), (x == "").alias("blank"), P.is_section_heading(x).alias("heading"), F.right(x, F.lit(1)).rlike(r"[.:;?!)\]}]").alias("closed")))
+
+    def joined(all_: Column) -> Column:
+        def piece(z: Column, i: Column) -> Column:
+            last = F.element_at(all_, F.greatest(i, F.lit(1)))
+            apart = z["blank"] | z["heading"] | last["blank"] | last["heading"] | last["closed"]
+            return F.concat(F.when(i == 0, "").when(apart, "\n").otherwise(SOFT), z["x"])
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        new = F.when((F.size(acc) == 0) | (x == ""), True).when(last == "", True).otherwise(P.is_section_heading(x) | P.is_section_heading(last) | last.rlike(closed))
-        return F.when(new, F.array_append(acc, x)).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), x))))
+        text = F.array_join(F.transform(all_, piece), "")
+        apart = F.when(text.contains(SOFT), F.regexp_replace(text, JOINED_HEADING, "$1\n")).otherwise(text)
+        return F.split(F.translate(apart, SOFT, " "), "\n", -1)
 
-    return F.aggregate(lines, F.array().cast("array<string>"), step)
+    return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(_let(facts, joined))

@@ -1,4 +1,7 @@
-"""Repeated headers and footers, and the flattening of pages, on arrays: a row a document, no shuffle."""
+"""Repeated headers and footers, and the flattening of pages, on arrays: a row a document, no shuffle.
+
+Null pages give null, none give none; a null line is dropped with the repeated ones.
+"""
 
 from __future__ import annotations
 
@@ -35,13 +38,19 @@ def strip_repeated(pages: Column, ratio: float = 0.30) -> Column:
     """Pages without their repeated lines; other lines in their normal form, empty ones kept."""
 
     def go(counted: Column) -> Column:
-        keys = F.flatten(counted)
         need = F.greatest(F.lit(2), (F.size(counted) * float(ratio)).cast("int"))
-        often = F.filter(F.array_distinct(keys), lambda k: F.size(F.filter(keys, lambda x: x == k)) >= need)
-        drop = F.when(F.size(counted) >= MIN_PAGES, often).otherwise(F.array().cast("array<string>"))
-        return F.element_at(F.transform(F.array(drop), lambda d: F.transform(pages, lambda p: F.filter(F.transform(p, normalize_line), lambda x: (x == "") | ~F.array_contains(d, fuzzy_key(x))))), 1)
+        # of sorted keys one is often if the one `need` - 1 places on is the same
+        often = lambda keys: F.array_distinct(F.filter(keys, lambda k, i: F.try_element_at(keys, i + need).eqNullSafe(k)))
+        drop = F.when(F.size(counted) >= MIN_PAGES, _let(F.array_sort(F.flatten(counted)), often)).otherwise(F.array().cast("array<string>"))
+        # a key is on a share of the pages, so there are few of them, however long the document
+        return _let(drop, lambda d: F.transform(pages, lambda p: F.filter(F.transform(p, normalize_line), lambda x: (x == "") | (F.size(d) == 0) | ~F.array_contains(d, fuzzy_key(x)))))
+
+    return _let(page_keys(pages), go)
+
 
-    return F.element_at(F.transform(F.array(page_keys(pages)), go), 1)
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: a lambda's variable is never inlined."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def flatten_pages(pages: Column) -> Column:

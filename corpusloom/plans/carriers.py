@@ -30,10 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def decorated(doc_id: Column, ord_: Column, raw: Column) -> Column:
-    k, out = (doc_id * 31 + ord_) % EVERY, None
-    for i, x in enumerate(EXAMPLES):
-        out = F.when(k == i, x) if out is None else out.when(k == i, x)
-    return out.otherwise(raw)
+    k = (doc_id * 31 + ord_) % EVERY
+    return F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in EXAMPLES]), k.cast("int") + 1), raw)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
