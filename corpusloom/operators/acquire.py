@@ -1,4 +1,8 @@
-"""From search hits to what is fetched next, and what became of it."""
+"""From search hits to what is fetched next, and what became of it.
+
+Tables without rows give tables without rows (totals of 0). Hits of equal place are in any order. Null ids
+are one id to dedup_works and held by nobody; a null success is a failure.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,14 @@ from pyspark.sql import functions as F
 MIN_PDF_BYTES = 10_000
 
 
+def union_hits(*searches: DataFrame) -> DataFrame:
+    """The hits of several searches in one; a column that a search lacks is null in its rows. Repeated rows stay."""
+    first, *more = searches
+    for x in more:
+        first = first.unionByName(x, allowMissingColumns=True)
+    return first
+
+
 def cap_per_term(hits: DataFrame, n: int) -> DataFrame:
     """The first n hits of each term, in the order of the search."""
     w = Window.partitionBy("term_ord").orderBy("hit_ord")
@@ -75,8 +87,10 @@ def daily_quota(events: DataFrame, per_day: int) -> DataFrame:
 
 def route(results: DataFrame) -> DataFrame:
     """results (success, new_download) and the log each goes to: the manifest counts new ones, failures are tried again next time."""
-    return results.withColumn("log", F.when(F.col("success"), "manifest").otherwise("failed")).withColumn("counted", F.col("success") & F.col("new_download"))
+    return results.withColumn("log", F.when(F.col("success"), "manifest").otherwise("failed")).withColumn("counted", F.coalesce(F.col("success") & F.col("new_download"), F.lit(False)))
 
 
 def run_totals(results: DataFrame) -> DataFrame:
-    return results.agg(F.count_if(F.col("success")).alias("successful"), F.count_if(~F.col("success")).alias("failed"))
+    """How many succeeded and how many failed; a null success is a failure."""
+    done = F.coalesce(F.col("success"), F.lit(False))
+    return results.agg(F.count_if(done).alias("successful"), F.count_if(~done).alias("failed"))

@@ -1,4 +1,8 @@
-"""Bibliographic works: identity, licence, places to fetch from, eligibility, the metadata record."""
+"""Bibliographic works: identity, licence, places to fetch from, eligibility, the metadata record.
+
+A missing field is null; missing citations count as none, a missing year as allowed. Null or empty lists of
+places have no licence, no score and nothing to fetch, so such works aren't eligible.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from corpusloom.config import AcquireConfig
 from corpusloom.functions import constants as C
 from corpusloom.functions.text import strip
 
-#: The fields of a work that are read.
+#: The fields of a work that are read.
 WORK_SCHEMA = """
 id STRING, doi STRING, title STRING, type STRING, language STRING, publication_year INT, publication_date STRING,
 cited_by_count INT, is_retracted BOOLEAN, open_access STRUCT<is_oa: BOOLEAN>,
@@ -68,10 +72,16 @@ def location_score(pdf: Column, page: Column, source_type: Column, is_oa: Column
     return score + F.when(source_type == "repository", 80).otherwise(0) + F.when(is_oa, 20).otherwise(0) + F.when(pdf != "", 30).otherwise(0)
 
 
+def scored_locations(locations: Column) -> Column:
+    """Locations `x` with their `score`, from the most promising on; equal ones keep their order."""
+    scored = F.transform(locations, lambda x, i: F.struct((-location_score(x["pdf_url"], x["landing_page_url"], x["source_type"], x["is_oa"])).alias("s"), i.alias("i")))
+    # sorted by two numbers each, without a comparison of our own; then fetched by place
+    return F.transform(F.array_sort(scored), lambda z: F.struct((-z["s"]).alias("score"), F.element_at(locations, z["i"] + 1).alias("x")))
+
+
 def rank_locations(locations: Column) -> Column:
     """Locations from the most promising on; equal ones keep their order."""
-    scored = F.transform(locations, lambda x, i: F.struct((-location_score(x["pdf_url"], x["landing_page_url"], x["source_type"], x["is_oa"])).alias("s"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(scored, lambda a, b: F.when(a["s"] != b["s"], F.when(a["s"] < b["s"], -1).otherwise(1)).otherwise(a["i"] - b["i"])), lambda z: z["x"])
+    return F.transform(scored_locations(locations), lambda z: z["x"])
 
 
 def is_eligible(config: AcquireConfig | None = None) -> Column:
@@ -85,7 +95,7 @@ def is_eligible(config: AcquireConfig | None = None) -> Column:
 
 
 def metadata_record(works: DataFrame) -> DataFrame:
-    """The record that is kept of each work; nothing has been fetched yet."""
+    """The record that is kept of each work; nothing has been fetched yet. Its fields' names are fixed values."""
     authors = F.transform(F.filter("authorships", lambda a: a["author"].isNotNull()), lambda a: F.struct(a["author"]["display_name"].alias("name"), a["author"]["id"].alias("openalex_id")))
     none = F.lit(None).cast("string")
     return works.select(

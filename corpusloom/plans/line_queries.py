@@ -38,13 +38,13 @@ PREDICATES = {
     "failure_lines": (T.tells_of_failure, S.has_any("line", C.FAILURE_PARTS)),
 }
 
-#: query -> (value of a line, its SQL), of lines for which the value isn't 0 or the line itself.
+#: query -> (value of a line, its SQL, which lines): scores above 0, keys that aren't the line itself, else all lines.
 VALUES = {
     "affiliation_score": (lambda x: P.affiliation_score(x).cast("bigint"), f"{S.affiliation('line')}::BIGINT", "value > 0"),
     "author_names": (lambda x: P.author_name_score(x).cast("bigint"), f"{S.author_names('line')}::BIGINT", "value > 0"),
     "fuzzy_keys": (T.fuzzy_key, S.fuzzy_key("line"), "value <> line"),
-    "heading_forms": (T.heading_form, S.heading_form("line"), "length(value) < 20"),
-    "section_names": (T.section_name, S.section_name("line"), "length(value) < 40"),
+    "heading_forms": (T.heading_form, S.heading_form("line"), "true"),
+    "section_names": (T.section_name, S.section_name("line"), "true"),
     "normalized_lines": (lambda x: T.normalize_line(F.concat(F.lit(" \t "), x, F.lit("  \t"))), S.normal_line("' ' || chr(9) || ' ' || line || '  ' || chr(9)"), "length(value) > 0"),
 }
 
@@ -186,12 +186,12 @@ def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gate(K.texts(spark, sf_dir).select("doc_id", statistics(F.col("text")).alias("stats"))).drop("reasons")
 
 
-@query("quality_gate", f"""WITH {K.LINES_SQL}, kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY ord) AS text FROM lines WHERE NOT {S.has_any('line', C.LICENSE_PARTS)} AND NOT {S.email('line')} GROUP BY doc_id),
+@query("quality_gate", f"""WITH {K.LINES_SQL}, kept AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY ord) FILTER (NOT {S.has_any('line', C.LICENSE_PARTS)} AND NOT {S.email('line')}), '') AS text FROM lines GROUP BY doc_id),
 s AS (SELECT doc_id, {S.statistics('text')} FROM kept) SELECT *, {_REASONS} AS reasons, characters >= 1500 AND words >= 250 AND garbage_ratio <= 0.1 AS valid FROM s""")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without licence and e-mail lines, gated by their statistics."""
+    """Texts without licence and e-mail lines, gated by their statistics; one that loses all its lines is rejected as empty."""
     kept = F.filter("lines", lambda x: ~P.is_license(x) & ~P.has_email(x))
-    rows = K.line_arrays(spark, sf_dir).select("doc_id", kept.alias("kept")).where(F.size("kept") > 0)
+    rows = K.line_arrays(spark, sf_dir).select("doc_id", kept.alias("kept"))
     return _gate(rows.select("doc_id", statistics(F.array_join("kept", "\n")).alias("stats"))).withColumn("valid", F.col("reasons") == "")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import AcquireConfig
@@ -10,14 +10,15 @@ from corpusloom.functions import constants as C
 from corpusloom.operators import acquire as A
 from corpusloom.operators import edit as E
 from corpusloom.operators import metadata as M
+from corpusloom.operators.progress import numbered
 from corpusloom.plans import carriers as K
 from corpusloom.plans import sql as S
+from corpusloom.sources.files import stem
 from corpusloom.sources.state import remaining_today, valid_ids
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 CONFIG = AcquireConfig()
-RANGES = 1024
 
 
 def query(name: str, sql: str | None):
@@ -65,9 +66,8 @@ def license_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("location_rank", f"WITH {K.WORKS_SQL}, {_PLACES} SELECT work_key, place::BIGINT AS place, pdf AS pdf_url, page AS landing_page_url, score FROM ranked")
 def location_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = K.works(spark, sf_dir).select("work_key", F.posexplode(M.rank_locations(M.fetchable(F.col("locations")))).alias("place", "x"))
-    score = M.location_score(F.col("x.pdf_url"), F.col("x.landing_page_url"), F.col("x.source_type"), F.col("x.is_oa"))
-    return ranked.select("work_key", F.col("place").cast("bigint").alias("place"), "x.pdf_url", "x.landing_page_url", score.cast("bigint").alias("score"))
+    ranked = K.works(spark, sf_dir).select("work_key", F.posexplode(M.scored_locations(M.fetchable(F.col("locations")))).alias("place", "z"))
+    return ranked.select("work_key", F.col("place").cast("bigint").alias("place"), "z.x.pdf_url", "z.x.landing_page_url", F.col("z.score").cast("bigint").alias("score"))
 
 
 @query("candidate_filter", f"WITH {K.WORKS_SQL}, {_ELIGIBLE} SELECT work_key, publication_year, cited_by_count, license FROM eligible")
@@ -75,13 +75,21 @@ def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.works(spark, sf_dir).where(M.is_eligible()).select("work_key", "publication_year", "cited_by_count", M.license_of(F.col("locations")).alias("license"))
 
 
-@query("metadata_record", f"""WITH {K.WORKS_SQL}, {_ELIGIBLE} SELECT {_ID} AS id, id AS openalex_id, title, 'Author ' || o_custkey::VARCHAR AS first_author, publication_year AS year, publication_date, doi, 'article' AS type, 'en' AS language,
-  coalesce(cited_by_count, 0) AS citations, 'a journal' AS journal, 'a publisher' AS publisher, true AS open_access, license, (SELECT count(*) FROM scored s WHERE s.work_key = e.work_key) AS n_locations, false AS downloaded FROM eligible e""")
+@query("metadata_record", f"""WITH {K.WORKS_SQL}, {_ELIGIBLE},
+a_place AS (SELECT work_key, string_agg(coalesce(pdf, '-') || ' ' || coalesce(page, '-') || ' a source ' || r.source_type || ' ' || CASE WHEN coalesce(r.is_oa, false) THEN 'open' ELSE 'closed' END || ' ' || coalesce(l.license, '-') || ' ' || l.version, '; ' ORDER BY place) AS places
+  FROM ranked r JOIN (SELECT work_key, loc_ord, license, version FROM (SELECT loc.*, l_linestatus AS version FROM loc JOIN lineitem ON work_key = l_orderkey AND loc_ord = ((l_linenumber * 100000 + l_partkey) * 10000 + l_suppkey) * 64 + l_quantity::BIGINT)) l USING (work_key, loc_ord) GROUP BY work_key)
+SELECT {_ID} AS id, id AS openalex_id, title, 'Author ' || o_custkey::VARCHAR || ' A1' AS authors, publication_year AS year, publication_date, doi, 'article' AS type, 'en' AS language,
+  coalesce(cited_by_count, 0) AS citations, 'a journal' AS journal, 'a publisher' AS publisher, true AS open_access, license, places, 0::BIGINT AS attempted, NULL::VARCHAR AS successful_url, NULL::VARCHAR AS download_source, false AS downloaded, NULL::VARCHAR AS error FROM eligible JOIN a_place USING (work_key)""")
 def metadata_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the eligible works, nested fields as counts or firsts."""
+    """Records of the eligible works, nested fields written out."""
     rows = M.metadata_record(K.works(spark, sf_dir).where(M.is_eligible()))
-    rows = rows.withColumn("first_author", F.col("authors")[0]["name"]).withColumn("n_locations", F.size("oa_locations").cast("bigint"))
-    return rows.drop("authors", "oa_locations", "attempted_urls", "successful_url", "download_source", "error")
+    word = lambda x: F.coalesce(x, F.lit("-"))
+    place = lambda x: F.concat_ws(" ", word(x["pdf_url"]), word(x["landing_page_url"]), x["source"], x["source_type"], F.when(x["is_oa"], "open").otherwise("closed"), word(x["license"]), x["version"])
+    return rows.withColumns({
+        "authors": F.array_join(F.transform("authors", lambda a: F.concat_ws(" ", a["name"], a["openalex_id"])), "; "),
+        "places": F.array_join(F.transform("oa_locations", place), "; "),
+        "attempted": F.size("attempted_urls").cast("bigint"),
+    }).drop("oa_locations", "attempted_urls")
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +132,14 @@ def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.most_cited(rows, CONFIG.max_per_day).select("id", "citations")
 
 
-@query("hits_union", f"WITH {_HITS} SELECT term_ord, count(*) AS hits, count(DISTINCT id) AS works FROM hits GROUP BY term_ord")
+@query("hits_union", f"""WITH {_HITS}, older AS (SELECT 1000000000 + o_custkey AS term_ord, o_orderkey AS hit_ord, o_orderkey AS id, NULL AS work, o_totalprice AS price FROM orders WHERE o_orderstatus = 'F'),
+u AS (SELECT * FROM hits UNION ALL SELECT * FROM older) SELECT term_ord, count(*) AS hits, count(DISTINCT id) AS works, count(work) AS known FROM u GROUP BY term_ord""")
 def hits_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).groupBy("term_ord").agg(F.count("*").alias("hits"), F.countDistinct("id").alias("works"))
+    """Hits of all searches in one: those of the line items, and of an older search without works' versions."""
+    old = K.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    older = old.select((F.lit(1000000000) + F.col("o_custkey")).cast("bigint").alias("term_ord"), F.col("o_orderkey").cast("bigint").alias("hit_ord"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    found = A.union_hits(_hits(spark, sf_dir), older)
+    return found.groupBy("term_ord").agg(F.count("*").alias("hits"), F.countDistinct("id").alias("works"), F.count("work").alias("known"))
 
 
 @query("term_union", """WITH d AS (SELECT p_partkey AS term_ord, p_type AS term FROM part WHERE p_partkey % 2 = 0), c AS (SELECT p_partkey AS term_ord, CASE WHEN p_partkey % 3 = 0 THEN upper(p_type) ELSE p_brand END AS term FROM part WHERE p_partkey % 2 = 1),
@@ -141,9 +154,8 @@ def term_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stem_join", "SELECT doc_id, label.quality FROM documents JOIN labels label USING (doc_id)")
 def stem_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files and texts by their stem: documents are texts, labels' rows are PDF files."""
-    stem = lambda c: F.regexp_replace(F.regexp_extract(c, r"([^/]+)\z", 1), r"\.[^.]*\z", "")
-    texts = K.table(spark, sf_dir, "documents").select("doc_id", stem(F.concat(F.lit("/cleaned/"), "doc_id", F.lit(".txt"))).alias("stem"))
-    pdfs = K.table(spark, sf_dir, "labels").select("quality", stem(F.concat(F.lit("/papers/v1.2/"), "doc_id", F.lit(".pdf"))).alias("stem"))
+    texts = K.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/cleaned/"), "doc_id", F.lit(".txt")).alias("path")).select("doc_id", stem().alias("stem"))
+    pdfs = K.table(spark, sf_dir, "labels").select("quality", F.concat(F.lit("/papers/v1.2/"), "doc_id", F.lit(".pdf")).alias("path")).select("quality", stem().alias("stem"))
     return texts.join(pdfs, "stem").select("doc_id", "quality")
 
 
@@ -215,14 +227,17 @@ def result_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("batch_progress", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS index, (SELECT count(*) FROM documents) AS total FROM documents")
 def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of each document in its batch, by ranks within RANGES ranges of ids, so that no task numbers all."""
-    ids = K.table(spark, sf_dir, "documents").select("doc_id")
-    total, low, high = ids.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    ids = ids.withColumn("range", F.floor((F.col("doc_id") - F.lit(low)) * RANGES / F.lit((high or 0) - (low or 0) + 1)))
-    sizes = ids.groupBy("range").count()  # RANGES rows at most
-    before = sizes.select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("doc_id"))
-    return ids.withColumn("place", place).join(before, "range").select("doc_id", (F.col("before") + F.col("place")).alias("index"), F.lit(total).cast("bigint").alias("total"))
+    """Place of each document in its batch."""
+    return numbered(K.table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("batch_progress_keys", """WITH k AS (SELECT CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 42 WHEN doc_id % 3 = 1 THEN doc_id * 4611686018427 ELSE -9000000000000000000 + doc_id END AS doc_id FROM documents)
+SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS index, (SELECT count(*) FROM k) AS total FROM k""")
+def batch_progress_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with null ids, one id that many rows have, and ids spread over 64 bits."""
+    d = F.col("doc_id")
+    key = F.when(d % 10 == 0, None).when(d % 3 == 0, 42).when(d % 3 == 1, d * 4611686018427).otherwise(F.lit(-9000000000000000000) + d)
+    return numbered(K.table(spark, sf_dir, "documents").select(key.alias("doc_id")), "doc_id")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
