@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from corpusloom.functions.constants import LICENSES
 
 
+# The fields and what they are by default.
+
+
 @dataclass(frozen=True)
 class CleanConfig:
     """When a cleaned document is rejected, and what is cut."""
@@ -27,4 +30,6 @@ class AcquireConfig:
     max_per_term: int = 100
     max_per_day: int = 100
     max_retries: int = 2
+    timeout: float = 60.0
+    contact: str | None = None
     licenses: tuple[str, ...] = LICENSES

@@ -1,20 +1,43 @@
-"""Bulk find and replace over texts."""
+"""Bulk find and replace over texts.
+
+A null text has no match and is never changed; an empty one may match an empty pattern. Patterns are written
+as for Python's `re` as far as named groups go, and are what Java's engine reads otherwise.
+"""
 
 from __future__ import annotations
 
 import re
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: `(?P<name>` and `(?P=name)`, with the backslashes before them; an even number of those stands for themselves.
+NAMED = re.compile(r"(?<!\\)((?:\\\\)*)\(\?P(?:<(\w+)>|=(\w+)\))")
+
+
+def java_name(name: str) -> str:
+    """A group's name as Java allows it: letters and digits alone."""
+    return "g" + "".join(c if c.isascii() and c.isalnum() else f"x{ord(c):x}x" for c in name)
+
+
+def java_regex(pattern: str) -> str:
+    """A pattern with its named groups as Java writes them."""
+    return NAMED.sub(lambda m: m[1] + (f"(?<{java_name(m[2])}>" if m[2] else f"\\k<{java_name(m[3])}>"), pattern)
+
 
 def compile_pattern(pattern: str, use_regex: bool = False, case_sensitive: bool = False) -> str:
     """The pattern as Java reads it; a plain string matches itself. A bad pattern is a ValueError, before any job runs."""
     if use_regex:
-        try:
-            re.compile(pattern)
-        except re.error as e:
-            raise ValueError(f"bad pattern: {e}") from None
+        pattern = java_regex(pattern)
+        jvm = SparkContext._jvm
+        try:  # by the engine that executors run
+            if jvm is None:
+                re.compile(pattern)
+            else:
+                jvm.java.util.regex.Pattern.compile(pattern)
+        except Exception as e:
+            raise ValueError(f"bad pattern: {str(getattr(e, 'java_exception', e)).splitlines()[0]}") from None
     else:
         pattern = "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     return ("(?U)" if case_sensitive else "(?iU)") + pattern
@@ -29,7 +52,7 @@ def compile_replacement(replacement: str, use_regex: bool = False) -> str:
     for plain, number, name in zip(parts[::3], [*parts[1::3], None], [*parts[2::3], None]):
         out.append(plain.replace("\\", "\\\\").replace("$", "\\$"))
         if number or name:
-            out.append(f"${number}" if number else (f"${name}" if name.isdigit() else f"${{{name}}}"))
+            out.append(f"${number}" if number else (f"${name}" if name.isdigit() else f"${{{java_name(name)}}}"))
     return "".join(out)
 
 
@@ -49,6 +72,14 @@ def replace(df: DataFrame, pattern: str, replacement: str, use_regex: bool = Fal
     return found.withColumn(text_col, F.regexp_replace(F.col(text_col), java, compile_replacement(replacement, use_regex)))
 
 
+def changed(df: DataFrame, pattern: str, replacement: str, use_regex: bool = False, case_sensitive: bool = False, text_col: str = "text") -> DataFrame:
+    """All rows of df with their text after the replacement and `n`: unchanged ones as they were, with 0."""
+    java = compile_pattern(pattern, use_regex, case_sensitive)
+    n = F.coalesce(count_matches(F.col(text_col), java), F.lit(0))
+    new = F.regexp_replace(F.col(text_col), java, compile_replacement(replacement, use_regex))
+    return df.withColumn("n", n).withColumn(text_col, F.when(F.col("n") > 0, new).otherwise(F.col(text_col)))
+
+
 def totals(found: DataFrame) -> DataFrame:
     """Files with a match and matches in all."""
     return found.agg(F.count_if(F.col("n") > 0).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("replacements"))

@@ -1,15 +1,58 @@
-"""Parts of an acquisition run: the selection of works, and fetching. Quota and logs aren't joined to them."""
+"""An acquisition run: quota, search hits, selection, fetching, logs.
+
+Selection is a plan of relational steps. Fetching waits for servers, and goes by record in Python on
+executors, whose files are in a folder that all share. Everything that a task does may be done again: a
+file that is there and valid isn't fetched twice, and logs are written once, from what was staged.
+"""
 
 from __future__ import annotations
 
+import os
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import AcquireConfig
 from corpusloom.operators import acquire, metadata
+from corpusloom.operators.acquire import MIN_PDF_BYTES
+from corpusloom.sources.files import put_file
+from corpusloom.sources.state import append_log, exists, load_state, read_ids, save_state, write_records
+
+#: get(url, timeout) -> (status, or None for a lost connection, chunks of the body)
+Get = Callable[[str, float], tuple[int | None, Iterator[bytes]]]
+
+
+def http_get(url: str, timeout: float) -> tuple[int | None, Iterator[bytes]]:
+    """A GET whose body comes in chunks of a megabyte."""
+    import urllib.error
+    import urllib.request
+
+    try:
+        answer = urllib.request.urlopen(url, timeout=timeout)  # noqa: S310
+    except urllib.error.HTTPError as e:
+        return e.code, iter(())
+    except OSError:
+        return None, iter(())
+
+    def chunks() -> Iterator[bytes]:
+        with answer:
+            while chunk := answer.read(1 << 20):
+                yield chunk
+
+    return answer.status, chunks()
+
+
+def is_pdf_file(path: str) -> bool:
+    """Whether a file is there, long enough, and begins as a PDF does; any error is a no."""
+    try:
+        with open(path, "rb") as f:
+            return os.path.getsize(path) >= MIN_PDF_BYTES and f.read(5) == b"%PDF-"
+    except OSError:
+        return False
 
 
 def select_works(hits: DataFrame, manifest_ids: DataFrame, pdf_ids: DataFrame, config: AcquireConfig | None = None, remaining: int | None = None) -> DataFrame:
@@ -24,36 +67,118 @@ def select_works(hits: DataFrame, manifest_ids: DataFrame, pdf_ids: DataFrame, c
     return metadata.metadata_record(top.select("work.*"))
 
 
-def fetch_records(records: DataFrame, fetch: Callable[[str], tuple[int | None, bool]], config: AcquireConfig | None = None) -> DataFrame:
-    """id, success, new_download, error of each record: places in order, each up to max_retries times.
+def try_place(url: str | None, path: str, get: Get, retries: int, timeout: float, wait: Callable[[float], None] = time.sleep) -> str:
+    """What comes of one place: success, no_pdf_url, not_a_pdf, http_<status>, connection or unknown_failure.
 
-    fetch(url) gives (status or None, whether a PDF came) and must be safe to repeat, since a task may be.
+    A server's failure, or a lost connection, is tried again, each time after two seconds more; what was
+    fetched takes its place only if it is a PDF.
     """
-    tries = (config or AcquireConfig()).max_retries
-
-    def attempt(url: str | None) -> str:
-        if not url:
-            return "no_pdf_url"
-        last = "unknown_failure"
-        for _ in range(tries):
-            status, ok = fetch(url)
-            if status == 200:
-                return "success" if ok else "not_a_pdf"
-            last = "connection" if status is None else f"http_{status}"
-            if status is not None and status < 500:
-                return last
-        return last
+    if not url:
+        return "no_pdf_url"
+    last = "unknown_failure"
+    for attempt in range(1, retries + 1):
+        status, body = get(url, timeout)
+        if status == 200:
+            try:
+                good = put_file(lambda f: f.writelines(body), path, is_pdf_file)
+            except (OSError, ValueError):  # lost on the way
+                status = None
+            else:
+                return "success" if good else "not_a_pdf"
+        last = "connection" if status is None else f"http_{status}"
+        if status is not None and status < 500:
+            return last
+        if attempt < retries:
+            wait(2.0 * attempt)
+    return last
+
+
+def fetch_records(records: DataFrame, folder: str, get: Get = http_get, config: AcquireConfig | None = None, wait: Callable[[float], None] = time.sleep, tasks: int | None = None) -> DataFrame:
+    """The records with what came of them: attempted_urls, successful_url, download_source, downloaded, error; and success, new_download.
+
+    A valid file of the id is a success that isn't new. Else places are tried in order until one succeeds;
+    without any the error is `no_locations`. Files are `<id>.pdf` of `folder`, which all executors share.
+    The returned rows are made by fetching; to run them again fetches nothing that is there.
+    """
+    config = config or AcquireConfig()
+    retries, timeout = config.max_retries, config.timeout
+    kind = "struct<attempted: array<string>, url: string, source: string, success: boolean, fresh: boolean, error: string>"
+
+    def one(id_: str, places) -> dict:
+        path = f"{folder}/{id_}.pdf"
+        out = {"attempted": [], "url": None, "source": None, "success": True, "fresh": False, "error": None}
+        if is_pdf_file(path):
+            return out
+        result = "no_locations"
+        for place in [] if places is None else places:
+            url = place["pdf_url"]
+            if url:
+                out["attempted"].append(url)
+            result = try_place(url, path, get, retries, timeout, wait)
+            if result == "success":
+                return out | {"url": url, "source": place["source"], "fresh": True}
+        return out | {"success": False, "error": result}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for id_, places in zip(batch["id"], batch["urls"]):
-                result = "no_locations"
-                for url in list(places) if places is not None else []:
-                    result = attempt(url)
-                    if result == "success":
-                        break
-                rows.append((id_, result == "success", result == "success", None if result == "success" else result))
-            yield pd.DataFrame(rows, columns=["id", "success", "new_download", "error"])
-
-    return records.select("id", F.transform("oa_locations", lambda x: x["pdf_url"]).alias("urls")).mapInPandas(run, "id string, success boolean, new_download boolean, error string")
+            yield pd.DataFrame({"id": batch["id"], "o": [one(i, x) for i, x in zip(batch["id"], batch["places"])]})
+
+    asked = records.select("id", F.transform("oa_locations", lambda x: F.struct(x["pdf_url"].alias("pdf_url"), x["source"].alias("source"))).alias("places"))
+    done = asked.repartition(tasks or 6, "id").mapInPandas(run, f"id string, o {kind}")
+    out = records.drop("attempted_urls", "successful_url", "download_source", "downloaded", "error").join(done, "id")
+    return out.select(
+        *[c for c in records.columns if c not in ("attempted_urls", "successful_url", "download_source", "downloaded", "error")],
+        F.col("o.attempted").alias("attempted_urls"), F.col("o.url").alias("successful_url"), F.col("o.source").alias("download_source"), F.col("o.success").alias("downloaded"),
+        F.col("o.error").alias("error"), F.col("o.success").alias("success"), F.col("o.fresh").alias("new_download"),
+    )
+
+
+@dataclass(frozen=True)
+class Folders:
+    """Where a run keeps its files, in a store that all executors share."""
+
+    papers: str
+    metadata: str
+    manifest: str
+    failed: str
+    state: str
+    staging: str
+
+
+def log_results(results: DataFrame, folders: Folders) -> None:
+    """Successes go to the manifest and their records are kept; failures go to the failed log, and are tried again by the next run."""
+    routed = acquire.route(results).drop("counted", "new_download", "success")
+    tried = routed.where("error is null or error <> 'no_locations'")
+    write_records(tried.drop("log"), folders.metadata)
+    for name, path in (("manifest", folders.manifest), ("failed", folders.failed)):
+        append_log(routed.where(F.col("log") == name).drop("log"), path)
+
+
+def acquire_run(spark: SparkSession, hits: Callable[[], DataFrame], folders: Folders, today: str, get: Get = http_get, config: AcquireConfig | None = None, wait: Callable[[float], None] = time.sleep) -> dict:
+    """One run: what the day's quota leaves is searched for, selected, fetched and logged. Gives the run's totals.
+
+    `hits` makes the rows to choose from (term_ord, hit_ord, work), and isn't asked if nothing is left of
+    the quota. Ids of the manifest, and those with a valid file, aren't fetched.
+    """
+    config = config or AcquireConfig()
+    state = load_state(spark, folders.state, today)
+    remaining = max(config.max_per_day - state["downloads"], 0)
+    totals = {"selected": 0, "successful": 0, "failed": 0, "new": 0, "remaining": remaining}
+    if not remaining:
+        return totals
+    held = spark.createDataFrame([], "id string")
+    if exists(spark, folders.papers):
+        from corpusloom.sources.files import list_pdfs
+
+        held = list_pdfs(spark, folders.papers).where("valid").select(F.col("doc_id").alias("id"))
+    chosen = select_works(hits(), read_ids(spark, folders.manifest), held, config, remaining)
+    # staged before and after: a second look at either is no second search or fetch
+    selected, results = f"{folders.staging}/selected", f"{folders.staging}/results"
+    chosen.write.mode("overwrite").parquet(selected)
+    records = spark.read.parquet(selected)
+    fetch_records(records, folders.papers, get, config, wait).write.mode("overwrite").parquet(results)
+    found = spark.read.parquet(results)
+    log_results(found, folders)
+    counted = found.agg(F.count("*").alias("selected"), F.count_if("success").alias("successful"), F.count_if(~F.col("success")).alias("failed"), F.count_if("new_download").alias("new")).first().asDict()
+    save_state(spark, folders.state, {"date": today, "downloads": state["downloads"] + counted["new"]})
+    return counted | {"remaining": remaining - counted["new"]}

@@ -11,10 +11,11 @@ from corpusloom.operators import acquire as A
 from corpusloom.operators import edit as E
 from corpusloom.operators import metadata as M
 from corpusloom.operators.progress import numbered
+from corpusloom.operators.run import select_works
 from corpusloom.plans import carriers as K
 from corpusloom.plans import sql as S
 from corpusloom.sources.files import stem
-from corpusloom.sources.state import remaining_today, valid_ids
+from corpusloom.sources.state import latest, remaining_today, valid_ids
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -240,6 +241,27 @@ def batch_progress_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(K.table(spark, sf_dir, "documents").select(key.alias("doc_id")), "doc_id")
 
 
+@query("run_selection", f"""WITH {K.WORKS_SQL}, {_ELIGIBLE},
+c AS (SELECT work_key, o_custkey % 50 AS term_ord, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY work_key) AS n FROM work),
+s AS (SELECT {_ID} AS id, coalesce(cited_by_count, 0) AS citations, term_ord, work_key FROM eligible JOIN c USING (work_key) WHERE n <= {CONFIG.max_per_term})
+SELECT id, citations FROM s WHERE work_key % 7 <> 0 AND work_key % 5 <> 0 ORDER BY citations DESC, term_ord, work_key LIMIT {CONFIG.max_per_day}""")
+def run_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run would fetch, customers standing for search terms; some works are in the manifest, some have a file."""
+    all_ = K.works(spark, sf_dir)
+    rows = all_.join(K.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("work_key"), "o_custkey"), "work_key")
+    names = [c for c in all_.columns if c != "work_key"]
+    hits = rows.select((F.col("o_custkey") % 50).alias("term_ord"), F.col("work_key").alias("hit_ord"), F.struct(*names).alias("work"))
+    ids = all_.select("work_key", M.work_id(F.col("id"), F.col("doi"), F.col("title")).alias("id"))
+    return select_works(hits, ids.where("work_key % 7 = 0"), ids.where("work_key % 5 = 0"), CONFIG).select("id", "citations")
+
+
+@query("latest_records", "SELECT user_id AS id, max(event_id) AS version, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def latest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each id the record that was written last: events are versions of their users' records."""
+    e = K.table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), "value")
+    return latest(e, "version")
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.texts(spark, sf_dir)
 

@@ -1,11 +1,18 @@
-"""Folders of PDF and text files."""
+"""Folders of PDF and text files.
+
+Files aren't sorted: their contents would be shuffled for it. in_order() numbers them by path, which moves
+paths alone. An empty folder gives no rows.
+"""
 
 from __future__ import annotations
 
+import contextlib
+import os
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.acquire import is_pdf
@@ -17,9 +24,15 @@ def stem(path_col: str = "path"):
 
 
 def list_pdfs(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length, content of a folder's PDF files, not of its subfolders, by path; `valid` tells real ones."""
+    """path, length, content of a folder's PDF files, not of its subfolders; `valid` tells real ones."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
-    return files.withColumn("valid", is_pdf(F.col("length"), F.col("content"))).withColumn("doc_id", stem()).orderBy("path")
+    return files.withColumn("valid", is_pdf(F.col("length"), F.col("content"))).withColumn("doc_id", stem())
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """path, index (from 1, by path), total. A folder's listing fits the driver, which has made it; so do its paths."""
+    paths = files.select("path")
+    return paths.withColumn("index", F.row_number().over(Window.orderBy("path")).cast("bigint")).withColumn("total", F.count("*").over(Window.partitionBy()))
 
 
 def extract_with_mupdf(content: bytes) -> list[list[str]]:
@@ -54,11 +67,53 @@ def extract_pages(files: DataFrame, extract: Callable[[bytes], list[list[str]]]
 
 
 def read_texts(spark: SparkSession, folder: str, name: str = "*.txt") -> DataFrame:
-    """doc_id, path, text of cleaned files, by path; `name` may be one file's."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter=name).withColumn("path", F.input_file_name())
-    return files.select(stem().alias("doc_id"), "path", F.col("value").alias("text")).orderBy("path")
+    """doc_id, path, text of cleaned files; `name` may be one file's."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=name).select("value", F.col("_metadata.file_path").alias("path"))
+    return files.select(stem().alias("doc_id"), "path", F.col("value").alias("text"))
 
 
 def write_texts(cleaned: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """Valid documents (doc_id, text, valid) as a table; a rejected one leaves nothing."""
     cleaned.where("valid").select("doc_id", "text").write.mode(mode).parquet(folder)
+
+
+def put_file(write: Callable[[BinaryIO], None], path: str, check: Callable[[str], bool] = lambda _: True) -> bool:
+    """Write a file under another name, check it, and put it in its place; what fails the check leaves nothing."""
+    part = f"{path}.part"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    try:
+        with open(part, "wb") as f:
+            write(f)
+        if not check(part):
+            return False
+        os.replace(part, path)
+        return True
+    finally:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(part)
+
+
+def write_text_files(texts: DataFrame, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Write each text to `<doc_id>.txt` (UTF-8) of a folder that all executors share; doc_id, `keep`, and error, null if it went well.
+
+    The returned rows are made by writing: the caller runs them once. A repeated doc_id is written again;
+    a null or one that isn't a plain file name is an error, as is a file that can't be written; no other
+    file is touched by it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            errors = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                error = None
+                try:
+                    if not doc_id or os.path.basename(doc_id) != doc_id:
+                        raise ValueError("no file name")
+                    put_file(lambda f, text=text: f.write((text or "").encode()), f"{folder}/{doc_id}.txt")
+                except Exception as e:  # noqa: BLE001  one file's error stops no other
+                    error = f"{type(e).__name__}: {e}"
+                errors.append(error)
+            yield batch[["doc_id", *keep]].assign(error=errors)
+
+    kept = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in keep)
+    return texts.select("doc_id", "text", *keep).mapInPandas(run, f"doc_id string, {kept}error string")

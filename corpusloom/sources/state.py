@@ -1,11 +1,22 @@
-"""Logs of what was fetched: append-only tables of JSON lines, from which ids and quotas follow."""
+"""Logs of what was fetched: append-only tables of JSON lines, from which ids and quotas follow.
+
+A log or a state that isn't there is one without rows. Lines that can't be read are passed over.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or a folder, in whatever store Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def valid_ids(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """Distinct non-empty ids of JSON lines; lines that are no JSON object or have no id are passed over."""
     found = F.get_json_object(line_col, "$.id")
@@ -13,18 +24,61 @@ def valid_ids(lines: DataFrame, line_col: str = "value") -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    return valid_ids(spark.read.text(path))
+    """Distinct ids of a log; none if it isn't there."""
+    return valid_ids(spark.read.text(path)) if exists(spark, path) else spark.createDataFrame([], "id string")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append rows as JSON lines; Spark's commit makes it all or nothing."""
-    rows.write.mode("append").json(path)
+    """Append rows as JSON lines, null fields and all; Spark's commit makes it all or nothing."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def write_records(rows: DataFrame, path: str, version: Column | None = None) -> None:
+    """Add records (with `id`) to a table, each stamped with its version: the time, unless one is given.
+
+    Nothing is rewritten, so a reader never sees half a record; read_records() has the last of each id.
+    """
+    rows.withColumn("_version", (F.current_timestamp() if version is None else version).cast("timestamp")).write.mode("append").parquet(path)
 
 
-def write_records(rows: DataFrame, path: str, mode: str = "append") -> None:
-    rows.write.mode(mode).parquet(path)
+def latest(records: DataFrame, version_col: str) -> DataFrame:
+    """Of each id the record of the highest version; of equal ones any. Aggregated before rows are shuffled."""
+    return records.groupBy("id").agg(F.max_by(F.struct(*[c for c in records.columns if c != "id"]), version_col).alias("_r")).select("id", "_r.*")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Of each id the record that was written last."""
+    return latest(spark.read.parquet(path), "_version").drop("_version")
 
 
 def remaining_today(state_date: Column, downloads: Column, today: Column, per_day: int) -> Column:
-    """How many downloads a day's state leaves; another day's counts for nothing."""
-    return F.greatest(F.lit(per_day) - F.when(state_date == today, downloads).otherwise(0), F.lit(0))
+    """How many downloads a day's state leaves; another day's, or a null one, counts for nothing."""
+    return F.greatest(F.lit(per_day) - F.when(state_date == today, F.coalesce(downloads, F.lit(0))).otherwise(0), F.lit(0))
+
+
+def load_state(spark: SparkSession, path: str, today: str) -> dict:
+    """The day's counter (date, downloads). Missing, unreadable or another day's state is a new one, which is saved."""
+    fresh = {"date": today, "downloads": 0}
+    if exists(spark, path):
+        line = spark.read.text(path, wholetext=True).first()
+        try:
+            found = json.loads(line[0]) if line else None
+            if isinstance(found, dict) and found.get("date") == today:
+                return {"date": today, "downloads": int(found.get("downloads") or 0)}
+        except (ValueError, TypeError):
+            return fresh  # an unreadable state is left for a human to see
+    save_state(spark, path, fresh)
+    return fresh
+
+
+def save_state(spark: SparkSession, path: str, state: dict) -> None:
+    """Write the counter beside the old one, then put it in its place: a reader sees either."""
+    context = spark.sparkContext
+    path_of = context._jvm.org.apache.hadoop.fs.Path
+    part, where = path_of(path + ".part"), path_of(path)
+    files = where.getFileSystem(context._jsc.hadoopConfiguration())
+    out = files.create(part, True)
+    out.write(bytearray(json.dumps(state).encode()))
+    out.close()
+    files.delete(where, False)
+    files.rename(part, where)

@@ -1,15 +1,23 @@
-"""Search hits of a bibliographic service: from a dump, or by a search that is given."""
+"""Search hits of a bibliographic service: from a dump, by a search that is given, or over HTTP.
+
+A term without hits, or whose first page fails, gives no row; rows that are no JSON are null works.
+"""
 
 from __future__ import annotations
 
+import json
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.metadata import WORK_SCHEMA
 
+#: Fixed value: works of a page.
+PAGE = 100
 #: fetch(term, cursor) -> (works as JSON strings, next cursor or None); raises on failure.
 Fetch = Callable[[str, str], tuple[list[str], str | None]]
 
@@ -26,9 +34,9 @@ def parse_works(df: DataFrame, json_col: str = "json") -> DataFrame:
 def search(terms: DataFrame, fetch: Fetch, cap: int = 100) -> DataFrame:
     """term_ord, hit_ord, json of each term's first `cap` hits; pages until the cap, an empty page, no cursor or a failure. What came before a failure stays."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for term_ord, term in zip(batch["term_ord"], batch["term"]):
+            for term_ord, term in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found: list[str] = []
                 cursor: str | None = "*"
                 while cursor and len(found) < cap:
@@ -40,9 +48,27 @@ def search(terms: DataFrame, fetch: Fetch, cap: int = 100) -> DataFrame:
                         break
                     found += page
                 found = found[:cap]
-                yield pd.DataFrame({"term_ord": [term_ord] * len(found), "hit_ord": range(len(found)), "json": found}).astype({"term_ord": "int32", "hit_ord": "int32"})
+                columns = [pa.array([term_ord] * len(found), pa.int32()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["term_ord", "hit_ord", "json"])
+
+    # a term a task: searching waits for the service
+    rows = terms.select(F.col("term_ord").cast("int").alias("term_ord"), "term").repartition("term_ord")
+    return rows.mapInArrow(run, "term_ord int, hit_ord int, json string")
+
+
+def http_fetch(base_url: str, contact: str | None = None, key: str | None = None, per_page: int = PAGE, timeout: float = 60.0) -> Fetch:
+    """fetch(term, cursor) over HTTP: a page of works and the cursor of the next. Whatever isn't a 200 is raised, which ends the term."""
+
+    def fetch(term: str, cursor: str) -> tuple[list[str], str | None]:
+        ask = {"search": term, "per_page": per_page, "cursor": cursor} | ({"api_key": key} if key else {})
+        request = urllib.request.Request(f"{base_url}?{urllib.parse.urlencode(ask)}", headers=session_headers(contact))
+        with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
+            if answer.status != 200:
+                raise OSError(f"HTTP {answer.status}")
+            page = json.load(answer)
+        return [json.dumps(x, ensure_ascii=False) for x in page.get("results") or []], (page.get("meta") or {}).get("next_cursor")
 
-    return terms.select("term_ord", "term").mapInPandas(run, "term_ord int, hit_ord int, json string")
+    return fetch
 
 
 def session_headers(contact: str | None = None) -> dict[str, str]:
