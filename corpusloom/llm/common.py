@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -37,37 +41,60 @@ def held_out(doc_id: Column, n: int, left: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: the session's `spark.checkpoint.dir`.
+
+    Where it is unset, a temporary folder on a local master, whose executors are this process; on any
+    other master an error, because executors would write to their own disks.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.get("path")
     if not found:
-        found = getattr(spark, "_corpusloom_dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-        spark._corpusloom_dir = found
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        found = _own_dir["path"] = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
+#: The folder made where the session names none.
+_own_dir: dict[str, str] = {}
+#: Staged tables that are still there: path -> what deletes it.
+_staged: dict = {}
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends, executors may be lost."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends, executors may be lost.
+
+    The table goes with release(), or at the end of the driver's Python.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom/{uuid.uuid4().hex}/{label}"
+    if not _staged:
+        atexit.register(lambda: [_delete(x) for x in list(_staged)])
+    _staged[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_path = path
+    return found
 
 
-def parts(df: DataFrame) -> int:
-    """Partitions for a shuffle of about the input's size: the session's setting."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
+def _delete(path: str) -> None:
+    jvm, conf = _staged.pop(path)
+    with contextlib.suppress(Exception):  # what can't be deleted is left over, no more
+        folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
 
-def in_sample(key: Column, share: float, seed: int = 0) -> Column:
-    """A repeatable sample of rows by a hash of their key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
 
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that no result needs any more: all that read them is staged itself."""
+    for x in tables:
+        if getattr(x, "_staged_path", None) in _staged:
+            _delete(x._staged_path)
 
-def arrow_type(df: DataFrame, name: str):
-    """The Arrow type of a column."""
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    return to_arrow_type(df.schema[name].dataType)
+def parts(df: DataFrame) -> int:
+    """Partitions for a shuffle of about the input's size: the session's setting."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 #: Bits of the reducer below: 1 MB, whatever the data.

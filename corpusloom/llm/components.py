@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stage
+from corpusloom.llm.common import release, stage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the node's least neighbour."""
+def _large_star(edges: DataFrame, used: list) -> DataFrame:
+    """Every larger neighbour of a node is tied to the node's least neighbour. Staged tables go to `used`."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
     least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # staged, so that Spark splits a hub's rows
+    used.append(least)
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are tied to the least of them."""
+def _small_star(edges: DataFrame, used: list) -> DataFrame:
+    """A node and its smaller neighbours are tied to the least of them. Staged tables go to `used`."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = stage(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+    used.append(least)
     tied = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return tied.union(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -39,6 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _is_stars(edges):
-        edges = stage(_small_star(_large_star(edges)), "edges")
+        used = [edges]
+        edges = stage(_small_star(_large_star(edges, used), used), "edges")
+        release(*used)
     roots = edges.select(F.col("b").alias("id")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(roots.select("id", F.col("id").alias("root")))

@@ -2,20 +2,21 @@
 
 A word seen in training is scored by its log frequency in each language. A word that wasn't is scored by
 its longest character n-grams that were, at first of MAX_GRAM characters and then of ever fewer. A text's
-score for a language is the mean over its words.
+score for a language is the mean over its words. Words and n-grams are kept by their 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import re
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out, in_sample, prepare, read
+from corpusloom.llm.common import held_out, prepare, read
 
 UNKNOWN = "und"
 MAX_GRAM = 5
@@ -26,13 +27,26 @@ CACHE_WORDS = 400_000
 EVIDENCE = 16
 
 
+#: More languages than this are no languages.
+MAX_LANGS = 1024
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """langs in order; grams: the logs of the shares per language, `\\x00word` for whole words."""
+    """langs in order; sorted hashes of words and n-grams; a row of logs of shares per language for each; floors by kind.
+
+    Kind 0 is whole words, kind n the n-grams. About 8 + 4 bytes a language for each word or n-gram.
+    """
 
     langs: list
-    grams: dict
-    floors: list
+    hashes: np.ndarray
+    logs: np.ndarray
+    floors: np.ndarray
+
+
+def hash_of(gram: str, kind: int) -> int:
+    """64 bits; words and n-grams of the same characters differ."""
+    return xxhash.xxh3_64_intdigest(gram.encode(), kind) - (1 << 63)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -49,69 +63,72 @@ def grams_of(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", max_docs: int = 8000, max_grams: int = 200_000, min_count: int = 3) -> LanguageModel:
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", max_docs: int = 8000, min_count: int = 3) -> LanguageModel:
     """Learn from at most about `max_docs` rows that have a language, as many of each as there are.
 
-    The sample is taken by a hash of `key_col`, each language with its own share; `max_grams` bounds the
-    model, by count. Rows without text or language are left out. Of no rows a model without languages
-    comes.
+    The sample is taken by a hash of `key_col`, each language with its own share; of the rows of one key
+    and language only the least text counts. All words and n-grams that the sample has `min_count` times
+    are kept, so the model is bounded by the sample alone. Rows without text or language are left out. Of
+    no rows a model without languages comes; more than MAX_LANGS languages are an error.
     """
-    prepare(df.sparkSession)
+    spark = df.sparkSession
+    prepare(spark)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_docs).collect()}
-    if not counts:
-        return LanguageModel([], {}, [])
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGS} values")
     langs = sorted(counts)
+    if not langs:
+        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((MAX_GRAM + 1, 0)))
     quota = max_docs / len(langs)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, quota / counts[lang]))])
     chosen = rows.where(F.pmod(F.xxhash64(F.col(key_col), F.lit(1)), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000)
+    chosen = chosen.select(F.col(key_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).groupBy("key", "lang").agg(F.min("text").alias("text"))
 
     def count(batches):
         from collections import Counter
 
-        found: dict = {}
+        at = {lang: i for i, lang in enumerate(langs)}
+        found: list[Counter] = [Counter() for _ in langs]
+
+        def out():
+            for k, c in enumerate(found):
+                grams: Counter = Counter()
+                for word, n in c.items():
+                    grams[hash_of(word, 0), 0] += n
+                    for kind in range(1, MAX_GRAM + 1):
+                        for g in grams_of(word, kind):
+                            grams[hash_of(g, kind), kind] += n
+                c.clear()
+                items = list(grams.items())
+                for a in range(0, len(items), 50_000):
+                    part = items[a : a + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([h for (h, _), _ in part], pa.int64()), pa.array([x for (_, x), _ in part], pa.int32()), pa.array([k] * len(part), pa.int32()), pa.array([n for _, n in part], pa.int64())], names=["h", "kind", "lang", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = found.setdefault(lang, Counter())
-                c.update(words_of(text))
-        for lang, c in found.items():
-            grams: Counter = Counter()
-            for word, k in c.items():
-                grams["\0" + word] += k
-                for n in range(1, MAX_GRAM + 1):
-                    for g in grams_of(word, n):
-                        grams[g] += k
-            items = list(grams.items())
-            for at in range(0, len(items), 50_000):
-                part = items[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([g for g, _ in part]), pa.array([k for _, k in part], pa.int64())], names=["lang", "gram", "n"])
-
-    pairs = chosen.select(lang_col, text_col).mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    wide = pairs.groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    kept = wide.where(F.col("total") >= min_count).orderBy(F.desc("total"), "gram").limit(max_grams).toPandas()
-    kind = [0 if g[0] == "\0" else len(g) for g in kept.gram]
-    table = np.zeros((len(kept), len(langs)))
-    at = {lang: i for i, lang in enumerate(langs)}
-    for i, by in enumerate(kept.by_lang):
-        for lang, n in by.items():
-            table[i, at[lang]] = n
-    floors, kind = [], np.array(kind, int)
-    logs = np.zeros_like(table)
+                found[at[lang]].update(words_of(text))
+            if sum(map(len, found)) > 100_000:
+                yield from out()
+        yield from out()
+
+    by = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(langs))]
+    grams = chosen.select("lang", "text").mapInArrow(count, "h bigint, kind int, lang int, n bigint").groupBy("h", "kind").agg(F.sum("n").alias("total"), *by)
+    kept = grams.where(F.col("total") >= min_count).select("h", F.col("kind").cast("byte").alias("kind"), *[F.col(f"n{k}").cast("float").alias(f"n{k}") for k in range(len(langs))]).toArrow()
+    return _model(langs, kept.column("h").to_numpy(), kept.column("kind").to_numpy(), np.stack([kept.column(f"n{k}").to_numpy() for k in range(len(langs))], 1))
+
+
+def _model(langs: list, hashes: np.ndarray, kind: np.ndarray, table: np.ndarray) -> LanguageModel:
+    """From counts by hash and language: shares of what a language has of a kind, half a count more each."""
+    order = np.argsort(hashes)
+    hashes, kind, table = hashes[order], kind[order], table[order]
+    floors, logs = np.zeros((MAX_GRAM + 1, len(langs))), np.zeros(table.shape, np.float32)
     for k in range(MAX_GRAM + 1):
         own = kind == k
-        totals = table[own].sum(0) + 0.5 * (own.sum() + 1)
+        totals = table[own].sum(0, dtype=np.float64) + 0.5 * (own.sum() + 1)
         logs[own] = np.log((table[own] + 0.5) / totals)
-        floors.append(np.log(0.5 / totals).tolist())
-    return LanguageModel(langs, dict(zip(kept.gram, logs.tolist())), floors)
-
-
-def unseen_word(word: str, model: LanguageModel) -> list[float]:
-    """The mean over the word's longest n-grams that the model has."""
-    for n in range(MAX_GRAM, 0, -1):
-        found = [model.grams[g] for g in grams_of(word, n) if g in model.grams]
-        if found:
-            return [sum(x) / len(found) for x in zip(*found)]
-    return model.floors[0]
+        floors[k] = np.log(0.5 / totals)
+    return LanguageModel(langs, hashes, logs, floors)
 
 
 class Scorer:
@@ -119,12 +136,23 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        self.row_of = dict(zip(model.hashes.tolist(), range(len(model.hashes))))
         self.reset()
 
     def reset(self) -> None:
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.model.langs)))
 
+    def word(self, word: str) -> np.ndarray:
+        """The logs of a word: its own, or the mean over its longest n-grams that the model has, or the floor."""
+        if (row := self.row_of.get(hash_of(word, 0))) is not None:
+            return self.model.logs[row]
+        for n in range(MAX_GRAM, 0, -1):
+            found = [row for g in grams_of(word, n) if (row := self.row_of.get(hash_of(g, n))) is not None]
+            if found:
+                return self.model.logs[found].mean(0, dtype=np.float64)
+        return self.model.floors[0]
+
     def rows(self, words: list[str]) -> np.ndarray:
         if len(self.at) > CACHE_WORDS:
             self.reset()
@@ -132,8 +160,7 @@ class Scorer:
             k = len(self.at)
             if k >= len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            known = self.model.grams.get("\0" + w)
-            self.table[k] = known if known is not None else unseen_word(w, self.model)
+            self.table[k] = self.word(w)
             self.at[w] = k
         return self.table[list(map(self.at.__getitem__, words))]
 
@@ -155,11 +182,14 @@ def language_id(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
     """
     spark = df.sparkSession
     prepare(spark)
-    sent = spark.sparkContext.broadcast((model.langs, model.grams, model.floors))
+    sent = spark.sparkContext.broadcast({"model": (model.langs, model.hashes, model.logs, model.floors)})
     names = [id_col, *keep]
 
     def run(batches):
-        score = Scorer(LanguageModel(*sent.value))
+        kept = sent.value  # a worker keeps the scorer, with the words that it has met, between its tasks
+        if "scorer" not in kept:
+            kept["scorer"] = Scorer(LanguageModel(*kept["model"]))
+        score = kept["scorer"]
         for batch in batches:
             got = [score(x) for x in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*names, "lang_pred", "score"])
