@@ -4,7 +4,8 @@ At the first level windows of `seed` words are looked at, of which each window o
 contributes the one with the least hash, so that equal longer windows contribute equal shorter ones.
 Windows that occur in two documents or more alone are extended to twice the length, level by level, until
 the length asked for is reached or no candidate survives. Documents of the same words are judged by one
-of them, the one with the smallest id. A window's words are hashed to 128 bits by doubling too.
+of them, the one with the smallest id. A window is known by two 64-bit hashes, each by doubling from hashes
+of its words, which have 64 bits of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import prepare, read, reduced, stage
+from corpusloom.llm.common import prepare, read, reduced, release, stage
 
 WINDOW = 50
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -60,7 +61,7 @@ def anchors(values: np.ndarray, seed: int, window: int) -> tuple[np.ndarray, np.
 
 
 def levels(window: int) -> list[int]:
-    """Lengths that double up to `window`, from an eighth of it where it divides, at 25 words or more."""
+    """Lengths that double up to `window`, halved from it while that gives whole numbers of 25 or more; its half, rounded up, and itself if that gives no other."""
     found = [window]
     while found[0] % 2 == 0 and found[0] // 2 >= 25:
         found.insert(0, found[0] // 2)
@@ -141,16 +142,20 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     marks = stage(judged.join(repeated, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("marks")), "marks")
     texts = reduced(docs.where(F.col("text").isNotNull()), marks, "id").join(marks, "id")
     texts = stage(texts.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    release(scanned, firsts, repeated, marks)
     for length in lengths[1:]:
-        at = _candidates(texts, lengths[0], lengths[1], length)
+        # staged: the windows are hashed once, though they are grouped and joined
+        at = stage(_candidates(texts, lengths[0], lengths[1], length), f"windows-{length}")
         owners = stage(at.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b"), f"owners-{length}")
         kept = at.join(owners, ["h1", "h2"])
         if length == window:
             kept = kept.where(F.col("id") > F.col("a"))
         places = kept.groupBy("_row").agg(F.collect_list("pos").alias("marks"))
+        before = texts
         texts = texts.drop("marks").join(places, "_row")
         if length < window:
             texts = stage(texts, f"at-{length}")
+            release(before, at, owners)
             if texts.isEmpty():
                 break
     return every, texts.select("id", "text", F.col("marks").alias("places"))
