@@ -5,8 +5,11 @@ recursively: at a node some tokens are sampled by a hash of the node's path, 1 /
 expected, and every set goes to one child for each sampled token that it has. Nodes of at most LIMIT sets
 are compared by brute force. Nodes still larger at the last level are dealt into blocks, and every pair of
 blocks is compared: to split them further would lower the chance that a pair shares a node, which the
-number of runs is planned by. As many runs are made as the target recall of a pair at the threshold needs. Pairs whose tokens agree enough tie sets into candidate groups; within these, every
-pair's likeness is computed from the whole sets, in blocks.
+number of runs is planned by. As many runs are made as the target recall of a pair at the threshold needs.
+Sets are compared by sketches of BINS bytes, the least hash of each part of the hash range, and by their
+sizes; those near enough are tied into candidate groups, within which every pair's likeness is computed from
+the whole sets, in blocks. A sketch's error is a quarter of what the tokens' would be, so that texts on a
+common form, far below the threshold, tie no groups together.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import parts, prepare, read, reduced, stage
+from corpusloom.llm.common import parts, prepare, read, reduced, release, stage
 from corpusloom.llm.components import components
 from corpusloom.llm.substring_dedup import BASES, mixed, windows, word_values
 
@@ -33,8 +36,10 @@ SIZE = 64
 LIMIT, LEVELS = 200, 3
 #: Sets, on average, of a block of a node that is too large at the last level.
 NODE_BLOCK = 2000
-#: Two sets are candidates if this much less than the threshold of their tokens agree: five standard deviations.
-SLACK = 0.25
+#: Parts of the hash range, each of which gives a sketch a byte.
+BINS = 256
+#: Two sets are candidates if their sketches' likeness is so many standard deviations below the threshold, or higher.
+DEVIATIONS = 5
 #: Shingles, and sets, of a block of a candidate group, on average.
 BLOCK, SETS = 200_000, 1000
 #: Columns of shingles multiplied at a time.
@@ -73,6 +78,28 @@ def tokens(hashes: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+_edges = (np.arange(BINS, dtype=np.uint64) * np.uint64(2**64 // BINS)).astype(np.uint64)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Of each part of the hash range a byte of the set's least hash there, 1 to 255; 0 if it has none. `hashes` are sorted."""
+    at = np.searchsorted(hashes, _edges)
+    out = np.zeros(BINS, np.uint8)
+    own = np.diff(np.append(at, len(hashes))) > 0
+    out[own] = hashes[at[own]] % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def near(left: np.ndarray, right: np.ndarray, left_sizes: np.ndarray, right_sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which sets at `left` may be as near as the threshold to which at `right`, by sketches and sizes."""
+    both = agreement(left, right)
+    empty = (left == 0).astype(np.float32) @ (right == 0).astype(np.float32).T
+    parts = BINS - empty
+    least = threshold * parts - DEVIATIONS * np.sqrt(threshold * (1 - threshold) * parts)
+    a, b = left_sizes[:, None], right_sizes[None, :]
+    return (both - empty >= least) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-6)
+
+
 def _spread(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -92,23 +119,24 @@ def _root(run: int) -> np.uint64:
 
 
 def _signed(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, set_key (equal for equal sets, null for none), n_shingles, signature."""
+    """id, set_key (equal for equal sets, null for none), n_shingles, signature (the tokens), sketch."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, found = [], [], []
+            keys, sizes, found, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingles(text, k)
                 keys.append(hashlib.md5(hashes.tobytes()).hexdigest() if len(hashes) else None)
                 sizes.append(len(hashes))
                 found.append(tokens(hashes).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], names=["id", "set_key", "n_shingles", "signature"])
+                sketches.append(sketch(hashes).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "set_key", "n_shingles", "signature", "sketch"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), text_col).mapInArrow(run, "id bigint, set_key string, n_shingles bigint, signature binary")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), text_col).mapInArrow(run, "id bigint, set_key string, n_shingles bigint, signature binary, sketch binary")
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIZE)
+def _matrix(column, kind=np.uint32, width: int = SIZE) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def _expand(df: DataFrame, threshold: float, runs: int = 0) -> DataFrame:
@@ -167,10 +195,10 @@ def least_connected(near: np.ndarray) -> np.ndarray:
 
 
 def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many tokens each set at `left` has in common with each at `right`."""
-    if len(left) <= SIZE:
+    """In how many places each row of `left` agrees with each of `right`."""
+    if len(left) <= 64:
         return np.stack([np.count_nonzero(right == x, axis=1) for x in left])
-    out = np.zeros((len(left), len(right)), np.uint8)
+    out = np.zeros((len(left), len(right)), np.uint16)
     for a, b in zip(left.T.copy(), right.T.copy()):
         out += a[:, None] == b
     return out
@@ -189,7 +217,7 @@ def least_across(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = new_left, new_right
 
 
-def _ties(df: DataFrame, least: float) -> DataFrame:
+def _ties(df: DataFrame, threshold: float) -> DataFrame:
     """(a, b) that tie the connected sets of each pair of a node's blocks: a candidate, and the first it is connected with."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -198,14 +226,14 @@ def _ties(df: DataFrame, least: float) -> DataFrame:
             ids, block = (group.column(c).to_numpy() for c in ("id", "block"))
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             if len(ids) > 1:
-                signatures = _matrix(group.column("signature"))
+                sketches, sizes = _matrix(group.column("sketch"), np.uint8, BINS), group.column("n_shingles").to_numpy()
                 if i == j:
-                    first = ids[least_connected(agreement(signatures, signatures) >= least * SIZE)]
+                    first = ids[least_connected(near(sketches, sketches, sizes, sizes, threshold))]
                 else:
                     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
                     first = ids.copy()
                     if len(left) and len(right):
-                        of_left, of_right = least_across(agreement(signatures[left], signatures[right]) >= least * SIZE)
+                        of_left, of_right = least_across(near(sketches[left], sketches[right], sizes[left], sizes[right], threshold))
                         first[left] = ids[left[of_left]]
                         first[right] = np.append(ids[left], 0)[of_right]
                         alone = of_right == len(left)
@@ -227,15 +255,17 @@ def in_block_pairs(df: DataFrame) -> DataFrame:
     return df.withColumn("pair", F.explode(pairs)).select("*", "pair.i", "pair.j").drop("pair")
 
 
-def candidates(signed: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
-    """(a, b) that tie sets (id, signature) into candidate groups, by chosen paths."""
+def candidates(signed: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, used: list | None = None) -> DataFrame:
+    """(a, b) that tie sets (id, n_shingles, signature, sketch) into candidate groups, by chosen paths. Staged tables go to `used`."""
     n = parts(signed)
+    used = [] if used is None else used
     # what the limits leave at a level: small nodes are leaves, larger ones go on
     leaves = None
     paths = _expand(signed, threshold, runs_for(recall))
     for level in range(1, LEVELS + 1):
         paths = stage(paths, f"level-{level}")
         sizes = stage(paths.groupBy("path").count().where("count > 1"), f"sizes-{level}")  # staged: see substring_dedup
+        used += [paths, sizes]
         shared = paths.join(sizes, "path")
         if level < LEVELS:
             large = shared.where(F.col("count") > LIMIT).select("id", "path")
@@ -244,9 +274,9 @@ def candidates(signed: DataFrame, threshold: float = THRESHOLD, recall: float =
         leaves = shared if leaves is None else leaves.union(shared)
     blocks = F.when(F.col("count") <= LIMIT, F.lit(1)).otherwise(F.ceil(F.col("count") / NODE_BLOCK)).cast("int")
     dealt = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    rows = in_block_pairs(dealt).select("id", "path", "block", "i", "j").join(signed.select("id", "signature"), "id")
-    rows = rows.repartition(n, "path", "i", "j").sortWithinPartitions("path", "i", "j", "id").select("path", "i", "j", "block", "id", "signature")
-    return _ties(rows, threshold - SLACK)
+    rows = in_block_pairs(dealt).select("id", "path", "block", "i", "j").join(signed.select("id", "n_shingles", "sketch"), "id")
+    rows = rows.repartition(n, "path", "i", "j").sortWithinPartitions("path", "i", "j", "id").select("path", "i", "j", "block", "id", "n_shingles", "sketch")
+    return _ties(rows, threshold)
 
 
 def _likeness(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -310,10 +340,14 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prepare(df.sparkSession)
     signed = stage(_signed(df, id_col, text_col, k), "signed")
     known = signed.where(F.col("id").isNotNull() & F.col("set_key").isNotNull())
-    single = known.groupBy("id").agg(F.min(F.struct("set_key", "n_shingles", "signature")).alias("s")).select("id", "s.*")
-    reps = stage(single.groupBy("set_key").agg(F.min(F.struct("id", "n_shingles", "signature")).alias("r"), F.count("*").alias("weight")).select("set_key", "r.*", "weight"), "reps")
-    groups = stage(components(candidates(reps, threshold, recall)), "groups").join(reps.select("id", "n_shingles", "weight"), "id")
-    groups = stage(groups, "members")
+    single = known.groupBy("id").agg(F.min(F.struct("set_key", "n_shingles", "signature", "sketch")).alias("s")).select("id", "s.*")
+    reps = stage(single.groupBy("set_key").agg(F.min(F.struct("id", "n_shingles", "signature", "sketch")).alias("r"), F.count("*").alias("weight")).select("set_key", "r.*", "weight"), "reps")
+    used: list[DataFrame] = []
+    groups = stage(components(candidates(reps, threshold, recall, used)), "groups")
+    release(*used)
+    used = [groups]
+    groups = stage(groups.join(reps.select("id", "n_shingles", "weight"), "id"), "members")
+    release(*used)
     sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count("*") / SETS)).cast("int").alias("blocks"))
     members = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int"))
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
@@ -321,10 +355,12 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = in_block_pairs(texts).select("root", "i", "j", "id", "block", "weight", "text")
     dealt = dealt.repartition(parts(df), "root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
     links = stage(_verified(dealt, threshold, k), "links")
+    release(groups)
     classes = components(links.select(F.col("id").alias("a"), F.col("to").alias("b")))
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
     found = reps.join(counted, "id", "left").join(classes, "id", "left").select("set_key", F.col("id").alias("rep_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "id").alias("class_id"))
     found = stage(found, "found")
+    release(reps, links)
     out = signed.select("id", "set_key").join(single.select("id", F.col("set_key").alias("_first")), "id", "left").join(found, F.col("_first") == found["set_key"], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("rep_id", "id").alias("rep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
