@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import sys
 import unicodedata
 
@@ -32,7 +33,11 @@ N_STATES = 11
 #: What belongs to the property White_Space besides the categories Zs, Zl and Zp.
 WHITE_CONTROLS = (9, 10, 11, 12, 13, 0x85)
 BLOCK = 64
+#: Slices of more bytes are merged by a heap, and aren't kept.
+LONG = 128
 CACHE_SLICES = 400_000
+#: Ids that are decoded at a time.
+SPAN = 1 << 16
 
 
 def class_table() -> np.ndarray:
@@ -143,6 +148,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a slice: the adjacent pair of lowest rank is joined, the first of equals, until none has a rank."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
+    if len(piece) > LONG:
+        return merge_long(piece, ranks)
     parts = [piece[i : i + 1] for i in range(len(piece))]
     none = 1 << 60
     pairs = [ranks.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
@@ -160,6 +167,34 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts]
 
 
+def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As merge(), by a heap of pairs over linked parts: n log n steps for n bytes."""
+    n = len(piece)
+    end = list(range(1, n + 1))  # of the part that begins at i, which is also where the next one begins; 0 once it is joined to another
+    before = list(range(-1, n - 1))
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    pop, push, rank_of = heapq.heappop, heapq.heappush, ranks.get
+    while heap:
+        _, i, to = pop(heap)
+        j = end[i]
+        if not j or j >= n or end[j] != to:  # a part of the pair has been joined since
+            continue
+        end[i], end[j] = to, 0
+        if to < n:
+            before[to] = i
+            if (rank := rank_of(piece[i : end[to]])) is not None:
+                push(heap, (rank, i, end[to]))
+        h = before[i]
+        if h >= 0 and (rank := rank_of(piece[h:to])) is not None:
+            push(heap, (rank, h, to))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return out
+
+
 class Cache(dict):
     """The ids of slices, as little-endian unsigned 32-bit integers; merges what it hasn't got."""
 
@@ -167,9 +202,11 @@ class Cache(dict):
         self.ranks = ranks
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > CACHE_SLICES:
-            self.clear()
-        found = self[piece] = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        found = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        if len(piece) <= LONG:
+            if len(self) > CACHE_SLICES:
+                self.clear()
+            self[piece] = found
         return found
 
 
@@ -177,7 +214,12 @@ class Codec:
     """Encodes and decodes batches of texts."""
 
     def __init__(self, ranks: dict[bytes, int], table: np.ndarray | None = None):
-        self.bytes_of = dict(zip(ranks.values(), ranks.keys()))
+        size = max(ranks.values(), default=-1) + 1
+        self.sizes = np.zeros(size, np.int64)
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
+        #: the bytes of all ids on end, and where each one's begin
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(x for x, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
         self.table = class_table() if table is None else table
         self.machine = monoid()
         self.cache = Cache(ranks)
@@ -211,19 +253,25 @@ class Codec:
             at = to
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes that ids stand for."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-
     def offsets(self, ids: np.ndarray) -> np.ndarray:
-        """Where each id's bytes begin in the text's UTF-8, by which any span of ids can be decoded alone."""
-        sizes = np.fromiter(map(len, map(self.bytes_of.__getitem__, ids.tolist())), np.int64, len(ids))
-        return np.cumsum(sizes) - sizes
+        """Where each id's bytes begin in the text's UTF-8, and where the last one's end, by which any span of ids can be decoded alone."""
+        out = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.sizes[ids], out=out[1:])
+        return out
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The bytes that ids stand for: each goes where its offset says. Those of a span of ids begin at the span's first."""
+        out = []
+        for a in range(0, len(ids), SPAN):
+            own, at = ids[a : a + SPAN], offsets[a : a + SPAN + 1]
+            of = np.repeat(self.first[own] - at[:-1], np.diff(at))
+            out.append(self.bytes[of + np.arange(at[0], at[-1])].tobytes())
+        return b"".join(out)
 
 
 def _broadcast(spark: SparkSession, vocabulary: str):
     """The ranks, whose size is that of the vocabulary file, and the class table."""
-    return spark.sparkContext.broadcast((load_ranks(vocabulary), class_table()))
+    return spark.sparkContext.broadcast({"ranks": load_ranks(vocabulary), "table": class_table()})
 
 
 def default_vocabulary() -> str:
@@ -235,7 +283,10 @@ def _map(df: DataFrame, id_col: str, text_col: str, fields: list[pa.Field], ddl:
     sent = _broadcast(df.sparkSession, vocabulary)
 
     def run(batches):
-        codec = Codec(*sent.value)
+        kept = sent.value  # a worker keeps the codec, with the slices that it has merged, between its tasks
+        if "codec" not in kept:
+            kept["codec"] = Codec(kept["ranks"], kept["table"])
+        codec = kept["codec"]
         for batch in batches:
             got = [make(codec, x) for x in codec.encode(batch.column(1).to_pylist())]
             columns = [pa.array([x[i] for x in got], f.type) for i, f in enumerate(fields)]
@@ -250,7 +301,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     One row in, one row out; ids of rows may be null or repeated. A null or empty text has empty arrays.
     Other columns are not read.
     """
-    make = lambda codec, ids: (ids, codec.offsets(ids))
+    make = lambda codec, ids: (ids, codec.offsets(ids)[:-1])
     return _map(df, id_col, text_col, [pa.field("ids", pa.list_(pa.int32())), pa.field("starts", pa.list_(pa.int32()))], "ids array<int>, starts array<int>", make, vocabulary or default_vocabulary())
 
 
@@ -270,10 +321,13 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256: encode() and decode() in one pass, without moving the ids."""
+    """id, n_tokens, ids_sha256, decoded_sha256: encoded, and decoded by the offsets, in one pass, without moving the ids.
+
+    Rows as in encode(): a null or empty text has no ids, and the hashes of nothing.
+    """
 
     def make(codec, ids):
-        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids, codec.offsets(ids))).hexdigest()
 
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     return _map(df, id_col, text_col, fields, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", make, vocabulary or default_vocabulary())
