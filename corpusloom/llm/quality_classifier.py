@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out, prepare, read
+from corpusloom.llm.common import held_out, parts, prepare, read, release, stage
 
 #: Runs of letters, of digits, of other characters, between white space.
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -31,6 +31,8 @@ REACH = 2
 SHAPES = ("lower", "capital", "upper", "mixed", "number", "sign", "signs")
 HIDDEN = 24
 CACHE_TOKENS = 400_000
+#: Words whose vectors partitions send together.
+CHUNK = 128
 
 
 def shape_of(token: str) -> int:
@@ -84,9 +86,8 @@ class Pooler:
         if not tokens:
             return out
         at, shape = self.look_up(tokens)
-        count = np.bincount(at, minlength=len(self.vectors)).astype(np.float32) / len(tokens)
-        own = np.flatnonzero(count)
-        vectors, share = self.vectors[own], count[own]
+        own, count = np.unique(at, return_counts=True)
+        vectors, share = self.vectors[own], (count / len(tokens)).astype(np.float32)
         mean = share @ vectors
         out[:DIM] = mean
         out[DIM : 2 * DIM] = np.sqrt(np.maximum(share @ vectors**2 - mean**2, 0))
@@ -155,18 +156,20 @@ def _chosen(rows: DataFrame, label_col: str, max_rows: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = 6000, max_words: int = 8192) -> dict | None:
-    """A model from labelled rows: at most about max_rows of them, half of either label, vectors for max_words words.
+def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = 6000, min_count: int = 3) -> dict | None:
+    """A model from labelled rows: at most about max_rows of them, half of either label.
 
-    Labels (id_col, label_col) are 0 or 1; of an id's labels the least counts. The rows are chosen among
-    the labels, so that only few need be sent to the texts. None if no row is left.
+    Labels (id_col, label_col) are 0 or 1; of an id's labels, and of its texts, the least counts. The rows
+    are chosen among the labels, so that only few need be sent to the texts. Every word that they have
+    min_count times gets a vector, so the model is bounded by max_rows alone. None if no row is left.
     """
     spark = df.sparkSession
     prepare(spark)
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
     rows = _chosen(rows.groupBy("id").agg(F.min("label").alias("label")), "label", max_rows)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = texts.join(F.broadcast(rows), "id").repartition(8, "id").cache()
+    chosen = texts.join(F.broadcast(rows), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    chosen = stage(chosen.repartition(8, "id"), "labelled")
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -175,8 +178,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
                 found.update(t.lower() for t in TOKEN.findall(text or ""))
         yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-    words = chosen.select("id", "text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "word").limit(max_words).collect()
-    names = [shape_name(k) for k in range(len(SHAPES))] + [r[0] for r in words]
+    words = chosen.select("id", "text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("word").toArrow()
+    names = [shape_name(k) for k in range(len(SHAPES))] + sorted(words.column("word").to_pylist())
     vocabulary = {w: i for i, w in enumerate(names)}
     index = np.stack([index_vector(w) for w in names])
     sent = spark.sparkContext.broadcast((vocabulary, index))
@@ -198,13 +201,23 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
                 own, first = np.unique(at[order], return_index=True)
                 if len(own):
                     total[own] += np.add.reduceat(near[order], first)
-        own = np.flatnonzero(np.abs(total).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(list(total[own]), pa.list_(pa.float32()))], names=["word", "v"])
+        for a in range(0, len(total), CHUNK):
+            if total[a : a + CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([total[a : a + CHUNK].tobytes()], pa.binary())], names=["first", "v"])
+
+    def add(batches) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for a, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found[a] = found.get(a, 0) + np.frombuffer(x, np.float32)
+        for a, x in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["first", "v"])
 
     vectors = np.zeros_like(index)
-    # at most 8 x (max_words + shapes) rows of DIM numbers
-    for r in chosen.select("id", "text").mapInArrow(contexts, "word bigint, v array<float>").toLocalIterator():
-        vectors[r[0]] += np.array(r[1], np.float32)
+    sums = chosen.select("id", "text").mapInArrow(contexts, "first bigint, v binary").repartition(parts(df), "first")
+    for a, x in sums.mapInArrow(add, "first bigint, v binary").toLocalIterator():
+        own = np.frombuffer(x, np.float32).reshape(-1, DIM)
+        vectors[a : a + len(own)] = own
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-6
     # a word's own index vector tells it from its neighbours
     vectors = (vectors + index / np.sqrt(NONZERO)).astype(np.float32)
@@ -214,14 +227,16 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
         pooler = Pooler(*pooled.value)
         for batch in batches:
             got = [pooler(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.float32()))], names=["id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in got], pa.binary())], names=["id", "label", "x"])
 
-    got = chosen.select(F.xxhash64("id").alias("id"), "label", "text").mapInArrow(pool, "id bigint, label int, x array<float>").orderBy("id").collect()
-    chosen.unpersist()
-    if not got:
+    got = chosen.select(F.xxhash64("id").alias("id"), "label", "text").mapInArrow(pool, "id bigint, label int, x binary").orderBy("id").toArrow()
+    for x in (sent, pooled):
+        x.destroy()
+    release(chosen)
+    if not len(got):
         return None
-    x, y = np.array([r[2] for r in got], np.float64), np.array([r[1] for r in got], np.float64)
-    network = Network.train(x, y, np.arange(len(got)) % 5 == 0)
+    x, y = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(got), -1).astype(np.float64), got.column("label").to_numpy().astype(np.float64)
+    network = Network.train(x, y, np.arange(len(got)) % 5 == 4)
     return {"vocabulary": vocabulary, "vectors": vectors, "weights": network.weights, "temperature": network.temperature}
 
 
@@ -233,12 +248,15 @@ def quality_score(df: DataFrame, model: dict | None, id_col: str = "doc_id", tex
     """
     spark = df.sparkSession
     prepare(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast({"model": model})
     names = [id_col, *keep]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        pooler = Pooler(m["vocabulary"], m["vectors"]) if m else None
+        kept = sent.value  # a worker keeps the pooler, with the tokens that it has met, between its tasks
+        m = kept["model"]
+        if m and "pooler" not in kept:
+            kept["pooler"] = Pooler(m["vocabulary"], m["vectors"])
+        pooler = kept.get("pooler")
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
             score = np.full(len(texts), 0.5)
