@@ -1,11 +1,15 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The classes' softmax has hashed features of the
-history: the word before, the one before that (a skip), both, and the classes of the three before. Its
-weights come from gradient steps that partitions of the training texts make by themselves, averaged after
-each round, every weight row by how often a partition used it. P(word | class) is the word's smoothed
-share of its class, from counts over all training texts. Frequent words get their class by clustering
-their neighbours, others by the longest ending that they share with those.
+P(word | history) = P(class | history) * P(group | class, history) * P(word | group). Both softmaxes have
+hashed features of the history: the word before, the one before that (a skip), both, and the classes of
+the three before; the second one's features are joined with the class. Words are sorted into a class's
+groups by frequency, about as many tokens to each, so that the most frequent have groups of their own;
+P(word | group) is the smoothed share, from counts over all training texts. Frequent words get their class
+by clustering their neighbours, others by the longest ending that they share with those.
+
+The weights come from gradient steps that partitions of the training texts make by themselves, averaged
+after each round, every weight row by how often a partition used it. So they follow, in the last digits,
+how the input is partitioned. The table of weights grows with the cube root of the training tokens.
 
 Counts of the most frequent words are broadcast, at most HEAD of them; the other words' come by a join.
 """
@@ -21,25 +25,39 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out, prepare, read, stage
+from corpusloom.llm.common import held_out, parts, prepare, read, stage
 
 #: The token that ends a text. Words have no space.
 END = b" "
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Words whose counts are broadcast.
 HEAD = 200_000
-CLASSES = 16
+#: Classes, and groups of a class; the last group has the words that aren't broadcast.
+CLASSES = GROUPS = 16
 #: Words that are clustered, and the frequent words that count as their neighbours.
 CLUSTERED, NEIGHBOURS = 4096, 64
-#: Rows of the weight table; features of a history.
-ROWS, FEATURES = 1 << 14, 5
-RATE, STEP_TOKENS = 0.5, 4096
+#: Rows of either softmax's weights: about ROWS for each cube root of training tokens, at least and at most these.
+ROWS, LEAST_ROWS, MOST_ROWS = 64, 1 << 10, 1 << 20
+#: Features of a history besides the bias.
+FEATURES = 4
+RATE, STEP_TOKENS = 0.5, 8192
 #: The share of texts that the first round sees; the second sees the others.
 FIRST_ROUND = 8
+#: Choices of a weight row that are added one by one, before the rest of them.
+TOGETHER = 24
+#: Weight rows that partitions send together.
+CHUNK = 256
 CACHE_WORDS = 400_000
+#: What the class does to a feature's row in the second softmax: another permutation of the rows for each.
+TURNS = np.random.Generator(np.random.PCG64(9)).integers(0, 1 << 31, CLASSES, np.uint32)
+
+
+def rows_for(tokens: int) -> int:
+    """Rows of either softmax's weights: a power of 2."""
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << round(math.log2(ROWS * max(tokens, 1) ** (1 / 3)))))
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -47,30 +65,49 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().translate(LOWER).split(), END]
 
 
+@dataclass
+class Known:
+    """What is known of words: counts and leaves (class * GROUPS + group) of frequent ones, classes of endings."""
+
+    head: dict[bytes, int]
+    counts: np.ndarray
+    leaves: np.ndarray
+    endings: dict[bytes, int]
+
+    def leaf_of(self, word: bytes) -> int:
+        if (at := self.head.get(word)) is not None:
+            return int(self.leaves[at])
+        return class_by_ending(word, self.endings) * GROUPS + GROUPS - 1
+
+
+def class_by_ending(word: bytes, endings: dict[bytes, int]) -> int:
+    for n in (4, 3, 2, 1):
+        if (k := endings.get(word[-n:])) is not None:
+            return k
+    return zlib.crc32(word) % CLASSES
+
+
 class Words(dict):
-    """word -> place in arrays of its hash, class and log10(count + 0.5), nan where the count isn't at hand."""
+    """word -> place in arrays of its hash, leaf and log10(count + 0.5), nan where the count isn't at hand."""
 
-    def __init__(self, head: dict[bytes, int], classes: dict[bytes, int], endings: dict[bytes, int]):
-        self.head, self.classes, self.endings = head, classes, endings
+    def __init__(self, known: Known):
+        self.known = known
+        self.logs = np.log10(known.counts + 0.5).tolist()
+        self.leaves = known.leaves.tolist()
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.new: list[tuple[int, int, float]] = []
-        self.arrays = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024)
-
-    def class_of(self, word: bytes) -> int:
-        if (k := self.classes.get(word)) is not None:
-            return k
-        for n in (4, 3, 2, 1):
-            if (k := self.endings.get(word[-n:])) is not None:
-                return k
-        return zlib.crc32(word) % CLASSES
+        self.arrays = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8), np.zeros(1024)
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self)
-        count = self.head.get(word)
-        self.new.append((zlib.crc32(word), self.class_of(word), math.nan if count is None else math.log10(count + 0.5)))
+        i = self.known.head.get(word)
+        if i is None:
+            self.new.append((zlib.crc32(word), class_by_ending(word, self.known.endings) * GROUPS + GROUPS - 1, math.nan))
+        else:
+            self.new.append((zlib.crc32(word), self.leaves[i], self.logs[i]))
         return at
 
     def places(self, words: list[bytes]) -> np.ndarray:
@@ -87,50 +124,140 @@ class Words(dict):
             self.new = []
         return self.arrays
 
-
-def features(hashes: np.ndarray, kinds: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The weight rows of each token's history. `starts` are the places of texts' first tokens."""
+    @staticmethod
+    def of(kept: dict) -> Words:
+        """The one that a worker keeps between its tasks, in the broadcast's value."""
+        if "words" not in kept:
+            kept["words"] = Words(kept["known"])
+        if len(kept["words"]) > CACHE_WORDS:
+            kept["words"].reset()
+        return kept["words"]
+
+    def batch(self, texts: list[str | None], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Of the texts' tokens on end: features, leaves, logs; where texts start; the tokens."""
+        words = [tokens_of(x) for x in texts]
+        places = [self.places(x) for x in words]
+        hashes, leaves, logs = self.look_up()
+        starts = np.cumsum([0, *map(len, places[:-1])])
+        at = np.concatenate(places)
+        own = leaves[at]
+        return features(hashes[at], own // GROUPS, starts, rows), own, logs[at], starts, words
+
+
+def features(hashes: np.ndarray, kinds: np.ndarray, starts: np.ndarray, rows: int) -> np.ndarray:
+    """The weight rows (FEATURES, n) of each token's history, below `rows`. `starts` are the places of texts' first tokens."""
     n = len(hashes)
-    since = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
     mix = np.uint64(0x9E3779B97F4A7C15)
     back = []
     for d in (1, 2, 3):
         word, kind = np.zeros(n, np.uint64), np.full(n, CLASSES, np.uint64)
         if n > d:
             word[d:], kind[d:] = hashes[:-d] + np.uint64(1), kinds[:-d]
-        word[since < d], kind[since < d] = 0, CLASSES
+        for e in range(d):  # what stands before a text's start is another text
+            at = starts[starts + e < n] + e
+            word[at], kind[at] = 0, CLASSES
         back.append((word, kind))
     (w1, k1), (w2, k2), (_, k3) = back
     one = np.uint64(CLASSES + 1)
-    raw = [w1 * np.uint64(5) + np.uint64(1), w2 * np.uint64(5) + np.uint64(2), (w1 * mix ^ w2) * np.uint64(5) + np.uint64(3), (k1 * one + k2) * one + k3 + np.uint64(1 << 40)]
-    out = np.zeros((n, FEATURES), np.int64)  # row 0: the bias
+    raw = (w1 * np.uint64(5) + np.uint64(1), w2 * np.uint64(5) + np.uint64(2), (w1 * mix ^ w2) * np.uint64(5) + np.uint64(3), (k1 * one + k2) * one + k3 + np.uint64(1 << 40))
+    out = np.empty((FEATURES, n), np.uint32)
     for i, x in enumerate(raw):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, i + 1] = ((x >> np.uint64(40)) % np.uint64(ROWS - 1)).astype(np.int64) + 1
+        out[i] = (x >> np.uint64(40)) & np.uint64(rows - 1)
+    return out
+
+
+def both_levels(rows: np.ndarray, leaves: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of tokens' class choices and then of their group choices: weight rows (FEATURES, 2n), which bias, outcomes.
+
+    Weights are one table: n_rows rows of the first softmax, as many of the second, a bias row for the
+    first and for each class of the second.
+    """
+    n = len(leaves)
+    kinds = leaves // GROUPS
+    out = np.empty((FEATURES, 2 * n), np.int64)
+    out[:, :n] = rows
+    out[:, n:] = ((rows ^ TURNS[kinds]) & np.uint32(n_rows - 1)) + np.uint32(n_rows)
+    bias = np.zeros(2 * n, np.int64)
+    bias[n:] = kinds + 1
+    return out, bias, np.concatenate([kinds, leaves % GROUPS]).astype(np.int64)
+
+
+def empty_weights(n_rows: int) -> np.ndarray:
+    """Weights of a uniform model, padded to whole chunks."""
+    return np.zeros((-(-(2 * n_rows + 1 + CLASSES) // CHUNK) * CHUNK, CLASSES), np.float32)
+
+
+def softmax(weights: np.ndarray, n_rows: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    # take() with an output and without bounds to check is several times faster than an index
+    out = np.take(weights[2 * n_rows : 2 * n_rows + 1 + CLASSES], bias, axis=0)
+    own = np.empty_like(out)
+    for x in rows:
+        np.take(weights, x, axis=0, out=own, mode="clip")
+        out += own
+    np.clip(out, -20, 20, out=out)  # squares of what is left stay normal numbers, which are fast
+    np.exp(out, out=out)
+    out *= (1 / np.einsum("ij->i", out))[:, None]
     return out
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[:, 0]]
-    for i in range(1, FEATURES):
-        logits = logits + weights[rows[:, i]]
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+def _sorted_order(rows: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0 to 2**32, by radix."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    return order[np.argsort((rows >> 16).astype(np.uint16)[order], kind="stable")] if rows.max(initial=0) >= 1 << 16 else order
+
 
+def sums_by_row(d: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct weight rows, the most frequent first; the sums of the choices' d that have each; how many have.
 
-def step(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, kinds: np.ndarray) -> None:
-    """One gradient step on the log loss of some tokens, each weight row at its own rate."""
-    d = np.exp(log_softmax(weights, rows))
-    d[np.arange(len(kinds)), kinds] -= 1
-    flat = rows.T.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    own, first = np.unique(flat[order], return_index=True)
-    g = np.add.reduceat(d[order % len(kinds)], first)
+    `rows` is (FEATURES, n). The k-th choices of all rows are added at once: rows with k or more are a prefix.
+    """
+    flat = rows.reshape(-1)
+    order = _sorted_order(flat)
+    own = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     counts = np.diff(np.append(first, len(flat)))
-    g /= np.sqrt(counts)[:, None]
-    squares[own] += (g * g).mean(1)
-    weights[own] -= RATE * g / np.sqrt(1 + squares[own])[:, None]
+    by = np.argsort((65535 - np.minimum(counts, 65535)).astype(np.uint16), kind="stable")
+    first, counts = first[by], counts[by]
+    choice = np.tile(np.arange(len(d)), len(rows))[order]
+    g = np.take(d, choice[first], axis=0)
+    more = np.empty_like(g)
+    for k in range(1, TOGETHER):
+        m = int(np.searchsorted(-counts, -k))
+        if not m:
+            break
+        np.take(d, choice[first[:m] + k], axis=0, out=more[:m], mode="clip")
+        g[:m] += more[:m]
+    m = int(np.searchsorted(-counts, -TOGETHER))
+    if m:  # what the most frequent rows have beyond that
+        left = counts[:m] - TOGETHER
+        begin = np.cumsum(left) - left
+        at = np.repeat(first[:m] + TOGETHER - begin, left) + np.arange(left.sum())
+        g[:m] += np.add.reduceat(np.take(d, choice[at], axis=0), begin, axis=0)
+    return own[first], g, counts.astype(np.float32)
+
+
+def step(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, n_rows: int, rows: np.ndarray, bias: np.ndarray, outcomes: np.ndarray) -> None:
+    """One gradient step on the log loss of some choices, each weight row at its own rate."""
+    n = len(outcomes)
+    d = softmax(weights, n_rows, rows, bias)
+    d.reshape(-1)[np.arange(n) * CLASSES + outcomes] -= 1
+    own, g, counts = sums_by_row(d, rows)
+    _descend(weights, squares, used, own, g, counts)
+    order = np.argsort(bias.astype(np.uint8), kind="stable")
+    met, first = np.unique(bias[order], return_index=True)
+    g = np.add.reduceat(np.take(d, order, axis=0), first, axis=0)
+    _descend(weights, squares, used, met + 2 * n_rows, g, np.diff(np.append(first, n)).astype(np.float32))
+
+
+def _descend(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, own: np.ndarray, g: np.ndarray, counts: np.ndarray) -> None:
+    g *= (1 / np.sqrt(counts))[:, None]
+    squares[own] += np.einsum("ij,ij->i", g, g) / CLASSES
+    g *= (RATE / np.sqrt(1 + squares[own]))[:, None]
+    np.subtract(np.take(weights, own, axis=0), g, out=g)
+    whole = f"V{4 * CLASSES}"  # a row is set at once, not number by number
+    weights.reshape(-1).view(whole)[own] = g.reshape(-1).view(whole)
     used[own] += counts
 
 
@@ -139,14 +266,13 @@ class Model:
     """counts (word, c) is a staged table; the rest is of bounded size."""
 
     counts: DataFrame
-    head: dict
-    classes: dict
-    endings: dict
+    known: Known
     weights: np.ndarray
+    rows: int
     tokens: int
     distinct: int
-    class_logs: np.ndarray
-    least_head: int
+    leaf_logs: np.ndarray
+    in_head: Column
 
 
 def _texts(df: DataFrame, text_col: str) -> DataFrame:
@@ -175,18 +301,23 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
     return _texts(df, text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _head(counts: DataFrame) -> tuple[list, int]:
-    """The words of at least some count, HEAD of them at most, most frequent first; that count."""
+def _head(counts: DataFrame) -> tuple[list, Column]:
+    """The most frequent words, about HEAD at most, in their order; whether a word is one of them.
+
+    Of the words of the count at which HEAD is passed a share goes in, by a hash, so that as many come
+    where all words have about the same count.
+    """
     tier = F.floor(F.log2(F.col("c")) * 16)
-    sizes = counts.groupBy(tier.alias("t")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("t")).collect()
-    total, least = 0, 1 << 62
+    sizes = counts.groupBy(tier.alias("t")).agg(F.count("*").alias("n")).orderBy(F.desc("t")).collect()
+    total, inside = 0, F.lit(True)
     for r in sizes:
-        total += r["n"]
-        if total > HEAD:
+        if total + r["n"] > HEAD:
+            share = int((HEAD - total) / r["n"] * 1_000_000)
+            inside = (tier > r["t"]) | ((tier == r["t"]) & (F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < share))
             break
-        least = r["least"]
-    rows = counts.where(F.col("c") >= least).collect()
-    return sorted(((r[0].encode(), r[1]) for r in rows), key=lambda x: (-x[1], x[0])), least
+        total += r["n"]
+    rows = counts.where(inside).collect()
+    return sorted(((r[0].encode(), r[1]) for r in rows), key=lambda x: (-x[1], x[0])), inside
 
 
 def neighbours(df: DataFrame, names: list[bytes]) -> DataFrame:
@@ -219,9 +350,9 @@ def _clusters(df: DataFrame, head: list) -> tuple[dict, dict]:
     names = [w for w, _ in head[:CLUSTERED]]
     if not names:
         return {}, {}
-    got = neighbours(df, names).toPandas()  # at most CLUSTERED * 2 * NEIGHBOURS rows
+    got = neighbours(df, names).toArrow()  # at most CLUSTERED * 2 * NEIGHBOURS rows
     x = np.zeros((len(names), 2 * NEIGHBOURS))
-    x[got.w, got.f] = got.n
+    x[got.column("w").to_numpy(), got.column("f").to_numpy()] = got.column("n").to_numpy()
     x = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
     weight = np.log1p([c for _, c in head[:CLUSTERED]])
     centers = [x[0]]
@@ -242,37 +373,56 @@ def _clusters(df: DataFrame, head: list) -> tuple[dict, dict]:
     return classes, {e: max(v.items(), key=lambda x: (x[1], -x[0]))[0] for e, v in votes.items()}
 
 
-def _round(df: DataFrame, words: tuple, weights: np.ndarray) -> np.ndarray:
+def grouped(head: list, classes: dict[bytes, int], endings: dict[bytes, int]) -> Known:
+    """Leaves of the frequent words: a class's words, most frequent first, are dealt into its groups by tokens."""
+    kinds = [classes[w] if w in classes else class_by_ending(w, endings) for w, _ in head]
+    left = np.bincount(kinds, [c for _, c in head], CLASSES) if head else np.zeros(CLASSES)
+    group, got, leaves = [0] * CLASSES, [0.0] * CLASSES, np.zeros(len(head), np.uint8)
+    for i, ((_, c), k) in enumerate(zip(head, kinds)):
+        leaves[i] = k * GROUPS + group[k]
+        got[k] += c
+        if group[k] < GROUPS - 1 and got[k] >= left[k] / (GROUPS - group[k]):
+            left[k] -= got[k]
+            group[k], got[k] = group[k] + 1, 0.0
+    return Known({w: i for i, (w, _) in enumerate(head)}, np.array([c for _, c in head], np.float64), leaves, endings)
+
+
+def _round(df: DataFrame, sent, weights: np.ndarray, n_rows: int) -> np.ndarray:
     """The average of what partitions make of the weights by gradient steps on their texts."""
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast((*words, weights))
+    begin = spark.sparkContext.broadcast(weights)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        *known, start = sent.value
-        index = Words(*known)
-        own = start.copy()
-        squares, used = np.zeros(len(own), np.float32), np.zeros(len(own), np.int64)
+        index = Words.of(sent.value)
+        own = begin.value.copy()
+        squares, used = np.zeros(len(own), np.float32), np.zeros(len(own), np.float32)
         for batch in batches:
-            if len(index) > CACHE_WORDS:
-                index.reset()
-            texts = [index.places(tokens_of(x)) for x in batch.column(0).to_pylist()]
-            if not texts:
+            if not batch.num_rows:
                 continue
-            hashes, kinds, _ = index.look_up()
-            starts = np.cumsum([0, *map(len, texts[:-1])])
-            at = np.concatenate(texts)
-            rows, kinds = features(hashes[at], kinds[at], starts), kinds[at]
-            for a in range(0, len(at), STEP_TOKENS):
-                step(own, squares, used, rows[a : a + STEP_TOKENS], kinds[a : a + STEP_TOKENS])
-        at = np.flatnonzero(used)
-        columns = [pa.array(at), pa.array(used[at].astype(np.float32)), *(pa.array(own[at, k] * used[at].astype(np.float32)) for k in range(CLASSES))]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "n", *names])
-
-    names = [f"w{k}" for k in range(CLASSES)]
-    schema = "row bigint, n float, " + ", ".join(f"{x} float" for x in names)
-    got = df.mapInArrow(run, schema).groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toPandas()  # ROWS rows at most
+            rows, leaves, *_ = index.batch(batch.column(0).to_pylist(), n_rows)
+            for a in range(0, len(leaves), STEP_TOKENS):
+                step(own, squares, used, n_rows, *both_levels(rows[:, a : a + STEP_TOKENS], leaves[a : a + STEP_TOKENS], n_rows))
+        if used.any():
+            table = np.concatenate([own * used[:, None], used[:, None]], 1).astype("<f4")
+            chunks = range(len(own) // CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([table[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in chunks], pa.binary())], names=["chunk", "sums"])
+
+    def add(batches) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found[k] = found.get(k, 0.0) + np.frombuffer(x, "<f4").astype(np.float64)
+        for k, x in found.items():
+            x = x.reshape(CHUNK, CLASSES + 1)
+            mean = np.where(x[:, -1:] > 0, x[:, :-1] / np.maximum(x[:, -1:], 1e-30), np.nan).astype("<f4")
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([mean.tobytes()], pa.binary())], names=["chunk", "mean"])
+
+    sums = df.mapInArrow(run, "chunk bigint, sums binary")
     out = weights.copy()
-    out[got.row] = (got[names].to_numpy() / got[["n"]].to_numpy()).astype(np.float32)
+    for k, mean in sums.repartition(min(parts(df), len(weights) // CHUNK), "chunk").mapInArrow(add, "chunk bigint, mean binary").collect():
+        mean = np.frombuffer(mean, "<f4").reshape(CHUNK, CLASSES)
+        out[k * CHUNK : (k + 1) * CHUNK] = np.where(np.isnan(mean), out[k * CHUNK : (k + 1) * CHUNK], mean)
+    begin.destroy()
     return out
 
 
@@ -281,29 +431,40 @@ def fit(df: DataFrame, text_col: str = "text") -> Model:
     spark = df.sparkSession
     prepare(spark)
     counts = stage(count_words(df, text_col), "counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    rows, least = _head(counts)
-    head = dict(rows)
+    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    head, in_head = _head(counts)
     texts = _texts(df, text_col)
-    classes, endings = _clusters(texts, rows)
-    known = (head, classes, endings)
-    sent = spark.sparkContext.broadcast(known)
+    known = grouped(head, *_clusters(texts, head))
+    sent = spark.sparkContext.broadcast({"known": known})
 
-    def kinds(batches) -> Iterator[pa.RecordBatch]:
-        index = Words(*sent.value)
+    def leaves(batches) -> Iterator[pa.RecordBatch]:
+        known = sent.value["known"]
         for batch in batches:
-            own = [index.class_of(w.encode()) for w in batch.column(0).to_pylist()]
+            own = [known.leaf_of(w.encode()) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column(1)], names=["k", "c"])
 
-    sizes = counts.mapInArrow(kinds, "k int, c bigint").groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    class_logs = np.full(CLASSES, math.log10(0.5))
+    sizes = counts.mapInArrow(leaves, "k int, c bigint").groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    leaf_logs = np.full(CLASSES * GROUPS, math.log10(0.5))
     for r in sizes:
-        class_logs[r["k"]] = math.log10(r["n"] + 0.5 * (r["v"] + 1))
-    weights = np.zeros((ROWS, CLASSES), np.float32)
+        leaf_logs[r["k"]] = math.log10(r["n"] + 0.5 * (r["v"] + 1))
+    n_rows = rows_for(tokens)
+    weights = empty_weights(n_rows)
     first = F.pmod(F.xxhash64("text"), F.lit(FIRST_ROUND)) == 0
     for part in (texts.where(first), texts.where(~first)):
-        weights = _round(part, known, weights)
-    return Model(counts, head, classes, endings, weights, total[0], total[1], class_logs, least)
+        weights = _round(part, sent, weights, n_rows)
+    sent.destroy()
+    return Model(counts, known, weights, n_rows, tokens, distinct, leaf_logs, in_head)
+
+
+def log_probabilities(weights: np.ndarray, n_rows: int, rows: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """log10 P(class | history) * P(group | class, history) of tokens, a part at a time."""
+    out = np.empty(len(leaves))
+    for a in range(0, len(leaves), STEP_TOKENS):
+        own, bias, outcomes = both_levels(rows[:, a : a + STEP_TOKENS], leaves[a : a + STEP_TOKENS], n_rows)
+        p = softmax(weights, n_rows, own, bias).reshape(-1)[np.arange(len(outcomes)) * CLASSES + outcomes].astype(np.float64)
+        n = len(p) // 2
+        out[a : a + n] = np.log10(p[:n] * p[n:])
+    return out
 
 
 def lm_score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
@@ -315,7 +476,9 @@ def lm_score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     spark = df.sparkSession
     prepare(spark)
-    sent = spark.sparkContext.broadcast((model.head, model.classes, model.endings, model.weights, model.class_logs))
+    sent = spark.sparkContext.broadcast({"known": model.known})
+    sent_weights = spark.sparkContext.broadcast((model.weights, model.leaf_logs))
+    n_rows = model.rows
     names = [id_col, *keep]
     rest = ["_row", "n_tokens", "_known", "_logs", "_model", "_words", "_counts"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
@@ -323,25 +486,18 @@ def lm_score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        *known, weights, class_logs = sent.value
-        index = Words(*known)
+        weights, leaf_logs = sent_weights.value
+        index = Words.of(sent.value)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             if len(index) > CACHE_WORDS:
                 index.reset()
-            words = [tokens_of(x) for x in batch.column(len(names)).to_pylist()]
             out: list[list] = [[] for _ in rest]
-            if words:
-                texts = [index.places(x) for x in words]
-                hashes, kinds, logs = index.look_up()
-                starts = np.cumsum([0, *map(len, texts[:-1])])
-                at = np.concatenate(texts)
-                rows, own = features(hashes[at], kinds[at], starts), kinds[at]
-                model_logs = np.concatenate([log_softmax(weights, rows[a : a + 16384])[np.arange(len(own[a : a + 16384])), own[a : a + 16384]] for a in range(0, len(at), 16384)]) / math.log(10)
-                model_logs = np.add.reduceat(model_logs.astype(np.float64) - class_logs[own], starts)
-                count_logs = logs[at]
-                here = ~np.isnan(count_logs)
-                sums = np.add.reduceat(np.where(here, count_logs, 0), starts)
+            if batch.num_rows:
+                rows, leaves, logs, starts, words = index.batch(batch.column(len(names)).to_pylist(), n_rows)
+                model_logs = np.add.reduceat(log_probabilities(weights, n_rows, rows, leaves) - leaf_logs[leaves], starts)
+                here = ~np.isnan(logs)
+                sums = np.add.reduceat(np.where(here, logs, 0), starts)
                 n_here = np.add.reduceat(here.astype(np.int64), starts)
                 for i, x in enumerate(words):
                     tail = Counter()
@@ -356,8 +512,10 @@ def lm_score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
     schema += ", _row bigint, n_tokens bigint, _known bigint, _logs double, _model double, _words array<string>, _counts array<bigint>"
     found = stage(df.select(*names, text_col).mapInArrow(run, schema), "scored")
+    sent.destroy()
+    sent_weights.destroy()
     tail = found.select("_row", F.explode(F.arrays_zip("_words", "_counts")).alias("x")).select("_row", F.col("x._words").alias("word"), F.col("x._counts").alias("n"))
-    tail = tail.join(model.counts.where(F.col("c") < model.least_head), "word", "left")
+    tail = tail.join(model.counts.where(~model.in_head), "word", "left")
     tail = tail.groupBy("_row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("_more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("_rest"))
     logs = F.col("_logs") + F.coalesce("_rest", F.lit(0.0))
     base = math.log10(model.tokens + 0.5 * (model.distinct + 1))
