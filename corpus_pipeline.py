@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import language_id, ngram_join, packing, quality_classifier, substring_dedup
-from corpusloom.llm.common import read, stage
+from corpusloom.llm.common import read, release, stage
 
 #: Texts whose language is less likely than this among the learned ones are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -68,5 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = read(spark, sf_dir, "documents")
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name)
+        before, docs = docs, stage(apply(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,4 +1,7 @@
-"""Statistics of a cleaned text and the gate that rejects it."""
+"""Statistics of a cleaned text and the gate that rejects it.
+
+A null text has null statistics and no reason to be rejected; an empty one has none of anything and is rejected.
+"""
 
 from __future__ import annotations
 

@@ -130,6 +130,30 @@ def test_scans_equal_loops(spark):
         assert got[i][1] == loop_join(doc)
 
 
+def test_lines_of_no_document(spark):
+    """Rows without a document, null lines, no rows, columns of clashing names."""
+    rows = [(1, 0, "x", 5), (1, 1, "Abstract", 5), (1, 2, "*Correspondence: a", 5), (1, 3, "Dept", 5), (1, 4, None, 5), (1, 5, "References", 5), (None, 0, "Abstract", 5), (None, 7, "References", 5), (None, 8, "27", 5)]
+    frame = spark.createDataFrame(rows, "doc_id int, ord int, line string, start int")
+    found = {(r.doc_id, r.ord): r.category for r in lines.classify_noise(frame).collect()}
+    assert found == {(1, 0): None, (1, 1): None, (1, 2): "correspondence", (1, 3): "correspondence", (1, 4): None, (1, 5): None, (None, 0): None, (None, 7): None, (None, 8): None}
+    assert {(r.doc_id, r.ord) for r in lines.trim_front_matter(frame).collect()} == {(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (None, 0), (None, 7), (None, 8)}
+    assert {(r.doc_id, r.ord) for r in lines.trim_references(frame).collect()} == {(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (None, 0), (None, 7), (None, 8)}
+    for apply in (lines.classify_noise, lines.trim_front_matter, lines.trim_references):
+        assert apply(frame.limit(0)).count() == 0
+    many = spark.createDataFrame([([],), (None,), ([""],), (["", ""],)], "lines array<string>")
+    assert [tuple(r) for r in many.select(lines.noise_categories(F.col("lines")), lines.join_wrapped(F.col("lines"))).collect()] == [([], []), (None, None), ([""], [""]), (["", ""], ["", ""])]
+
+
+def test_joined_headings(spark):
+    """Lines that become a heading by being joined, at every place of a run, against the loop."""
+    draw = random.Random(8)
+    bits = ["Materials", "and", "and methods", "methods", "12", "1.2", "a", "-", "Future", "work", "Future work", "x" * 118, "x" * 120, " ", "Results", "12 b", "- conflict of", "interest", "of interest", "٣", ""]
+    docs = [[draw.choice(bits) for _ in range(draw.randint(0, 12))] for _ in range(400)]
+    got = spark.createDataFrame(list(enumerate(docs)), "i int, lines array<string>").select("i", lines.join_wrapped(F.col("lines")).alias("j")).collect()
+    for r in got:
+        assert r.j == loop_join(docs[r.i]), docs[r.i]
+
+
 def test_quality_bounds(spark):
     frame = spark.createDataFrame([(1499, 249, 0.11), (1500, 250, 0.10)], "characters int, words int, garbage_ratio double")
     got = [r[0] for r in frame.select(reject_reasons(F.struct("*"))).collect()]
