@@ -22,7 +22,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.common import prepare, read
+from corpusloom.llm.common import keep_first, prepare, read
 
 #: Classes of code points. A letter that can stand in a contraction has a class of its own.
 LETTER, STMD, R, V, L, E, NUMBER, OTHER, APOSTROPHE, SPACE, WHITE, RESET = range(12)
@@ -205,7 +205,7 @@ class Cache(dict):
         found = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
         if len(piece) <= LONG:
             if len(self) > CACHE_SLICES:
-                self.clear()
+                keep_first(self)
             self[piece] = found
         return found
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import itertools
 import re
 import shutil
 import tempfile
@@ -97,6 +98,13 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def keep_first(kept: dict, share: int = 4) -> None:
+    """Make room in a cache: the first that came stay, which the frequent ones are in."""
+    first = list(itertools.islice(kept.items(), len(kept) // share))
+    kept.clear()
+    kept.update(first)
+
+
 #: Bits of the reducer below: 1 MB, whatever the data.
 REDUCER_BITS = 1 << 23
 

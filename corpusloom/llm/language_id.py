@@ -16,12 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out, prepare, read
+from corpusloom.llm.common import held_out, keep_first, prepare, read
 
 UNKNOWN = "und"
 MAX_GRAM = 5
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words of which a Python worker keeps the scores at most; beyond it begins anew.
+#: Words of which a Python worker keeps the scores, at most.
 CACHE_WORDS = 400_000
 #: Evidence of so many words makes a text's score.
 EVIDENCE = 16
@@ -136,33 +136,34 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.row_of = dict(zip(model.hashes.tolist(), range(len(model.hashes))))
-        self.reset()
-
-    def reset(self) -> None:
+        self.row_of = dict(zip((model.hashes.view(np.uint64) ^ np.uint64(1 << 63)).tolist(), range(len(model.hashes))))
         self.at: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.model.langs)))
+        self.table = np.zeros((1024, len(model.langs)))
 
     def word(self, word: str) -> np.ndarray:
         """The logs of a word: its own, or the mean over its longest n-grams that the model has, or the floor."""
-        if (row := self.row_of.get(hash_of(word, 0))) is not None:
+        row_of, digest = self.row_of.get, xxhash.xxh3_64_intdigest
+        if (row := row_of(digest(word.encode(), 0))) is not None:
             return self.model.logs[row]
+        marked = f"^{word}$"
+        marked = marked.encode() if marked.isascii() else marked
         for n in range(MAX_GRAM, 0, -1):
-            found = [row for g in grams_of(word, n) if (row := self.row_of.get(hash_of(g, n))) is not None]
-            if found:
-                return self.model.logs[found].mean(0, dtype=np.float64)
+            grams = [marked[i : i + n] for i in range(len(marked) - n + 1)]
+            rows = [row_of(digest(g if isinstance(g, bytes) else g.encode(), n)) for g in grams]
+            if found := [r for r in rows if r is not None]:
+                return self.model.logs.take(found, 0).sum(0, dtype=np.float64) / len(found)
         return self.model.floors[0]
 
     def rows(self, words: list[str]) -> np.ndarray:
         if len(self.at) > CACHE_WORDS:
-            self.reset()
+            keep_first(self.at)
         for w in set(words).difference(self.at):
             k = len(self.at)
             if k >= len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[k] = self.word(w)
             self.at[w] = k
-        return self.table[list(map(self.at.__getitem__, words))]
+        return self.table.take(list(map(self.at.__getitem__, words)), 0)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out, parts, prepare, read, stage
+from corpusloom.llm.common import held_out, keep_first, parts, prepare, read, stage
 
 #: The token that ends a text. Words have no space.
 END = b" "
@@ -94,10 +94,6 @@ class Words(dict):
         self.known = known
         self.logs = np.log10(known.counts + 0.5).tolist()
         self.leaves = known.leaves.tolist()
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
         self.new: list[tuple[int, int, float]] = []
         self.arrays = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8), np.zeros(1024)
 
@@ -129,12 +125,13 @@ class Words(dict):
         """The one that a worker keeps between its tasks, in the broadcast's value."""
         if "words" not in kept:
             kept["words"] = Words(kept["known"])
-        if len(kept["words"]) > CACHE_WORDS:
-            kept["words"].reset()
         return kept["words"]
 
     def batch(self, texts: list[str | None], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
         """Of the texts' tokens on end: features, leaves, logs; where texts start; the tokens."""
+        if len(self) > CACHE_WORDS:
+            self.look_up()
+            keep_first(self)
         words = [tokens_of(x) for x in texts]
         places = [self.places(x) for x in words]
         hashes, leaves, logs = self.look_up()
@@ -490,8 +487,6 @@ def lm_score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         index = Words.of(sent.value)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            if len(index) > CACHE_WORDS:
-                index.reset()
             out: list[list] = [[] for _ in rest]
             if batch.num_rows:
                 rows, leaves, logs, starts, words = index.batch(batch.column(len(names)).to_pylist(), n_rows)

@@ -12,7 +12,6 @@ where a task's ranks begin among all comes from counts by length and task, so th
 from __future__ import annotations
 
 import bisect
-import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -24,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import prepare, read, stage
+from corpusloom.llm.common import keep_first, prepare, read, stage
 
 CAPACITY = 2048
 END_ID = 0
@@ -49,9 +48,7 @@ class _Kept(dict):
 
     def __missing__(self, key: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
-            first = list(itertools.islice(self.items(), CACHE_WORDS // 4))
-            self.clear()
-            self.update(first)
+            keep_first(self)
         found = self[key] = self.make(key)
         return found
 

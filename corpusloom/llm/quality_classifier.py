@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out, parts, prepare, read, release, stage
+from corpusloom.llm.common import held_out, keep_first, parts, prepare, read, release, stage
 
 #: Runs of letters, of digits, of other characters, between white space.
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -71,7 +71,7 @@ class Pooler:
     def look_up(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of each token the place of its vector and its shape."""
         if len(self.known) > CACHE_TOKENS:
-            self.known.clear()
+            keep_first(self.known)
         for t in set(tokens).difference(self.known):
             k = shape_of(t)
             self.known[t] = (self.vocabulary.get(t.lower(), self.shapes[k]), k)
