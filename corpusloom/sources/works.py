@@ -6,13 +6,12 @@ A term without hits, or whose first page fails, gives no row; rows that are no J
 from __future__ import annotations
 
 import json
-import urllib.parse
-import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpusloom.operators.metadata import WORK_SCHEMA
 
@@ -31,23 +30,28 @@ def parse_works(df: DataFrame, json_col: str = "json") -> DataFrame:
     return df.withColumn("work", F.from_json(json_col, WORK_SCHEMA, {"mode": "PERMISSIVE"})).drop(json_col)
 
 
+def hits_of(term: str, fetch: Fetch, cap: int) -> list[str]:
+    """A term's first `cap` hits: pages until the cap, an empty page, no cursor or a failure. What came before a failure stays."""
+    found: list[str] = []
+    cursor: str | None = "*"
+    while cursor and len(found) < cap:
+        try:
+            page, cursor = fetch(term, cursor)
+        except Exception:  # noqa: BLE001
+            break
+        if not page:
+            break
+        found += page
+    return found[:cap]
+
+
 def search(terms: DataFrame, fetch: Fetch, cap: int = 100) -> DataFrame:
-    """term_ord, hit_ord, json of each term's first `cap` hits; pages until the cap, an empty page, no cursor or a failure. What came before a failure stays."""
+    """term_ord, hit_ord, json of each term's first `cap` hits, by a function that fetches a page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for term_ord, term in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found: list[str] = []
-                cursor: str | None = "*"
-                while cursor and len(found) < cap:
-                    try:
-                        page, cursor = fetch(term, cursor)
-                    except Exception:  # noqa: BLE001
-                        break
-                    if not page:
-                        break
-                    found += page
-                found = found[:cap]
+                found = hits_of(term, fetch, cap)
                 columns = [pa.array([term_ord] * len(found), pa.int32()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["term_ord", "hit_ord", "json"])
 
@@ -56,13 +60,48 @@ def search(terms: DataFrame, fetch: Fetch, cap: int = 100) -> DataFrame:
     return rows.mapInArrow(run, "term_ord int, hit_ord int, json string")
 
 
+class WorksSource(DataSource):
+    """spark.read.format("works").option("url", ...).option("terms", a JSON list).load(): the hits, a partition for each term.
+
+    Other options: cap (hits of a term), contact, key, per_page, timeout. Register it with
+    spark.dataSource.register(WorksSource).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "works"
+
+    def schema(self) -> str:
+        return "term_ord int, hit_ord int, json string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return WorksReader(dict(self.options))
+
+
+class WorksReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(x) for x in enumerate(json.loads(self.options["terms"]))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[int, int, str]]:
+        get, (term_ord, term) = self.options.get, partition.value
+        fetch = http_fetch(self.options["url"], get("contact"), get("key"), int(get("per_page", PAGE)), float(get("timeout", 60)))
+        for hit_ord, hit in enumerate(hits_of(term, fetch, int(get("cap", 100)))):
+            yield term_ord, hit_ord, hit
+
+
 def http_fetch(base_url: str, contact: str | None = None, key: str | None = None, per_page: int = PAGE, timeout: float = 60.0) -> Fetch:
     """fetch(term, cursor) over HTTP: a page of works and the cursor of the next. Whatever isn't a 200 is raised, which ends the term."""
 
     def fetch(term: str, cursor: str) -> tuple[list[str], str | None]:
+        from urllib.parse import urlencode  # here, as the function is sent to workers without its module
+        from urllib.request import Request, urlopen
+
         ask = {"search": term, "per_page": per_page, "cursor": cursor} | ({"api_key": key} if key else {})
-        request = urllib.request.Request(f"{base_url}?{urllib.parse.urlencode(ask)}", headers=session_headers(contact))
-        with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
+        request = Request(f"{base_url}?{urlencode(ask)}", headers=session_headers(contact))
+        with urlopen(request, timeout=timeout) as answer:  # noqa: S310
             if answer.status != 200:
                 raise OSError(f"HTTP {answer.status}")
             page = json.load(answer)

@@ -1,6 +1,7 @@
 """Folders, logs and runs, with temporary folders and a fake service."""
 
 import json
+import urllib.request
 from pathlib import Path
 
 import pytest
@@ -161,7 +162,7 @@ def test_http_fetch(monkeypatch):
         def read(self, *_):
             return json.dumps({"results": [{"id": "é"}], "meta": {"next_cursor": "c2"}}).encode()
 
-    monkeypatch.setattr(works.urllib.request, "urlopen", lambda request, timeout: asked.append(request) or Answer())
+    monkeypatch.setattr(urllib.request, "urlopen", lambda request, timeout: asked.append(request) or Answer())
     assert works.http_fetch("https://api.test/works", "me@x.org", "k")("a b", "*") == (['{"id": "é"}'], "c2")
     assert asked[0].full_url == "https://api.test/works?search=a+b&per_page=100&cursor=%2A&api_key=k" and "mailto:me@x.org" in asked[0].get_header("User-agent")
     Answer.status = 204
@@ -169,6 +170,39 @@ def test_http_fetch(monkeypatch):
         works.http_fetch("https://api.test/works")("a", "*")
 
 
+def test_works_source(spark):
+    """Pages over HTTP, from a server on this machine: cursors, the cap, an empty page, a failure."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            ask = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            at = 0 if ask["cursor"] == "*" else int(ask["cursor"])
+            failed = (ask["search"] == "fails" and at == 1) or "mailto:me@x.org" not in self.headers["User-Agent"]
+            self.send_response(500 if failed else 200)
+            self.end_headers()
+            if not failed:
+                hits = [] if ask["search"] == "none" else [{"id": f"{ask['search']}{at}{i}"} for i in range(int(ask["per_page"]))]
+                self.wfile.write(json.dumps({"results": hits, "meta": {"next_cursor": None if at == 2 else str(at + 1)}}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(works.WorksSource)
+        rows = spark.read.format("works").options(url=f"http://127.0.0.1:{server.server_port}/works", terms=json.dumps(["a b", "fails", "none"]), cap="5", per_page="2", contact="me@x.org").load()
+        got = {}
+        for r in works.parse_works(rows).orderBy("term_ord", "hit_ord").collect():
+            got.setdefault(r.term_ord, []).append(r.work.id)
+    finally:
+        server.shutdown()
+    assert got == {0: ["a b00", "a b01", "a b10", "a b11", "a b20"], 1: ["fails00", "fails01"]}
+
+
 def test_dump(spark, tmp_path):
     (tmp_path / "w.jsonl").write_text(json.dumps(work(1, extra=1)) + "\n")
     assert works.read_dump(spark, str(tmp_path / "w.jsonl")).select("id", "cited_by_count").collect() == [("https://w.org/W1", 50)]
