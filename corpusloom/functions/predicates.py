@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import constants as C
-from corpusloom.functions.text import heading_form, strip
+from corpusloom.functions.text import heading_form, let, strip
 
 
 class Line(NamedTuple):
@@ -34,13 +34,12 @@ def affiliation_terms(low: Column) -> Column:
 
 def line(x: Column | Line) -> Line:
     """The Line of a column."""
-    return x if isinstance(x, Line) else Line(x, F.lower(x), heading_form(x), affiliation_terms(F.lower(x)))
+    return x if isinstance(x, Line) else Line(x, F.lower(x), heading_form(x), let(F.lower(x), affiliation_terms))
 
 
 def facts(x: Column) -> Column:
     """The Line of a column as a struct, for arrays of lines."""
-    low = F.transform(F.array(F.lower(x)), lambda v: F.struct(x.alias("x"), v.alias("low"), heading_form(x).alias("form"), affiliation_terms(v).alias("terms")))
-    return F.element_at(low, 1)
+    return let(F.lower(x), lambda low: F.struct(x.alias("x"), low.alias("low"), heading_form(x).alias("form"), affiliation_terms(low).alias("terms")))
 
 
 def of(struct: Column) -> Line:
@@ -50,8 +49,8 @@ def of(struct: Column) -> Line:
 
 def has_any(x: Column | Line, parts: tuple[str, ...]) -> Column:
     """Whether the line has one of the parts, whatever its case."""
-    low = x.low if isinstance(x, Line) else F.lower(x)
-    return reduce(or_, (F.contains(low, F.lit(p)) for p in parts))
+    any_of = lambda low: reduce(or_, (F.contains(low, F.lit(p)) for p in parts))
+    return any_of(x.low) if isinstance(x, Line) else let(F.lower(x), any_of)
 
 
 def compact(x: Column) -> Column:
@@ -64,7 +63,7 @@ def is_page_number(x: Column | Line) -> Column:
 
 def is_pdf_artifact(x: Column | Line) -> Column:
     own = line(x)
-    return own.x.isin(*C.ARTIFACT_LINES) | has_any(own, C.ARTIFACT_PARTS) | (own.x.rlike(rf"(?U)\A[{C.ARTIFACT_SIGNS}\s]+\z") & (F.length(compact(own.x)) >= 6))
+    return own.x.isin(*C.ARTIFACT_LINES) | has_any(x, C.ARTIFACT_PARTS) | (own.x.rlike(rf"(?U)\A[{C.ARTIFACT_SIGNS}\s]+\z") & (F.length(compact(own.x)) >= 6))
 
 
 def is_graphical(x: Column | Line) -> Column:
@@ -120,7 +119,8 @@ def is_author_list(x: Column | Line) -> Column:
     own = line(x)
     names = author_name_score(own)
     marks = F.length(own.x) - F.length(F.translate(own.x, ";·", ""))
-    return (((own.terms >= 2) | (marks >= 4)) & (names >= 6)) | ((F.length(own.x) > 300) & (names >= 8))
+    many = (own.x.contains(";") | own.x.contains("·")) & (marks >= 4)
+    return ((many | (own.terms >= 2)) & (names >= 6)) | ((F.length(own.x) > 300) & (names >= 8))
 
 
 def is_numbered_affiliation(x: Column | Line) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ from corpusloom.functions import constants as C
 LINEBREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: a lambda's variable is never inlined."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end."""
     ends = F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))

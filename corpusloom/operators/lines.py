@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import constants as C
 from corpusloom.functions import predicates as P
+from corpusloom.functions.text import let
 
 COUNTS = ("front_matter", "publisher_metadata", "correspondence", "author_blocks", "graphics", "references", "other_noise")
 
@@ -77,7 +78,7 @@ def front_start(lines: Column) -> Column:
         first, second = (F.array_position(F.transform(forms, lambda f: f.isin(*names)), True) for names in (C.FIRST_ANCHORS, C.SECOND_ANCHORS))
         return F.when(first > 0, first - 1).when(second > 0, second - 1).otherwise(0).cast("int")
 
-    return _let(F.transform(lines, P.heading_form), go)
+    return let(F.transform(lines, P.heading_form), go)
 
 
 def references_start(lines: Column) -> Column:
@@ -86,11 +87,6 @@ def references_start(lines: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.size(lines)).cast("int")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once: a lambda's variable is never inlined."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def noise_categories(lines: Column) -> Column:
     """The category of each line of an array, `` for kept ones.
 
@@ -112,7 +108,7 @@ def noise_categories(lines: Column) -> Column:
         flags = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(_in_block(p))), "")
         return F.zip_with(all_, F.split(flags, ""), lambda z, f: F.when(f == "c", "correspondence").when((f == "k") | (f == "b"), "").otherwise(z["c"]))
 
-    found = _let(F.transform(F.transform(lines, P.facts), judged), marked)
+    found = let(F.transform(F.transform(lines, P.facts), judged), marked)
     return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(found)
 
 
@@ -151,4 +147,4 @@ def join_wrapped(lines: Column) -> Column:
         apart = F.when(text.contains(SOFT), F.regexp_replace(text, JOINED_HEADING, "$1\n")).otherwise(text)
         return F.split(F.translate(apart, SOFT, " "), "\n", -1)
 
-    return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(_let(facts, joined))
+    return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(let(facts, joined))

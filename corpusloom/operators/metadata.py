@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import AcquireConfig
 from corpusloom.functions import constants as C
-from corpusloom.functions.text import strip
+from corpusloom.functions.text import let, strip
 
 #: The fields of a work that are read.
 WORK_SCHEMA = """
@@ -41,10 +41,14 @@ def web_url(url: Column) -> Column:
 def license_of(locations: Column) -> Column:
     """The most wanted of the locations' licences, else the first named, else null."""
     names = F.array_distinct(F.filter(F.transform(locations, lambda x: F.lower(strip(x["license"]))), lambda x: x.isNotNull() & (x != "")))
-    found = F.lit(None).cast("string")
-    for name in reversed(C.LICENSES):
-        found = F.when(F.array_contains(names, name), name).otherwise(found)
-    return F.coalesce(found, F.try_element_at(names, F.lit(1)))
+
+    def chosen(own: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for name in reversed(C.LICENSES):
+            found = F.when(F.array_contains(own, name), name).otherwise(found)
+        return F.coalesce(found, F.try_element_at(own, F.lit(1)))
+
+    return let(names, chosen)
 
 
 def fetchable(locations: Column) -> Column:
@@ -61,22 +65,31 @@ def fetchable(locations: Column) -> Column:
 
 def location_score(pdf: Column, page: Column, source_type: Column, is_oa: Column) -> Column:
     """How promising a place is: repositories and open publishers first, those behind a paywall last."""
-    pdf, page = F.lower(F.coalesce(pdf, F.lit(""))), F.lower(F.coalesce(page, F.lit("")))
-    score = F.lit(0)
-    for host in C.REPOSITORIES:
-        score += F.when(pdf.contains(host), 100).when(page.contains(host), 80).otherwise(0)
-    for host in C.OPEN_PUBLISHERS:
-        score += F.when(pdf.contains(host), 50).otherwise(0)
-    for host in C.CLOSED_PUBLISHERS:
-        score -= F.when(pdf.contains(host), 50).otherwise(0)
-    return score + F.when(source_type == "repository", 80).otherwise(0) + F.when(is_oa, 20).otherwise(0) + F.when(pdf != "", 30).otherwise(0)
+
+    def of_hosts(urls: Column) -> Column:
+        score = F.lit(0)
+        for host in C.REPOSITORIES:
+            score += F.when(urls["pdf"].contains(host), 100).when(urls["page"].contains(host), 80).otherwise(0)
+        for host in C.OPEN_PUBLISHERS:
+            score += F.when(urls["pdf"].contains(host), 50).otherwise(0)
+        for host in C.CLOSED_PUBLISHERS:
+            score -= F.when(urls["pdf"].contains(host), 50).otherwise(0)
+        return score + F.when(urls["pdf"] != "", 30).otherwise(0)
+
+    low = lambda x: F.lower(F.coalesce(x, F.lit("")))
+    score = let(F.struct(low(pdf).alias("pdf"), low(page).alias("page")), of_hosts)
+    return score + F.when(source_type == "repository", 80).otherwise(0) + F.when(is_oa, 20).otherwise(0)
 
 
 def scored_locations(locations: Column) -> Column:
     """Locations `x` with their `score`, from the most promising on; equal ones keep their order."""
-    scored = F.transform(locations, lambda x, i: F.struct((-location_score(x["pdf_url"], x["landing_page_url"], x["source_type"], x["is_oa"])).alias("s"), i.alias("i")))
-    # sorted by two numbers each, without a comparison of our own; then fetched by place
-    return F.transform(F.array_sort(scored), lambda z: F.struct((-z["s"]).alias("score"), F.element_at(locations, z["i"] + 1).alias("x")))
+
+    def ranked(all_: Column) -> Column:
+        scored = F.transform(all_, lambda x, i: F.struct((-location_score(x["pdf_url"], x["landing_page_url"], x["source_type"], x["is_oa"])).alias("s"), i.alias("i")))
+        # sorted by two numbers each, without a comparison of our own; then fetched by place
+        return F.transform(F.array_sort(scored), lambda z: F.struct((-z["s"]).alias("score"), F.element_at(all_, z["i"] + 1).alias("x")))
+
+    return let(locations, ranked)
 
 
 def rank_locations(locations: Column) -> Column:

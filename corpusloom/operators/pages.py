@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.predicates import is_page_number
-from corpusloom.functions.text import fuzzy_key, normalize_line, strip
+from corpusloom.functions.text import fuzzy_key, let, normalize_line, strip
 
 #: Documents of fewer pages have no repeated lines; shorter lines don't count.
 MIN_PAGES, MIN_CHARS = 3, 4
@@ -41,16 +41,11 @@ def strip_repeated(pages: Column, ratio: float = 0.30) -> Column:
         need = F.greatest(F.lit(2), (F.size(counted) * float(ratio)).cast("int"))
         # of sorted keys one is often if the one `need` - 1 places on is the same
         often = lambda keys: F.array_distinct(F.filter(keys, lambda k, i: F.try_element_at(keys, i + need).eqNullSafe(k)))
-        drop = F.when(F.size(counted) >= MIN_PAGES, _let(F.array_sort(F.flatten(counted)), often)).otherwise(F.array().cast("array<string>"))
+        drop = F.when(F.size(counted) >= MIN_PAGES, let(F.array_sort(F.flatten(counted)), often)).otherwise(F.array().cast("array<string>"))
         # a key is on a share of the pages, so there are few of them, however long the document
-        return _let(drop, lambda d: F.transform(pages, lambda p: F.filter(F.transform(p, normalize_line), lambda x: (x == "") | (F.size(d) == 0) | ~F.array_contains(d, fuzzy_key(x)))))
+        return let(drop, lambda d: F.transform(pages, lambda p: F.filter(F.transform(p, normalize_line), lambda x: (x == "") | (F.size(d) == 0) | ~F.array_contains(d, fuzzy_key(x)))))
 
-    return _let(page_keys(pages), go)
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once: a lambda's variable is never inlined."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return let(page_keys(pages), go)
 
 
 def flatten_pages(pages: Column) -> Column:
