@@ -67,13 +67,19 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Known:
-    """What is known of words: counts and leaves (class * GROUPS + group) of frequent ones, classes of endings."""
+    """What is known of words: counts and leaves (class * GROUPS + group) of frequent ones, classes of endings.
+
+    It travels as its fields: a broadcast value is unpickled where this module need not be.
+    """
 
     head: dict[bytes, int]
     counts: np.ndarray
     leaves: np.ndarray
     endings: dict[bytes, int]
 
+    def fields(self) -> tuple:
+        return self.head, self.counts, self.leaves, self.endings
+
     def leaf_of(self, word: bytes) -> int:
         if (at := self.head.get(word)) is not None:
             return int(self.leaves[at])
@@ -124,7 +130,7 @@ class Words(dict):
     def of(kept: dict) -> Words:
         """The one that a worker keeps between its tasks, in the broadcast's value."""
         if "words" not in kept:
-            kept["words"] = Words(kept["known"])
+            kept["words"] = Words(Known(*kept["known"]))
         return kept["words"]
 
     def batch(self, texts: list[str | None], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -432,10 +438,10 @@ def fit(df: DataFrame, text_col: str = "text") -> Model:
     head, in_head = _head(counts)
     texts = _texts(df, text_col)
     known = grouped(head, *_clusters(texts, head))
-    sent = spark.sparkContext.broadcast({"known": known})
+    sent = spark.sparkContext.broadcast({"known": known.fields()})
 
     def leaves(batches) -> Iterator[pa.RecordBatch]:
-        known = sent.value["known"]
+        known = Known(*sent.value["known"])
         for batch in batches:
             own = [known.leaf_of(w.encode()) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column(1)], names=["k", "c"])
@@ -473,7 +479,7 @@ def lm_score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     spark = df.sparkSession
     prepare(spark)
-    sent = spark.sparkContext.broadcast({"known": model.known})
+    sent = spark.sparkContext.broadcast({"known": model.known.fields()})
     sent_weights = spark.sparkContext.broadcast((model.weights, model.leaf_logs))
     n_rows = model.rows
     names = [id_col, *keep]

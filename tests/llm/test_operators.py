@@ -589,6 +589,24 @@ def test_lm_score_brute_force(spark, monkeypatch):
     assert sum(r.score for d, r in got.items() if d < 60) > sum(r.base_score for d, r in got.items() if d < 60) + 50
 
 
+def test_broadcasts_need_no_module(spark, monkeypatch):
+    """Broadcast values are unpickled by plain pickle, on executors that have no copy of this package."""
+    import pickle
+
+    from pyspark import SparkContext
+
+    sent, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or broadcast(self, value))
+    frame = spark.createDataFrame([(i, f"some words of text {i}", "en") for i in range(20)], "doc_id bigint, text string, lang string")
+    lm_scoring.lm_score(frame, lm_scoring.fit(frame)).collect()
+    language_id.language_id(frame, language_id.fit(frame)).collect()
+    quality_classifier.quality_score(frame, quality_classifier.fit(frame, frame.selectExpr("doc_id", "int(doc_id % 2) AS quality"), "doc_id", "text", "quality")).collect()
+    packing.pack(frame).collect()
+    byte_bpe.digest(frame).collect()
+    byte_bpe.decode(byte_bpe.encode(frame)).collect()
+    assert len(sent) >= 10 and not any(b"corpusloom" in x for x in sent)
+
+
 def test_lm_histories_end_at_texts():
     draw = np.random.default_rng(1)
     hashes, kinds = draw.integers(0, 1 << 32, 50).astype(np.uint64), draw.integers(0, 16, 50).astype(np.uint8)
