@@ -119,20 +119,21 @@ def _root(run: int) -> np.uint64:
 
 
 def _signed(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, set_key (equal for equal sets, null for none), n_shingles, signature (the tokens), sketch."""
+    """id, set_key (equal for equal sets, null for none), n_shingles, signature (the tokens), sketch, text_key (the text's md5)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, found, sketches = [], [], [], []
+            keys, sizes, found, sketches, texts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
+                texts.append(hashlib.md5((text or "").encode()).hexdigest())
                 hashes = shingles(text, k)
                 keys.append(hashlib.md5(hashes.tobytes()).hexdigest() if len(hashes) else None)
                 sizes.append(len(hashes))
                 found.append(tokens(hashes).tobytes())
                 sketches.append(sketch(hashes).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "set_key", "n_shingles", "signature", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary()), pa.array(sketches, pa.binary()), pa.array(texts, pa.string())], names=["id", "set_key", "n_shingles", "signature", "sketch", "text_key"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), text_col).mapInArrow(run, "id bigint, set_key string, n_shingles bigint, signature binary, sketch binary")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), text_col).mapInArrow(run, "id bigint, set_key string, n_shingles bigint, signature binary, sketch binary, text_key string")
 
 
 def _matrix(column, kind=np.uint32, width: int = SIZE) -> np.ndarray:
@@ -334,24 +335,26 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_links counts the other rows whose shingle sets have a likeness of `threshold` or more with this row's,
     copies included; class_id is the least id among the rows that links connect it with; rep_id is the
     least id of the rows with the same set. Rows without a word, or with a null text, have no links and
-    their own id as class. Ids are whole numbers; rows of one id count as one document with the words of
-    the first by set, and rows of a null id stand alone with a null class. Other columns are not read.
+    their own id as class. Ids are whole numbers; rows of one id count as one document, whose words are those
+    of its text with the least set key, in whatever order the rows come, and rows of a null id stand alone
+    with a null class. Other columns are not read.
     """
     prepare(df.sparkSession)
     signed = stage(_signed(df, id_col, text_col, k), "signed")
     known = signed.where(F.col("id").isNotNull() & F.col("set_key").isNotNull())
-    single = known.groupBy("id").agg(F.min(F.struct("set_key", "n_shingles", "signature", "sketch")).alias("s")).select("id", "s.*")
-    reps = stage(single.groupBy("set_key").agg(F.min(F.struct("id", "n_shingles", "signature", "sketch")).alias("r"), F.count("*").alias("weight")).select("set_key", "r.*", "weight"), "reps")
+    single = known.groupBy("id").agg(F.min(F.struct("set_key", "n_shingles", "signature", "sketch", "text_key")).alias("s")).select("id", "s.*")
+    reps = stage(single.groupBy("set_key").agg(F.min(F.struct("id", "n_shingles", "signature", "sketch", "text_key")).alias("r"), F.count("*").alias("weight")).select("set_key", "r.*", "weight"), "reps")
     used: list[DataFrame] = []
     groups = stage(components(candidates(reps, threshold, recall, used)), "groups")
     release(*used)
     used = [groups]
-    groups = stage(groups.join(reps.select("id", "n_shingles", "weight"), "id"), "members")
+    groups = stage(groups.join(reps.select("id", "n_shingles", "weight", "text_key"), "id"), "members")
     release(*used)
     sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count("*") / SETS)).cast("int").alias("blocks"))
     members = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int"))
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    texts = reduced(docs, groups, "id").join(members, "id").dropDuplicates(["id"])
+    # of an id's texts the one whose set was chosen above
+    texts = reduced(docs, groups, "id").join(members, "id").where(F.md5(F.col("text").cast("binary")) == F.col("text_key")).dropDuplicates(["id"])
     dealt = in_block_pairs(texts).select("root", "i", "j", "id", "block", "weight", "text")
     dealt = dealt.repartition(parts(df), "root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
     links = stage(_verified(dealt, threshold, k), "links")
