@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from corpusloom.llm import byte_bpe, fingerprints, language_id, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, substring_dedup
+from corpusloom.llm import byte_bpe, fingerprints, language_id, lm_scoring, merge_automaton, ngram_join, packing, quality_classifier, quality_rules, substring_dedup
 from corpusloom.llm.common import stage
 
 LONG = " ".join(f"wörd{i % 997}" for i in range(30_000))
@@ -30,6 +30,8 @@ ONE_FOR_ONE = {
     "encode": byte_bpe.encode,
     "lm": lm,
     "join": ngram_join.jaccard_join,
+    "automaton": merge_automaton.digest,
+    "automaton ids": merge_automaton.encode,
 }
 
 
