@@ -26,6 +26,7 @@ MODULES = (
     "byte_bpe",
     "lm_scoring",
     "ngram_join",
+    "ranked_search",
     "hard_negatives",
     "merge_automaton",
 )
