@@ -1,12 +1,29 @@
-"""The place of each row in its batch."""
+"""The place of each row in its batch, and how far a run has come."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
+
+@dataclass(frozen=True)
+class Progress:
+    """What a run is at: `index` of `total` records are done, `failed` of them in vain; `done` with the last one."""
+
+    message: str
+    index: int = 0
+    total: int = 0
+    failed: int = 0
+    done: bool = False
+
+
+Report = Callable[[Progress], None]
+
 #: Rows of a range that one task numbers, about.
 RANGE_ROWS = 200_000
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
@@ -77,15 +78,20 @@ def write_texts(cleaned: DataFrame, folder: str, mode: str = "overwrite") -> Non
     cleaned.where("valid").select("doc_id", "text").write.mode(mode).parquet(folder)
 
 
-def put_file(write: Callable[[BinaryIO], None], path: str, check: Callable[[str], bool] = lambda _: True) -> bool:
-    """Write a file under another name, check it, and put it in its place; what fails the check leaves nothing."""
-    part = f"{path}.part"
+def put_file(write: Callable[[BinaryIO], None], path: str, check: Callable[[str], bool] = lambda _: True, label: str = "", before: Callable[[str], None] = lambda part: None) -> bool:
+    """Write a file under a name of its own, check it, and put it in its place; what fails the check leaves nothing.
+
+    The name has `label`, and is no other writer's: of several writers of one file one wins, with a whole
+    file. `before` is called with the file under that name, just before it takes its place.
+    """
+    part = f"{path}.{label}-{uuid.uuid4().hex}.part"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     try:
         with open(part, "wb") as f:
             write(f)
         if not check(part):
             return False
+        before(part)
         os.replace(part, path)
         return True
     finally:

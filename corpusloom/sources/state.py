@@ -1,6 +1,7 @@
 """Logs of what was fetched: append-only tables of JSON lines, from which ids and quotas follow.
 
-A log or a state that isn't there is one without rows. Lines that can't be read are passed over.
+A log or a state that isn't there is one without rows. Lines that can't be read are passed over. What a run
+appends is a folder of the run's name, so that appending it again changes nothing.
 """
 
 from __future__ import annotations
@@ -25,20 +26,32 @@ def valid_ids(lines: DataFrame, line_col: str = "value") -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Distinct ids of a log; none if it isn't there."""
-    return valid_ids(spark.read.text(path)) if exists(spark, path) else spark.createDataFrame([], "id string")
+    return valid_ids(read_log(spark, path)) if exists(spark, path) else spark.createDataFrame([], "id string")
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append rows as JSON lines, null fields and all; Spark's commit makes it all or nothing."""
-    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a log, of all runs."""
+    return spark.read.option("recursiveFileLookup", "true").text(path)
 
 
-def write_records(rows: DataFrame, path: str, version: Column | None = None) -> None:
+def _append(rows: DataFrame, path: str, run: str | None):
+    return (rows.write.mode("append"), path) if run is None else (rows.write.mode("overwrite"), f"{path}/{run}")
+
+
+def append_log(rows: DataFrame, path: str, run: str | None = None) -> None:
+    """Append rows as JSON lines, null fields and all; Spark's commit makes it all or nothing. A run's rows replace those that it has appended before."""
+    writer, where = _append(rows, path, run)
+    writer.option("ignoreNullFields", "false").json(where)
+
+
+def write_records(rows: DataFrame, path: str, version: Column | None = None, run: str | None = None) -> None:
     """Add records (with `id`) to a table, each stamped with its version: the time, unless one is given.
 
-    Nothing is rewritten, so a reader never sees half a record; read_records() has the last of each id.
+    Nothing else is rewritten, so a reader never sees half a record; read_records() has the last of each id.
+    A run's records replace those that it has added before.
     """
-    rows.withColumn("_version", (F.current_timestamp() if version is None else version).cast("timestamp")).write.mode("append").parquet(path)
+    writer, where = _append(rows.withColumn("_version", (F.current_timestamp() if version is None else version).cast("timestamp")), path, run)
+    writer.parquet(where)
 
 
 def latest(records: DataFrame, version_col: str) -> DataFrame:
@@ -48,7 +61,7 @@ def latest(records: DataFrame, version_col: str) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Of each id the record that was written last."""
-    return latest(spark.read.parquet(path), "_version").drop("_version")
+    return latest(spark.read.option("recursiveFileLookup", "true").parquet(path), "_version").drop("_version")
 
 
 def remaining_today(state_date: Column, downloads: Column, today: Column, per_day: int) -> Column:
@@ -57,28 +70,40 @@ def remaining_today(state_date: Column, downloads: Column, today: Column, per_da
 
 
 def load_state(spark: SparkSession, path: str, today: str) -> dict:
-    """The day's counter (date, downloads). Missing, unreadable or another day's state is a new one, which is saved."""
+    """The day's counter (date, downloads), and a run that was begun and not ended (run, reserved), of whatever day.
+
+    Missing, unreadable or another day's state is a new one, which is saved; an unreadable one is left for
+    a human to see.
+    """
     fresh = {"date": today, "downloads": 0}
-    if exists(spark, path):
-        line = spark.read.text(path, wholetext=True).first()
+    # where a store can't replace a file at once, a writer that was stopped has left the whole new one beside
+    for name in (path, path + ".part"):
+        if not exists(spark, name):
+            continue
+        line = spark.read.text(name, wholetext=True).first()
         try:
             found = json.loads(line[0]) if line else None
-            if isinstance(found, dict) and found.get("date") == today:
-                return {"date": today, "downloads": int(found.get("downloads") or 0)}
-        except (ValueError, TypeError):
-            return fresh  # an unreadable state is left for a human to see
+            begun = {"run": str(found["run"]), "reserved": int(found["reserved"])} if found.get("run") else {}
+            if found.get("date") == today:
+                return fresh | {"downloads": int(found.get("downloads") or 0)} | begun
+            fresh |= begun
+        except (AttributeError, KeyError, TypeError, ValueError):
+            return fresh
+        break
     save_state(spark, path, fresh)
     return fresh
 
 
 def save_state(spark: SparkSession, path: str, state: dict) -> None:
-    """Write the counter beside the old one, then put it in its place: a reader sees either."""
+    """Write the counter beside the old one, then put it in its place, at once where the store can: load_state() finds either."""
     context = spark.sparkContext
-    path_of = context._jvm.org.apache.hadoop.fs.Path
-    part, where = path_of(path + ".part"), path_of(path)
-    files = where.getFileSystem(context._jsc.hadoopConfiguration())
-    out = files.create(part, True)
+    fs = context._jvm.org.apache.hadoop.fs
+    part, where = fs.Path(path + ".part"), fs.Path(path)
+    conf = context._jsc.hadoopConfiguration()
+    out = where.getFileSystem(conf).create(part, True)
     out.write(bytearray(json.dumps(state).encode()))
     out.close()
-    files.delete(where, False)
-    files.rename(part, where)
+    overwrite = context._gateway.new_array(fs.Options.Rename, 1)
+    overwrite[0] = fs.Options.Rename.OVERWRITE
+    files = fs.FileContext.getFileContext(where.toUri(), conf) if where.toUri().getScheme() else fs.FileContext.getFileContext(conf)
+    files.rename(part, where, overwrite)

@@ -14,7 +14,7 @@ from corpusloom.operators.metadata import WORK_SCHEMA
 from corpusloom.operators.progress import numbered
 from corpusloom.plans.clean import clean_pages
 from corpusloom.plans.folder import clean_folder
-from corpusloom.sources import files, state, works
+from corpusloom.sources import files, papers, state, works
 
 PDF = b"%PDF-1.7" + b"x" * 10_000
 
@@ -49,8 +49,8 @@ class Server:
 
 def test_try_place(tmp_path):
     waits = []
-    place = lambda kinds, retries=2: run.try_place("https://x.org/a", str(tmp_path / "d" / "a.pdf"), Server(tmp_path / str(len(list(tmp_path.iterdir()))), {"https://x.org/a": kinds}), retries, 1.0, waits.append)
-    assert run.try_place(None, "", None, 2, 1.0) == "no_pdf_url"
+    place = lambda kinds, retries=2: papers.try_place("https://x.org/a", str(tmp_path / "d" / "a.pdf"), Server(tmp_path / str(len(list(tmp_path.iterdir()))), {"https://x.org/a": kinds}), retries, 1.0, waits.append)
+    assert papers.try_place(None, "", None, 2, 1.0) == "no_pdf_url"
     assert place([404]) == "http_404" and place([429, 200]) == "http_429" and waits == []
     assert place([500, 200]) == "success" and waits == [2.0]
     assert place([503, 503]) == "http_503" and place(["lost", "lost", "lost"], 3) == "connection" and waits == [2.0, 2.0, 2.0, 4.0]
