@@ -83,10 +83,10 @@ def heading_form(x: Column) -> Column:
 
 
 def section_name(x: Column) -> Column:
-    """The known section that a heading names, else a numbered heading's title, else the line."""
+    """The known section that a heading names, else a numbered heading's title as it is written, else the stripped line."""
     known = heading_form(x)
     title = F.regexp_extract(strip(x), C.NUMBERED_TITLE, 1)
-    return F.when(known.isin(*C.SECTION_NAMES), known).when(title != "", heading_form(title)).otherwise(known)
+    return F.when(known.isin(*C.SECTION_NAMES), known).when(title != "", strip(title)).otherwise(strip(x))
 
 
 def fuzzy_key(x: Column) -> Column:

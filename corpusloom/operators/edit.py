@@ -1,7 +1,8 @@
-"""Bulk find and replace over texts.
+r"""Bulk find and replace over texts.
 
 A null text has no match and is never changed; an empty one may match an empty pattern. Patterns are written
-as for Python's `re` as far as named groups go, and are what Java's engine reads otherwise.
+as for Python's `re` as far as named groups and classes of characters go, and are what Java's engine reads
+otherwise: `a{,3}` and `(?a)` are errors, and `\Z` also matches before a last line break.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: `(?P<name>` and `(?P=name)`, with the backslashes before them; an even number of those stands for themselves.
-NAMED = re.compile(r"(?<!\\)((?:\\\\)*)\(\?P(?:<(\w+)>|=(\w+)\))")
+#: An escaped character, a class of characters, or a named group's beginning or reference, whichever comes first.
+PIECE = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P<(\w+)>|\(\?P=(\w+)\)", re.DOTALL)
 
 
 def java_name(name: str) -> str:
@@ -21,9 +22,21 @@ def java_name(name: str) -> str:
     return "g" + "".join(c if c.isascii() and c.isalnum() else f"x{ord(c):x}x" for c in name)
 
 
+def _java_class(chars: str) -> str:
+    """A class of characters, in which Java takes brackets and `&&` for signs of its own."""
+    inside = re.sub(r"\\.|\[|&(?=&)", lambda m: m[0] if len(m[0]) > 1 else "\\" + m[0], chars[1:-1], flags=re.DOTALL)
+    return f"[{inside}]"
+
+
 def java_regex(pattern: str) -> str:
-    """A pattern with its named groups as Java writes them."""
-    return NAMED.sub(lambda m: m[1] + (f"(?<{java_name(m[2])}>" if m[2] else f"\\k<{java_name(m[3])}>"), pattern)
+    """A pattern with its named groups, and signs in classes of characters, as Java writes them."""
+
+    def piece(m: re.Match) -> str:
+        if m[1] or m[2]:
+            return f"(?<{java_name(m[1])}>" if m[1] else f"\\k<{java_name(m[2])}>"
+        return _java_class(m[0]) if m[0][0] == "[" else m[0]
+
+    return PIECE.sub(piece, pattern)
 
 
 def compile_pattern(pattern: str, use_regex: bool = False, case_sensitive: bool = False) -> str:

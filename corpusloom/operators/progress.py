@@ -28,9 +28,9 @@ Report = Callable[[Progress], None]
 RANGE_ROWS = 200_000
 
 
-def _place(value: Column, splits: list[int]) -> Column:
+def _place(value: Column, splits: list, kind: str = "bigint") -> Column:
     """How many of the sorted splits are at most the value, by bisection on one literal."""
-    table = F.split(F.lit(",".join(map(str, splits))), ",").cast("array<bigint>")
+    table = F.split(F.lit("\0".join(map(str, splits))), "\0").cast(f"array<{kind}>")
 
     def halve(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
@@ -65,3 +65,28 @@ def numbered(df: DataFrame, key_col: str, range_rows: int = RANGE_ROWS) -> DataF
     return parts.withColumn("_i", one).select(
         F.col("_key").alias(key_col), (F.col("_before") + F.col("_first") + F.col("_part") * range_rows + F.col("_i")).cast("bigint").alias("index"), F.lit(total).cast("bigint").alias("total")
     )
+
+
+#: Keys looked at for each range of texts, about.
+PER_RANGE = 20
+
+
+def numbered_texts(df: DataFrame, key_col: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """key, index (from 1, by key), total of each row; keys are texts, and those of equal ones in any order.
+
+    Rows are dealt into ranges between some of the keys, chosen by their hash, so that the same rows are
+    dealt alike however often they are looked at, and each range is numbered by itself. No rows give no rows.
+    """
+    keys, key = df.select(key_col), F.col(key_col)
+    total = keys.count()
+    n = math.ceil(total / range_rows)
+    splits = []
+    if n > 1:
+        share = max(1, total // (n * PER_RANGE))  # the driver gets about PER_RANGE keys a range
+        some = sorted((r[0] for r in keys.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).distinct().collect() if r[0] is not None), key=lambda x: x.encode())
+        splits = some[PER_RANGE::PER_RANGE]
+    dealt = keys.withColumn("_range", _place(key, splits, "string") if splits else F.lit(0))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return dealt.withColumn("_i", place).join(before, "_range").select(key_col, (F.col("_before") + F.col("_i")).cast("bigint").alias("index"), F.lit(total).cast("bigint").alias("total"))

@@ -98,7 +98,7 @@ def heading(x: str) -> str:
 
 def section_name(x: str) -> str:
     title = rf"regexp_extract({strip(x)}, '^\d+(?:\.\d+)*\.?\s+(.+)$', 1)"
-    return f"CASE WHEN {heading_form(x)} IN {names(C.SECTION_NAMES)} THEN {heading_form(x)} WHEN {title} <> '' THEN {heading_form(title)} ELSE {heading_form(x)} END"
+    return f"CASE WHEN {heading_form(x)} IN {names(C.SECTION_NAMES)} THEN {heading_form(x)} WHEN {title} <> '' THEN {strip(title)} ELSE {strip(x)} END"
 
 
 def fuzzy_key(x: str) -> str:

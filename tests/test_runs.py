@@ -1,6 +1,7 @@
 """Folders, logs and runs, with temporary folders and a fake service."""
 
 import json
+import re
 import urllib.request
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from corpusloom.__main__ import main
 from corpusloom.config import AcquireConfig, CleanConfig
 from corpusloom.operators import acquire, apply, edit, run
 from corpusloom.operators.metadata import WORK_SCHEMA
-from corpusloom.operators.progress import numbered
+from corpusloom.operators.progress import numbered, numbered_texts
 from corpusloom.plans.clean import clean_pages
 from corpusloom.plans.folder import clean_folder
 from corpusloom.sources import files, papers, state, works
@@ -271,6 +272,10 @@ def test_named_groups(spark):
     got = edit.replace(frame.drop("n"), r"(?P<x>a)(?P<y_1>b) (?P=x)(?P=y_1)", r"\g<y_1>\g<x>$", use_regex=True).collect()
     assert [tuple(r) for r in got] == [("ba$", 1)]
     assert edit.java_regex(r"\(?P<x>a) \\(?P<x>a)") == r"\(?P<x>a) \\(?<gx>a)"  # an escaped bracket is none
+    assert edit.java_regex(r"[(?P<x>]+[]a[b&&c\]]\[(?P<x>a)") == r"[(?P<x>]+[]a\[b\&&c\]]\[(?<gx>a)"  # nor is one in a class
+    odd = spark.createDataFrame([("12a aaa (?P<x>", "x"), ("a[b]&c", "x")], "text string, n string").drop("n")
+    for pattern in (r"[(?P<x>]", r"[[\]]", r"[a&&c]", r"[]a]", r"[^]a]", r"\[b"):
+        assert [r.n for r in edit.find(odd, pattern, True, True).collect()] == [len(re.findall(pattern, t)) for t in ("12a aaa (?P<x>", "a[b]&c")]
     with pytest.raises(ValueError):  # Python reads it, Java doesn't
         edit.compile_pattern(r"(?P<x>a)(?(x)b|c)", use_regex=True)
     assert [(r.text, r.n) for r in edit.changed(frame.drop("n"), "c", "X").collect()] == [("ab ab", 0), (None, 0), ("Xd", 1)]
@@ -285,6 +290,14 @@ def test_numbered(spark):
     assert numbered(spark.createDataFrame([], "k bigint"), "k").count() == 0
 
 
+def test_numbered_texts(spark):
+    keys = [f"f/{i * 7919 % 1000:03}é" for i in range(1000)] + ["f/500é"] * 50 + ["é", "z", "\U0001f600", "\uffee"]
+    got = numbered_texts(spark.createDataFrame([(k, 1) for k in keys], "k string, index int"), "k", range_rows=60).collect()
+    order = sorted(keys, key=lambda x: x.encode())
+    assert sorted((r["index"], r.k, r.total) for r in got) == [(i, k, len(keys)) for i, k in enumerate(order, 1)]
+    assert numbered_texts(spark.createDataFrame([], "k string"), "k").count() == 0
+
+
 def test_acquire_edges(spark):
     none = spark.createDataFrame([], "term_ord int, hit_ord int, id string, work string")
     assert acquire.dedup_works(none).count() == acquire.cap_per_term(none, 3).count() == 0
