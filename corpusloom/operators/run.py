@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import AcquireConfig
 from corpusloom.operators import acquire, metadata
 from corpusloom.operators.progress import Progress, Report
+from corpusloom.sources.headers import list_headers
 from corpusloom.sources.papers import ACCEPT, OUTCOME, Fetching, Get, http_get, papers_sink
 from corpusloom.sources.state import append_log, exists, load_state, read_ids, save_state, write_records
 from corpusloom.sources.works import session_headers
@@ -179,11 +180,7 @@ def acquire_run(spark: SparkSession, hits: Callable[[], DataFrame], folders: Fol
     if not remaining:
         say(Progress("nothing is left of the day's quota", done=True))
         return totals | {"remaining": 0}
-    held = spark.createDataFrame([], "id string")
-    if exists(spark, folders.papers):
-        from corpusloom.sources.files import list_pdfs
-
-        held = list_pdfs(spark, folders.papers).where("valid").select(F.col("doc_id").alias("id"))
+    held = list_headers(spark, folders.papers).where("valid").select(F.col("doc_id").alias("id"))
     run = uuid.uuid4().hex
     selected = f"{folders.staging}/{run}/selected"  # staged: a second look is no second search
     select_works(hits(), read_ids(spark, folders.manifest), held, config, remaining).write.parquet(selected)

@@ -13,10 +13,11 @@ from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.acquire import is_pdf
+from corpusloom.operators.progress import numbered_texts
 
 
 def stem(path_col: str = "path"):
@@ -31,9 +32,8 @@ def list_pdfs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def in_order(files: DataFrame) -> DataFrame:
-    """path, index (from 1, by path), total. A folder's listing fits the driver, which has made it; so do its paths."""
-    paths = files.select("path")
-    return paths.withColumn("index", F.row_number().over(Window.orderBy("path")).cast("bigint")).withColumn("total", F.count("*").over(Window.partitionBy()))
+    """path, index (from 1, by path), total."""
+    return numbered_texts(files.select("path"), "path")
 
 
 def extract_with_mupdf(content: bytes) -> list[list[str]]:

@@ -194,8 +194,7 @@ def test_works_source(spark):
     server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
-        spark.dataSource.register(works.WorksSource)
-        rows = spark.read.format("works").options(url=f"http://127.0.0.1:{server.server_port}/works", terms=json.dumps(["a b", "fails", "none"]), cap="5", per_page="2", contact="me@x.org").load()
+        rows = works.hits(spark, {"url": f"http://127.0.0.1:{server.server_port}/works", "terms": json.dumps(["a b", "fails", "none"]), "cap": "5", "per_page": "2", "contact": "me@x.org"})
         got = {}
         for r in works.parse_works(rows).orderBy("term_ord", "hit_ord").collect():
             got.setdefault(r.term_ord, []).append(r.work.id)

@@ -1,0 +1,123 @@
+"""What sources don't read: contents of files, pages that have come, parts of an index."""
+
+import json
+import os
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlparse
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.sources import headers, works
+
+
+def test_headers(spark, tmp_path):
+    """Files of a terabyte are listed in no time; names, validity and sizes are right."""
+    for i in range(30):
+        with open(tmp_path / f"big{i}.pdf", "wb") as f:
+            f.write(b"%PDF-" if i % 3 else b"<html")
+            f.truncate(1 << 40)
+    (tmp_path / "short.pdf").write_bytes(b"%PDF-" + b"x" * 9994)
+    (tmp_path / "just.v2.pdf").write_bytes(b"%PDF-" + b"x" * 9995)
+    (tmp_path / "other.txt").write_bytes(b"%PDF-" + b"x" * 20_000)
+    (tmp_path / "_hidden.pdf").write_bytes(b"%PDF-" + b"x" * 20_000)
+    (tmp_path / "folder.pdf").mkdir()
+    os.symlink(tmp_path / "nowhere", tmp_path / "gone.pdf")
+    for where in (str(tmp_path), f"file://{tmp_path}"):
+        began = time.perf_counter()
+        got = {r.doc_id: r for r in headers.list_headers(spark, where, slice_=7).collect()}
+        assert time.perf_counter() - began < 30
+        assert {k for k, r in got.items() if r.valid} == {"just.v2"} | {f"big{i}" for i in range(30) if i % 3}
+        assert set(got) == {"short", "just.v2"} | {f"big{i}" for i in range(30)} and got["big1"].length == 1 << 40
+    rows = headers.list_headers(spark, str(tmp_path), slice_=7)
+    assert rows.rdd.getNumPartitions() == 5
+    assert headers.list_headers(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.fixture
+def service():
+    """A search service on this machine: pages of two hits, a count of what was asked, and terms that fail."""
+    asked, failing = [], set()
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            ask = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            at = 0 if ask["cursor"] == "*" else int(ask["cursor"])
+            asked.append((ask["search"], at))
+            failed = (ask["search"], at) in failing
+            self.send_response(500 if failed else 200)
+            self.end_headers()
+            if not failed:
+                hits = [] if ask["search"] == "none" else [{"id": f"{ask['search']}{at}{i}"} for i in range(2)]
+                self.wfile.write(json.dumps({"results": hits, "meta": {"next_cursor": None if at == 3 else str(at + 1)}}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield {"url": f"http://127.0.0.1:{server.server_port}/works", "per_page": "2", "cap": "7"}, asked, failing
+    server.shutdown()
+
+
+def ids(rows):
+    got = {}
+    for r in works.parse_works(rows).orderBy("term_ord", "hit_ord").collect():
+        got.setdefault(r.term, []).append((r.hit_ord, r.work.id))
+    assert all([k for k, _ in x] == list(range(len(x))) for x in got.values())
+    return {k: [i for _, i in x] for k, x in got.items()}
+
+
+def whole(term):
+    return [f"{term}{at}{i}" for at in range(4) for i in range(2)][:7]
+
+
+def test_filter_on_terms(spark, service):
+    options, asked, _ = service
+    rows = works.hits(spark, options | {"terms": json.dumps(["a", "b", "c d"])})
+    assert ids(rows.where("term = 'c d'")) == {"c d": whole("c d")} and {t for t, _ in asked} == {"c d"}
+    asked.clear()
+    assert ids(rows.where("term in ('a', 'b') and term_ord = 1 and hit_ord < 3")) == {"b": whole("b")[:3]} and {t for t, _ in asked} == {"b"}
+    asked.clear()
+    assert rows.where("term = 'z'").count() == 0 and asked == []
+    assert ids(rows) == {t: whole(t) for t in ("a", "b", "c d")}
+
+
+def test_pages_are_kept(spark, service, tmp_path):
+    options, asked, failing = service
+    rows = lambda: ids(works.hits(spark, options | {"terms": json.dumps(["a", "b"]), "pages": str(tmp_path / "pages")}))
+    failing.add(("b", 2))
+    assert rows() == {"a": whole("a"), "b": whole("b")[:4]}
+    failing.clear()
+    asked.clear()
+    assert rows() == {"a": whole("a"), "b": whole("b")} and asked == [("b", 2), ("b", 3)]
+
+
+def test_search_goes_on(spark, service, tmp_path):
+    """A search that was stopped goes on at its cursors: no page is asked for twice, no hit is there twice."""
+    options, asked, failing = service
+    options = options | {"terms": json.dumps(["a", "b", "none"])}
+    failing.add(("b", 1))
+    go = lambda: ids(works.search_on(spark, options, str(tmp_path / "hits"), str(tmp_path / "checkpoint")))
+    assert go() == {"a": whole("a"), "b": whole("b")[:2]}
+    assert sorted(asked) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0), ("b", 1), ("none", 0)]
+    asked.clear()
+    failing.clear()
+    assert go() == {"a": whole("a"), "b": whole("b")} and asked == [("b", 1), ("b", 2), ("b", 3)]
+    asked.clear()
+    assert go() == {"a": whole("a"), "b": whole("b")} and asked == []
+
+
+def test_batch_read_again(service, tmp_path):
+    """A batch that failed is read again from the pages that are kept."""
+    options, asked, _ = service
+    stream = works.WorksStream(options | {"terms": json.dumps(["a", "b"]), "pages": str(tmp_path / "p")})
+    rows, end = stream.read(stream.initialOffset())
+    rows, after = list(rows), stream.read(end)[1]
+    n = len(asked)
+    again = works.WorksStream(options | {"terms": json.dumps(["a", "b"]), "pages": str(tmp_path / "p")})
+    assert list(again.readBetweenOffsets(stream.initialOffset(), end)) == rows and len(rows) == 4
+    assert len(list(again.readBetweenOffsets(stream.initialOffset(), stream.initialOffset()))) == 0
+    assert len(asked) == n and after["hits"] == [4, 4]
