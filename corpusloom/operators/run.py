@@ -16,6 +16,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,19 +25,24 @@ from corpusloom.config import AcquireConfig
 from corpusloom.operators import acquire, metadata
 from corpusloom.operators.progress import Progress, Report
 from corpusloom.sources.headers import list_headers
+from corpusloom.sources.manifest import compact, held_ids
 from corpusloom.sources.papers import ACCEPT, OUTCOME, Fetching, Get, http_get, papers_sink
 from corpusloom.sources.state import append_log, exists, load_state, read_ids, save_state, write_records
 from corpusloom.sources.works import session_headers
 
 
-def select_works(hits: DataFrame, manifest_ids: DataFrame, pdf_ids: DataFrame, config: AcquireConfig | None = None, remaining: int | None = None) -> DataFrame:
-    """Records of the works to fetch: eligible hits (term_ord, hit_ord, work), once each, not held yet, the most cited."""
+def select_works(hits: DataFrame, manifest_ids: DataFrame | Callable[[DataFrame], DataFrame], pdf_ids: DataFrame, config: AcquireConfig | None = None, remaining: int | None = None) -> DataFrame:
+    """Records of the works to fetch: eligible hits (term_ord, hit_ord, work), once each, not held yet, the most cited.
+
+    `manifest_ids` are the ids held, or give those that candidates (id) may have.
+    """
     config = config or AcquireConfig()
     rows = acquire.cap_per_term(hits, config.max_per_term)
     keep = rows.select("term_ord", "hit_ord", "work.*").where(metadata.is_eligible(config))
     keep = keep.withColumn("key", metadata.work_id(F.col("id"), F.col("doi"), F.col("title"))).withColumn("work", F.struct(*[c for c in keep.columns if c not in ("term_ord", "hit_ord")]))
     once = acquire.dedup_works(keep.select("term_ord", "hit_ord", F.col("key").alias("id"), "work"))
-    new = acquire.not_held(acquire.not_held(once, manifest_ids), pdf_ids)
+    held = manifest_ids(once.select("id")) if callable(manifest_ids) else manifest_ids
+    new = acquire.not_held(acquire.not_held(once, held), pdf_ids)
     top = acquire.most_cited(new.withColumn("citations", F.coalesce("work.cited_by_count", F.lit(0))), config.max_per_day if remaining is None else remaining)
     return metadata.metadata_record(top.select("work.*"))
 
@@ -129,6 +135,8 @@ class Folders:
     failed: str
     state: str
     staging: str
+    #: of the manifest's ids, if one is kept; see sources/manifest.py
+    index: str | None = None
 
 
 def log_results(results: DataFrame, folders: Folders, run: str | None = None) -> None:
@@ -182,8 +190,10 @@ def acquire_run(spark: SparkSession, hits: Callable[[], DataFrame], folders: Fol
         return totals | {"remaining": 0}
     held = list_headers(spark, folders.papers).where("valid").select(F.col("doc_id").alias("id"))
     run = uuid.uuid4().hex
-    selected = f"{folders.staging}/{run}/selected"  # staged: a second look is no second search
-    select_works(hits(), read_ids(spark, folders.manifest), held, config, remaining).write.parquet(selected)
+    found, selected = f"{folders.staging}/{run}/hits", f"{folders.staging}/{run}/selected"
+    hits().write.parquet(found)  # staged: a second look is no second search
+    known = partial(held_ids, spark, folders.manifest, folders.index) if folders.index else read_ids(spark, folders.manifest)
+    select_works(spark.read.parquet(found), known, held, config, remaining).write.parquet(selected)
     n = spark.read.parquet(selected).count()
     say(Progress("selected", 0, n))
     if n:
@@ -191,5 +201,7 @@ def acquire_run(spark: SparkSession, hits: Callable[[], DataFrame], folders: Fol
         counted = _finish(spark, folders, state | {"run": run, "reserved": n}, get, config, wait, report)
         totals = {k: v + counted[k] for k, v in totals.items()}
         remaining -= counted["new"]
+    if folders.index:
+        compact(spark, folders.manifest, folders.index)
     say(Progress("done", n, n, totals["failed"], True))
     return totals | {"remaining": remaining}

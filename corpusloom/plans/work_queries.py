@@ -15,7 +15,9 @@ from corpusloom.operators.run import select_works
 from corpusloom.plans import carriers as K
 from corpusloom.plans import sql as S
 from corpusloom.sources.files import stem
-from corpusloom.sources.state import latest, remaining_today, valid_ids
+from corpusloom.sources.manifest import compact, not_in_manifest
+from corpusloom.sources.shared import scratch
+from corpusloom.sources.state import append_log, latest, remaining_today, valid_ids
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,6 +121,19 @@ def manifest_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.not_held(A.dedup_works(_hits(spark, sf_dir)), held).select("id", "work")
 
 
+@query("manifest_indexed", f"WITH {_HITS}, {_DEDUP} SELECT id, work FROM dedup WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%')")
+def manifest_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index: of two runs that have logged orders one is compacted."""
+    folder = scratch(spark, "manifest")
+    log, index = f"{folder}/log", f"{folder}/index"
+    held = K.table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_orderkey").cast("string").alias("id"), (F.col("o_custkey") % 4 == 0).alias("late"))
+    append_log(held.where("not late"), log, "run1")
+    compact(spark, log, index)
+    append_log(held.where("late"), log, "run2")
+    candidates = A.dedup_works(_hits(spark, sf_dir)).select(F.col("id").cast("string").alias("id"), "work")
+    return not_in_manifest(candidates, log, index).select(F.col("id").cast("bigint").alias("id"), "work")
+
+
 @query("existing_pdf_anti", f"WITH {_HITS}, {_DEDUP} SELECT id, work FROM dedup WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE (o_totalprice / 10)::BIGINT >= {A.MIN_PDF_BYTES} AND o_orderkey % 2 = 0)")
 def existing_pdf_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates without a valid PDF: an order's file is as long as its price says and begins well if its key is even."""

@@ -69,6 +69,33 @@ def remaining_today(state_date: Column, downloads: Column, today: Column, per_da
     return F.greatest(F.lit(per_day) - F.when(state_date == today, F.coalesce(downloads, F.lit(0))).otherwise(0), F.lit(0))
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, null if it isn't there.
+
+    Where a store can't replace a file at once, a writer that was stopped has left the whole new one beside it.
+    """
+    for name in (path, path + ".part"):
+        if exists(spark, name):
+            line = spark.read.text(name, wholetext=True).first()
+            return line[0] if line else ""
+    return None
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside the old one, then put it in its place, at once where the store can: read_text() finds either."""
+    context = spark.sparkContext
+    fs = context._jvm.org.apache.hadoop.fs
+    part, where = fs.Path(path + ".part"), fs.Path(path)
+    conf = context._jsc.hadoopConfiguration()
+    out = where.getFileSystem(conf).create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    overwrite = context._gateway.new_array(fs.Options.Rename, 1)
+    overwrite[0] = fs.Options.Rename.OVERWRITE
+    files = fs.FileContext.getFileContext(where.toUri(), conf) if where.toUri().getScheme() else fs.FileContext.getFileContext(conf)
+    files.rename(part, where, overwrite)
+
+
 def load_state(spark: SparkSession, path: str, today: str) -> dict:
     """The day's counter (date, downloads), and a run that was begun and not ended (run, reserved), of whatever day.
 
@@ -76,34 +103,20 @@ def load_state(spark: SparkSession, path: str, today: str) -> dict:
     a human to see.
     """
     fresh = {"date": today, "downloads": 0}
-    # where a store can't replace a file at once, a writer that was stopped has left the whole new one beside
-    for name in (path, path + ".part"):
-        if not exists(spark, name):
-            continue
-        line = spark.read.text(name, wholetext=True).first()
+    text = read_text(spark, path)
+    if text is not None:
         try:
-            found = json.loads(line[0]) if line else None
+            found = json.loads(text)
             begun = {"run": str(found["run"]), "reserved": int(found["reserved"])} if found.get("run") else {}
             if found.get("date") == today:
                 return fresh | {"downloads": int(found.get("downloads") or 0)} | begun
             fresh |= begun
         except (AttributeError, KeyError, TypeError, ValueError):
             return fresh
-        break
     save_state(spark, path, fresh)
     return fresh
 
 
 def save_state(spark: SparkSession, path: str, state: dict) -> None:
-    """Write the counter beside the old one, then put it in its place, at once where the store can: load_state() finds either."""
-    context = spark.sparkContext
-    fs = context._jvm.org.apache.hadoop.fs
-    part, where = fs.Path(path + ".part"), fs.Path(path)
-    conf = context._jsc.hadoopConfiguration()
-    out = where.getFileSystem(conf).create(part, True)
-    out.write(bytearray(json.dumps(state).encode()))
-    out.close()
-    overwrite = context._gateway.new_array(fs.Options.Rename, 1)
-    overwrite[0] = fs.Options.Rename.OVERWRITE
-    files = fs.FileContext.getFileContext(where.toUri(), conf) if where.toUri().getScheme() else fs.FileContext.getFileContext(conf)
-    files.rename(part, where, overwrite)
+    """The counter, as write_text() writes it."""
+    write_text(spark, path, json.dumps(state))

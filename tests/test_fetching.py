@@ -167,6 +167,23 @@ def test_broken_off(spark, tmp_path, monkeypatch, step):
     assert not list((tmp_path / "papers" / "_outcomes").iterdir())
 
 
+def test_run_by_index(spark, tmp_path):
+    """With an index of the manifest runs choose the same, and search once."""
+    folders = run.Folders(*(str(tmp_path / x) for x in ("papers", "metadata", "manifest", "failed", "state.json", "staging", "index")))
+    asked = []
+
+    def hits():
+        asked.append(1)
+        return works.parse_works(spark.createDataFrame([(0, h, json.dumps(work(h, 90 - h))) for h in range(5)], "term_ord int, hit_ord int, json string"))
+
+    server = Server(tmp_path / "calls", {})
+    for day, want in ((1, ["W0", "W1"]), (2, ["W0", "W1", "W2", "W3"]), (3, ["W0", "W1", "W2", "W3", "W4"])):
+        (tmp_path / "papers" / "W0.pdf").unlink(missing_ok=True)  # held by the manifest alone
+        run.acquire_run(spark, hits, folders, f"2024-01-0{day}", server, AcquireConfig(max_per_day=2))
+        assert sorted(r.id for r in state.read_ids(spark, folders.manifest).collect()) == want
+    assert len(asked) == 3 and server.calls("0") == 1 and (tmp_path / "index" / "current.json").exists()
+
+
 def test_another_day(spark, tmp_path):
     """A run that was broken off yesterday is finished today and counts today; one whose staging is gone counts whole."""
     folders = run.Folders(*(str(tmp_path / x) for x in ("papers", "metadata", "manifest", "failed", "state.json", "staging")))

@@ -7,10 +7,12 @@ import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.sources import headers, works
+from corpusloom.operators.acquire import not_held
+from corpusloom.sources import headers, manifest, state, works
 
 
 def test_headers(spark, tmp_path):
@@ -121,3 +123,78 @@ def test_batch_read_again(service, tmp_path):
     assert list(again.readBetweenOffsets(stream.initialOffset(), end)) == rows and len(rows) == 4
     assert len(list(again.readBetweenOffsets(stream.initialOffset(), stream.initialOffset()))) == 0
     assert len(asked) == n and after["hits"] == [4, 4]
+
+
+def files_read(frame):
+    """Files that the scans of a query have opened."""
+    frame.collect()
+    todo, n = [frame._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.metrics().contains("numFiles"):
+            n += node.metrics().apply("numFiles").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return n
+
+
+def test_manifest_index(spark, tmp_path):
+    """Log and index together hold what the log holds; few candidates lead to few files; a broken compaction changes nothing."""
+    log, index = str(tmp_path / "log"), str(tmp_path / "index")
+    frame = lambda rows: spark.createDataFrame([(x,) for x in rows], "id string")
+    wanted = frame(["5", "new", "1999", "2500", None, "", "5"])
+    left = lambda f: sorted(r.id or "-" for r in manifest.not_in_manifest(f, log, index).collect())
+    assert left(wanted) == ["-", "-", "1999", "2500", "5", "5", "new"]  # neither is there
+    for i in range(3):
+        state.append_log(frame(map(str, range(i * 1000, i * 1000 + 1100))), log, f"run{i}")
+    (tmp_path / "log" / "odd.json").write_text('{cut\n{"id": ""}\n{"n": 1}\n{"id": "odd"}\n')
+    assert left(wanted) == ["-", "-", "new"]
+    assert manifest.compact(spark, log, index) == 3101
+    assert manifest.compact(spark, log, index) == 3101 and len([x for x in os.listdir(index) if len(x) == 32]) == 1  # nothing is new
+    state.append_log(frame(["late"]), log, "run9")
+    assert left(frame(["late", "odd", "3099", "3100"])) == ["3100"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        few, every = (files_read(manifest.held_ids(spark, log, index, x)) for x in (frame(["5", "7"]), frame(map(str, range(30_000)))))
+        whole = files_read(state.read_ids(spark, log))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert few <= 2 + len(os.listdir(tmp_path / "log" / "run9")) < whole < every
+    rows = frame(map(str, range(2900, 3300)))
+    assert {r.id for r in manifest.not_in_manifest(rows, log, index).collect()} == {r.id for r in not_held(rows, state.read_ids(spark, log)).collect()}
+    before = (tmp_path / "index" / "current.json").read_text()
+    write = manifest.write_text
+    manifest.write_text = lambda *_: 1 / 0  # broken off before the new version is current
+    try:
+        with pytest.raises(ZeroDivisionError):
+            manifest.compact(spark, log, index)
+    finally:
+        manifest.write_text = write
+    assert (tmp_path / "index" / "current.json").read_text() == before and left(frame(["late", "3"])) == []
+    assert manifest.compact(spark, log, index) == 3102 and left(frame(["late", "3", "x"])) == ["x"]
+    manifest.LITERALS, kept = 2, manifest.LITERALS
+    try:
+        assert left(frame(["1", "2", "3", "4000"])) == ["4000"]  # more candidates than are pushed
+    finally:
+        manifest.LITERALS = kept
+
+
+def test_row_groups_are_skipped(spark, tmp_path):
+    """Of a part's file the row groups whose Bloom filters don't know a hash aren't read."""
+    log, index = str(tmp_path / "log"), str(tmp_path / "index")
+    state.append_log(spark.range(5000).select(F.col("id").cast("string")), log, "r")
+    manifest.compact(spark, log, index)
+    paths = [os.path.join(d, f) for d, _, names in os.walk(index) for f in names if f.endswith(".parquet")]
+    files = [pq.ParquetFile(p) for p in paths]
+    assert sum(p.metadata.num_rows for p in files) == 5000
+    for p in files[:20]:
+        hashes = p.read(["hash"]).column(0).to_pylist()
+        assert hashes == sorted(hashes)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths[:5]:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(p), conf))
+        columns = reader.getFooter().getBlocks().get(0).getColumns()
+        assert all(columns.get(i).getBloomFilterOffset() > 0 for i in range(columns.size()))
+        reader.close()
+    missing = spark.createDataFrame([("none of them",)], "id string")
+    assert manifest.held_ids(spark, log, index, missing).count() == 0
