@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from corpusloom.functions.constants import LICENSES
+from corpusloom.functions.rules import RULES, Rules
 
 
 # The fields and what they are by default.
@@ -19,6 +20,7 @@ class CleanConfig:
     max_garbage_ratio: float = 0.10
     remove_references: bool = False
     repeated_line_ratio: float = 0.30
+    rules: Rules = RULES
 
 
 @dataclass(frozen=True)

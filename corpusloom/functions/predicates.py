@@ -2,7 +2,8 @@
 
 A null line gives null, an empty one false, whatever the rule. Every rule takes a line, or a Line, which
 holds what several rules need of one, so that it is computed once where many rules are applied. Cheap
-conditions that a rule implies come first, and spare most lines its regular expressions.
+conditions that a rule implies come first, and spare most lines its regular expressions. Rules that go by a
+list take other lists than the usual ones as `rules`.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import constants as C
+from corpusloom.functions.rules import RULES, Rules
 from corpusloom.functions.text import heading_form, let, strip
 
 
@@ -27,19 +29,19 @@ class Line(NamedTuple):
     terms: Column
 
 
-def affiliation_terms(low: Column) -> Column:
+def affiliation_terms(low: Column, rules: Rules = RULES) -> Column:
     """How many different affiliation terms a line in lower case has."""
-    return reduce(add, (F.contains(low, F.lit(t)).cast("int") for t in C.AFFILIATION_TERMS))
+    return reduce(add, (F.contains(low, F.lit(t)).cast("int") for t in rules.affiliation_terms))
 
 
-def line(x: Column | Line) -> Line:
+def line(x: Column | Line, rules: Rules = RULES) -> Line:
     """The Line of a column."""
-    return x if isinstance(x, Line) else Line(x, F.lower(x), heading_form(x), let(F.lower(x), affiliation_terms))
+    return x if isinstance(x, Line) else Line(x, F.lower(x), heading_form(x), let(F.lower(x), lambda low: affiliation_terms(low, rules)))
 
 
-def facts(x: Column) -> Column:
+def facts(x: Column, rules: Rules = RULES) -> Column:
     """The Line of a column as a struct, for arrays of lines."""
-    return let(F.lower(x), lambda low: F.struct(x.alias("x"), low.alias("low"), heading_form(x).alias("form"), affiliation_terms(low).alias("terms")))
+    return let(F.lower(x), lambda low: F.struct(x.alias("x"), low.alias("low"), heading_form(x).alias("form"), affiliation_terms(low, rules).alias("terms")))
 
 
 def of(struct: Column) -> Line:
@@ -61,9 +63,9 @@ def is_page_number(x: Column | Line) -> Column:
     return line(x).x.rlike(C.PAGE_NUMBER)
 
 
-def is_pdf_artifact(x: Column | Line) -> Column:
+def is_pdf_artifact(x: Column | Line, rules: Rules = RULES) -> Column:
     own = line(x)
-    return own.x.isin(*C.ARTIFACT_LINES) | has_any(x, C.ARTIFACT_PARTS) | (own.x.rlike(rf"(?U)\A[{C.ARTIFACT_SIGNS}\s]+\z") & (F.length(compact(own.x)) >= 6))
+    return own.x.isin(*C.ARTIFACT_LINES) | has_any(x, rules.artifact_parts) | (own.x.rlike(rf"(?U)\A[{C.ARTIFACT_SIGNS}\s]+\z") & (F.length(compact(own.x)) >= 6))
 
 
 def is_graphical(x: Column | Line) -> Column:
@@ -88,12 +90,12 @@ def is_url_or_doi(x: Column | Line) -> Column:
     return line(x).x.rlike(C.URL_OR_DOI)
 
 
-def is_license(x: Column | Line) -> Column:
-    return has_any(x, C.LICENSE_PARTS)
+def is_license(x: Column | Line, rules: Rules = RULES) -> Column:
+    return has_any(x, rules.license_parts)
 
 
-def is_publisher_metadata(x: Column | Line) -> Column:
-    return has_any(x, C.PUBLISHER_PARTS)
+def is_publisher_metadata(x: Column | Line, rules: Rules = RULES) -> Column:
+    return has_any(x, rules.publisher_parts)
 
 
 def starts_correspondence(x: Column | Line) -> Column:
@@ -106,26 +108,26 @@ def has_email(x: Column | Line) -> Column:
     return x.contains("@") & x.rlike(f"(?iU){C.EMAIL}")
 
 
-def affiliation_score(x: Column | Line) -> Column:
+def affiliation_score(x: Column | Line, rules: Rules = RULES) -> Column:
     """How many different affiliation terms the line has."""
-    return line(x).terms
+    return line(x, rules).terms
 
 
 def author_name_score(x: Column | Line) -> Column:
     return F.regexp_count(line(x).x, F.lit(f"(?U){C.AUTHOR_NAME}"))
 
 
-def is_author_list(x: Column | Line) -> Column:
-    own = line(x)
+def is_author_list(x: Column | Line, rules: Rules = RULES) -> Column:
+    own = line(x, rules)
     names = author_name_score(own)
     marks = F.length(own.x) - F.length(F.translate(own.x, ";·", ""))
     many = (own.x.contains(";") | own.x.contains("·")) & (marks >= 4)
     return ((many | (own.terms >= 2)) & (names >= 6)) | ((F.length(own.x) > 300) & (names >= 8))
 
 
-def is_numbered_affiliation(x: Column | Line) -> Column:
+def is_numbered_affiliation(x: Column | Line, rules: Rules = RULES) -> Column:
     """Index numbers grown together with the names that they stand before."""
-    own = line(x)
+    own = line(x, rules)
     tokens = F.split(own.x, r"(?U)\s+")
     fused = rf"^{C.INDEX_AND_NAME}(?:,|$)"
     n = F.size(F.filter(tokens, lambda t: t.rlike(fused)))
@@ -134,8 +136,8 @@ def is_numbered_affiliation(x: Column | Line) -> Column:
     return some & (F.length(own.x) <= 500) & F.when(n >= 2, own.terms >= 1).when(n == 1, single).otherwise(False)
 
 
-def is_indexed_affiliation(x: Column | Line) -> Column:
-    own = line(x)
+def is_indexed_affiliation(x: Column | Line, rules: Rules = RULES) -> Column:
+    own = line(x, rules)
     return own.x.rlike(C.INDEX_BEFORE_NAME) & ~own.x.rlike("https?://") & (own.terms >= 1) & (F.length(own.x) <= 300)
 
 
@@ -157,11 +159,11 @@ def is_second_anchor(x: Column | Line) -> Column:
     return line(x).form.isin(*C.SECOND_ANCHORS)
 
 
-def noise_category(x: Column | Line) -> Column:
+def noise_category(x: Column | Line, rules: Rules = RULES) -> Column:
     """What a line outside a correspondence block is dropped as; null if it is kept. The first rule that holds counts."""
-    own = line(x)
+    own = line(x, rules)
     return (
-        F.when(is_url_or_doi(own) | is_publisher_metadata(own) | is_license(own), "publisher_metadata")
+        F.when(is_url_or_doi(own) | is_publisher_metadata(own, rules) | is_license(own, rules), "publisher_metadata")
         .when(is_page_number(own), "other_noise")
         .when(is_graphical(own), "graphics")
         .when(is_citation_cluster(own), "other_noise")
@@ -169,7 +171,7 @@ def noise_category(x: Column | Line) -> Column:
     )
 
 
-def ends_block(x: Column | Line) -> Column:
+def ends_block(x: Column | Line, rules: Rules = RULES) -> Column:
     """Whether a line ends a correspondence block: a heading, or a long line without contact data."""
-    own = line(x)
+    own = line(x, rules)
     return is_section_heading(own) | ~((F.length(own.x) < 100) | (own.terms >= 1) | is_url_or_doi(own) | has_email(own))

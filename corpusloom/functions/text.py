@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.functions import constants as C
+from corpusloom.functions.rules import RULES, Rules
 
 #: What str.splitlines() breaks at.
 LINEBREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -96,8 +99,9 @@ def fuzzy_key(x: Column) -> Column:
     return F.when(low.contains("|"), F.array_join(F.transform(F.split(low, r"\|", -1), part), "|")).otherwise(low)
 
 
-def tells_of_failure(message: Column) -> Column:
-    return F.lower(message).rlike("|".join(C.FAILURE_PARTS))
+def tells_of_failure(message: Column, rules: Rules = RULES) -> Column:
+    low = F.lower(message)
+    return reduce(or_, (F.contains(low, F.lit(p)) for p in rules.failure_parts))
 
 
 def word_count(x: Column) -> Column:

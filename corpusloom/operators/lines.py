@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import constants as C
 from corpusloom.functions import predicates as P
+from corpusloom.functions.rules import RULES, Rules
 from corpusloom.functions.text import let
 
 COUNTS = ("front_matter", "publisher_metadata", "correspondence", "author_blocks", "graphics", "references", "other_noise")
@@ -41,7 +42,7 @@ def trim_references(df: DataFrame, id_col: str = "doc_id", line_col: str = "line
     return df.withColumn("_end", end).where("_end is null or ord < _end").drop("_end")
 
 
-def classify_noise(df: DataFrame, id_col: str = "doc_id", line_col: str = "line") -> DataFrame:
+def classify_noise(df: DataFrame, id_col: str = "doc_id", line_col: str = "line", rules: Rules = RULES) -> DataFrame:
     """df and `category`: what each line is dropped as, null if it is kept.
 
     A correspondence opener begins a block, which a heading or a long line without contact data ends.
@@ -51,10 +52,10 @@ def classify_noise(df: DataFrame, id_col: str = "doc_id", line_col: str = "line"
     line, blank = F.col(line_col), F.col(line_col) == ""
     order = Window.partitionBy(*_documents(id_col)).orderBy("ord")
     # what several rules need is a column of its own, which the optimizer doesn't compute again for each
-    df = df.withColumn("_low", F.lower(line)).withColumns({"_form": P.heading_form(line), "_terms": P.affiliation_terms(F.col("_low"))})
+    df = df.withColumn("_low", F.lower(line)).withColumns({"_form": P.heading_form(line), "_terms": P.affiliation_terms(F.col("_low"), rules)})
     own = P.Line(line, F.col("_low"), F.col("_form"), F.col("_terms"))
     known = ~blank & F.col(id_col).isNotNull()
-    df = df.withColumns({"_t": known & P.ends_block(own), "_s": known & P.starts_correspondence(own), "_c": F.when(known, P.noise_category(own))}).drop("_low", "_form", "_terms")
+    df = df.withColumns({"_t": known & P.ends_block(own, rules), "_s": known & P.starts_correspondence(own), "_c": F.when(known, P.noise_category(own, rules))}).drop("_low", "_form", "_terms")
     df = df.withColumn("_k", F.when(F.col("_s") & ~F.col("_t"), 1).when(F.col("_t") & ~F.col("_s"), 0))
     df = df.withColumn("_seg", F.count("_k").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     segment = Window.partitionBy(*_documents(id_col), "_seg")
@@ -87,7 +88,7 @@ def references_start(lines: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.size(lines)).cast("int")
 
 
-def noise_categories(lines: Column) -> Column:
+def noise_categories(lines: Column, rules: Rules = RULES) -> Column:
     """The category of each line of an array, `` for kept ones.
 
     Each line is a sign in a text: `b` blank, `t` ends a block, `s` opens one, `x` is both, `-` neither. A
@@ -97,9 +98,9 @@ def noise_categories(lines: Column) -> Column:
 
     def judged(x: Column) -> Column:
         own = P.of(x)
-        ends, opens = P.ends_block(own), P.starts_correspondence(own)
+        ends, opens = P.ends_block(own, rules), P.starts_correspondence(own)
         sign = F.when(own.x == "", "b").when(ends & opens, "x").when(ends, "t").when(opens, "s").otherwise("-")
-        return F.struct(sign.alias("sign"), F.when(own.x == "", "").otherwise(F.coalesce(P.noise_category(own), F.lit(""))).alias("c"))
+        return F.struct(sign.alias("sign"), F.when(own.x == "", "").otherwise(F.coalesce(P.noise_category(own, rules), F.lit(""))).alias("c"))
 
     def marked(all_: Column) -> Column:
         signs = F.array_join(F.transform(all_, lambda z: z["sign"]), "")
@@ -108,7 +109,7 @@ def noise_categories(lines: Column) -> Column:
         flags = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(_in_block(p))), "")
         return F.zip_with(all_, F.split(flags, ""), lambda z, f: F.when(f == "c", "correspondence").when((f == "k") | (f == "b"), "").otherwise(z["c"]))
 
-    found = let(F.transform(F.transform(lines, P.facts), judged), marked)
+    found = let(F.transform(F.transform(lines, lambda x: P.facts(x, rules)), judged), marked)
     return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(found)
 
 

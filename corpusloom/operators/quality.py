@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import CleanConfig
 from corpusloom.functions import predicates as P
+from corpusloom.functions.rules import RULES, Rules
 from corpusloom.functions.text import split_lines, strip, word_count
 
 
-def statistics(text: Column) -> Column:
+def statistics(text: Column, rules: Rules = RULES) -> Column:
     """characters, words, garbage_ratio: the share of non-empty lines that are drawings or artefacts."""
 
     def of(lines: Column) -> Column:
-        garbage = F.size(F.filter(lines, lambda x: P.is_graphical(x) | P.is_pdf_artifact(x)))
+        garbage = F.size(F.filter(lines, lambda x: P.is_graphical(x) | P.is_pdf_artifact(x, rules)))
         return F.struct(F.length(text).alias("characters"), word_count(text).alias("words"), (garbage / F.greatest(F.lit(1), F.size(lines))).alias("garbage_ratio"))
 
     return F.element_at(F.transform(F.array(F.filter(F.transform(split_lines(text), strip), lambda x: x != "")), of), 1)

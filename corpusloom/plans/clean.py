@@ -42,12 +42,12 @@ def clean_pages(df: DataFrame, config: CleanConfig | None = None, id_col: str =
     out = out.withColumn("_lines", G.flatten_pages(G.strip_repeated(F.col("_p1"), config.repeated_line_ratio)))
     out = out.withColumn("_start", L.front_start(F.col("_lines")))
     out = out.withColumn("_body", F.slice("_lines", F.col("_start") + 1, F.size("_lines")))
-    out = out.withColumn("_kinds", L.noise_categories(F.col("_body")))
+    out = out.withColumn("_kinds", L.noise_categories(F.col("_body"), config.rules))
     out = out.withColumn("_kept", F.transform(F.filter(F.arrays_zip(F.col("_body").alias("x"), F.col("_kinds").alias("k")), lambda z: z["k"] == ""), lambda z: z["x"]))
     out = out.withColumn("_end", L.references_start(F.col("_kept")) if config.remove_references else F.size("_kept"))
     out = out.withColumn("_joined", L.join_wrapped(F.slice("_kept", F.lit(1), F.col("_end"))))
     out = out.withColumn("_text", T.collapse_blank_lines(T.strip_submission_spans(T.repair_hyphenation(F.array_join("_joined", "\n")))))
-    out = out.withColumn("stats", statistics(F.col("_text"))).withColumn("reject_reasons", reject_reasons(F.col("stats"), config))
+    out = out.withColumn("stats", statistics(F.col("_text"), config.rules)).withColumn("reject_reasons", reject_reasons(F.col("stats"), config))
     n = {c: _count("_kinds", c) for c in L.COUNTS}
     n |= {"front_matter": F.col("_start"), "references": F.size("_kept") - F.col("_end")}
     valid = F.size("reject_reasons") == 0

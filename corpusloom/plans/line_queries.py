@@ -10,6 +10,7 @@ from corpusloom.functions import predicates as P
 from corpusloom.functions import text as T
 from corpusloom.operators import lines as L
 from corpusloom.operators import pages as G
+from corpusloom.operators import scan, terms
 from corpusloom.operators.quality import reject_reasons, statistics
 from corpusloom.plans import carriers as K
 from corpusloom.plans import sql as S
@@ -49,6 +50,10 @@ VALUES = {
 }
 
 
+#: Lines of a block in the queries on scans by blocks: few, since their documents are short.
+SCANNED = 64
+
+
 def _lines_where(predicate):
     return lambda spark, sf_dir: K.lines(spark, sf_dir).where(predicate(F.col("line")))
 
@@ -104,6 +109,23 @@ def noise_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.classify_noise(K.lines(spark, sf_dir)).withColumn("category", F.coalesce("category", F.lit("kept")))
 
 
+@query("noise_removal_blocks", ORACLES["noise_removal"])
+def noise_removal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by blocks of lines, for documents larger than a task."""
+    found = scan.classify_noise(K.lines(spark, sf_dir), block_lines=SCANNED)
+    return found.withColumn("category", F.coalesce("category", F.lit("kept")))
+
+
+_WORDS = "SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 6"
+
+
+@query("term_counts", f"WITH {K.LINES_SQL}, terms AS ({_WORDS}), found AS (SELECT doc_id, ord, term FROM lines JOIN terms ON contains(lower(line), term)) SELECT doc_id, ord, count(*) AS n_terms FROM found GROUP BY ALL")
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with how many different terms of a long list they have: the longer words of `benchmark`."""
+    words = K.table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ", -1)).alias("term")).where("length(term) >= 6")
+    return terms.count_terms(K.lines(spark, sf_dir), words).where("n_terms > 0").select("doc_id", "ord", "n_terms")
+
+
 @query("cleanup_counts", f"WITH {K.LINES_SQL}, {_noise_sql('lines')} SELECT doc_id, " + ", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in L.COUNTS if c not in ("front_matter", "references")) + " FROM noise GROUP BY doc_id")
 def cleanup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.cleanup_counts(L.classify_noise(K.lines(spark, sf_dir)))
@@ -114,6 +136,12 @@ def join_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.line_arrays(spark, sf_dir).select("doc_id", F.array_join(L.join_wrapped(F.col("lines")), "\n").alias("text"))
 
 
+@query("join_wrapped_blocks", f"WITH {K.LINES_SQL}, a AS (SELECT doc_id, list(line ORDER BY ord) AS ls FROM lines GROUP BY doc_id), j AS (SELECT doc_id, unnest({S.joined('ls')}) AS line FROM a) SELECT doc_id, line, count(*) AS n FROM j GROUP BY ALL")
+def join_wrapped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a document has each joined line, by blocks of lines."""
+    return scan.join_wrapped(K.lines(spark, sf_dir), block_lines=SCANNED).groupBy("doc_id", "line").agg(F.count("*").alias("n"))
+
+
 _REPEATED = f"""{K.PAGES_SQL},
 n_pages AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM paged GROUP BY doc_id),
 keyed AS (SELECT doc_id, page_no, pos, {S.normal_line('line')} AS line, {S.fuzzy_key(S.normal_line('line'))} AS key FROM paged),
