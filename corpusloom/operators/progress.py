@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
-from collections.abc import Callable
+import threading
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +27,43 @@ class Progress:
 
 Report = Callable[[Progress], None]
 
+#: Seconds between two looks at how many tasks are done.
+LOOK = 1.0
+
+
+@contextlib.contextmanager
+def reporting(spark: SparkSession, message: str, report: Report | None) -> Iterator[None]:
+    """Report, while the jobs of the block run, how many of their tasks are done and how many failed."""
+    if report is None:
+        yield
+        return
+    context, group, over, said = spark.sparkContext, uuid.uuid4().hex, threading.Event(), set()
+    tracker = context.statusTracker()
+
+    def look() -> None:
+        stages = {x for j in tracker.getJobIdsForGroup(group) if (job := tracker.getJobInfo(j)) for x in job.stageIds}
+        known = [x for x in map(tracker.getStageInfo, stages) if x]
+        at = Progress(message, sum(x.numCompletedTasks for x in known), sum(x.numTasks for x in known), sum(x.numFailedTasks for x in known))
+        if known and at not in said:
+            said.add(at)
+            report(at)
+
+    def watch() -> None:
+        while not over.wait(LOOK):
+            look()
+
+    before = context.getLocalProperty("spark.jobGroup.id")
+    context.setJobGroup(group, message)
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+        context.setLocalProperty("spark.jobGroup.id", before)
+    look()
+
 #: Rows of a range that one task numbers, about.
 RANGE_ROWS = 200_000
 

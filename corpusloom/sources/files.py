@@ -68,9 +68,9 @@ def extract_pages(files: DataFrame, extract: Callable[[bytes], list[list[str]]]
 
 
 def read_texts(spark: SparkSession, folder: str, name: str = "*.txt") -> DataFrame:
-    """doc_id, path, text of cleaned files; `name` may be one file's."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter=name).select("value", F.col("_metadata.file_path").alias("path"))
-    return files.select(stem().alias("doc_id"), "path", F.col("value").alias("text"))
+    """doc_id, path, text of cleaned files that aren't empty; `name` may be one file's. Bytes that are no UTF-8 are U+FFFD."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder)  # the text source has names encoded as in URLs
+    return files.select(stem().alias("doc_id"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def write_texts(cleaned: DataFrame, folder: str, mode: str = "overwrite") -> None:

@@ -223,7 +223,11 @@ def test_folder_of_pdfs(spark, tmp_path):
     listed = files.list_pdfs(spark, str(source))
     assert {(r.doc_id, r.valid) for r in listed.collect()} == {("a", True), ("b.v2", True), ("bad", True), ("empty", True)}
     assert [(r.path.rsplit("/", 1)[1], r["index"], r.total) for r in files.in_order(listed).orderBy("index").collect()] == [("a.pdf", 1, 4), ("b.v2.pdf", 2, 4), ("bad.pdf", 3, 4), ("empty.pdf", 4, 4)]
-    got = clean_folder(spark, str(source), str(tmp_path / "out"), str(tmp_path / "staging"), CleanConfig(20, 3, 1.0), extract)
+    said = []
+    got = clean_folder(spark, str(source), str(tmp_path / "out"), str(tmp_path / "staging"), CleanConfig(20, 3, 1.0), extract, said.append)
+    assert [(p.message, p.index, p.total, p.failed, p.done) for p in said if p.message.startswith("files")] == [("files extracted", 4, 4, 2, False), ("files cleaned", 2, 2, 1, False), ("files written", 4, 4, 2, True)]
+    steps = [[p for p in said if p.message == x] for x in ("extracted", "cleaned", "written")]
+    assert all(x and x[-1].index == x[-1].total > 0 == x[-1].failed for x in steps)
     assert {(r.doc_id, r.status): r.detail for r in got.collect()} == {("a", "OK"): "67", ("b.v2", "REJECT"): "too_short, too_few_words", ("bad", "ERROR"): "ValueError: broken", ("empty", "ERROR"): "no pages"}
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["a.txt"]
     assert {r.doc_id: r.text for r in files.read_texts(spark, str(tmp_path / "out")).collect()} == {"a": "Abstract\nThis is a sentence with words in it.\n\nMore text ends here."}
@@ -255,6 +259,7 @@ def test_replace_in_folder(spark, tmp_path):
     folder.mkdir()
     for name, text in (("a", "one two one"), ("b", "nothing"), ("c", "One")):
         (folder / f"{name}.txt").write_text(text)
+    (folder / "é +%41 x.txt").write_bytes(b"two\xff")
     before = (folder / "b.txt").stat().st_mtime_ns
     done = apply.replace_in_folder(spark, str(folder), str(tmp_path / "staging"), r"(?P<a_b>one)", r"\g<a_b>one", use_regex=True)
     for _ in range(2):  # looking at the result twice replaces once
@@ -262,6 +267,8 @@ def test_replace_in_folder(spark, tmp_path):
     assert [(folder / f"{x}.txt").read_text() for x in "abc"] == ["oneone two oneone", "nothing", "Oneone"]
     assert (folder / "b.txt").stat().st_mtime_ns == before
     assert apply.edit_totals(done).first().asDict() == {"files": 2, "replacements": 3, "failed": 0}
+    assert apply.replace_in_folder(spark, str(folder), str(tmp_path / "more"), "two", "2", name="é*.txt").count() == 1
+    assert (folder / "é +%41 x.txt").read_text() == "2\ufffd" and len(list(folder.iterdir())) == 4
     with pytest.raises(ValueError):
         apply.replace_in_folder(spark, str(folder), str(tmp_path / "staging"), "(", "", use_regex=True)
 
