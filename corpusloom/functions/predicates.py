@@ -39,6 +39,14 @@ def line(x: Column | Line, rules: Rules = RULES) -> Line:
     return x if isinstance(x, Line) else Line(x, F.lower(x), heading_form(x), let(F.lower(x), lambda low: affiliation_terms(low, rules)))
 
 
+def raw(x: Column | Line) -> Column:
+    return x.x if isinstance(x, Line) else x
+
+
+def form_of(x: Column | Line) -> Column:
+    return x.form if isinstance(x, Line) else heading_form(x)
+
+
 def facts(x: Column, rules: Rules = RULES) -> Column:
     """The Line of a column as a struct, for arrays of lines."""
     return let(F.lower(x), lambda low: F.struct(x.alias("x"), low.alias("low"), heading_form(x).alias("form"), affiliation_terms(low, rules).alias("terms")))
@@ -60,17 +68,17 @@ def compact(x: Column) -> Column:
 
 
 def is_page_number(x: Column | Line) -> Column:
-    return line(x).x.rlike(C.PAGE_NUMBER)
+    return raw(x).rlike(C.PAGE_NUMBER)
 
 
 def is_pdf_artifact(x: Column | Line, rules: Rules = RULES) -> Column:
-    own = line(x)
-    return own.x.isin(*C.ARTIFACT_LINES) | has_any(x, rules.artifact_parts) | (own.x.rlike(rf"(?U)\A[{C.ARTIFACT_SIGNS}\s]+\z") & (F.length(compact(own.x)) >= 6))
+    own = raw(x)
+    return own.isin(*C.ARTIFACT_LINES) | has_any(x, rules.artifact_parts) | (own.rlike(rf"(?U)\A[{C.ARTIFACT_SIGNS}\s]+\z") & (F.length(compact(own)) >= 6))
 
 
 def is_graphical(x: Column | Line) -> Column:
     """Drawings turned to text: mostly marks, or a rule."""
-    x = line(x).x
+    x = raw(x)
     tokens = F.filter(F.split(x, r"(?U)\s+"), lambda t: t != "")
     marks = F.filter(tokens, lambda t: t.rlike(rf"\A[{C.DRAWING_SIGNS}]+\z"))
     mostly = (F.size(tokens) >= 3) & (F.size(marks) >= 0.7 * F.size(tokens))
@@ -81,13 +89,13 @@ def is_graphical(x: Column | Line) -> Column:
 
 def is_citation_cluster(x: Column | Line) -> Column:
     """Two citations or more and hardly anything else."""
-    x = line(x).x
+    x = raw(x)
     left = F.regexp_replace(F.regexp_replace(x, rf"(?U){C.CITATION}", ""), r"(?U)[,;:.\s]", "")
     return x.contains("[") & (F.regexp_count(x, F.lit(rf"(?U){C.CITATION}")) >= 2) & (F.length(left) <= 2)
 
 
 def is_url_or_doi(x: Column | Line) -> Column:
-    return line(x).x.rlike(C.URL_OR_DOI)
+    return raw(x).rlike(C.URL_OR_DOI)
 
 
 def is_license(x: Column | Line, rules: Rules = RULES) -> Column:
@@ -99,12 +107,12 @@ def is_publisher_metadata(x: Column | Line, rules: Rules = RULES) -> Column:
 
 
 def starts_correspondence(x: Column | Line) -> Column:
-    x = line(x).x
+    x = raw(x)
     return x.contains(":") & x.rlike(f"(?iU){C.CORRESPONDENCE}")
 
 
 def has_email(x: Column | Line) -> Column:
-    x = line(x).x
+    x = raw(x)
     return x.contains("@") & x.rlike(f"(?iU){C.EMAIL}")
 
 
@@ -114,7 +122,7 @@ def affiliation_score(x: Column | Line, rules: Rules = RULES) -> Column:
 
 
 def author_name_score(x: Column | Line) -> Column:
-    return F.regexp_count(line(x).x, F.lit(f"(?U){C.AUTHOR_NAME}"))
+    return F.regexp_count(raw(x), F.lit(f"(?U){C.AUTHOR_NAME}"))
 
 
 def is_author_list(x: Column | Line, rules: Rules = RULES) -> Column:
@@ -143,20 +151,19 @@ def is_indexed_affiliation(x: Column | Line, rules: Rules = RULES) -> Column:
 
 def is_section_heading(x: Column | Line) -> Column:
     """A known section's name, or a number and a title of at most 120 characters."""
-    own = line(x)
-    return own.form.isin(*C.SECTION_NAMES) | strip(own.x).rlike(C.NUMBERED_HEADING)
+    return form_of(x).isin(*C.SECTION_NAMES) | strip(raw(x)).rlike(C.NUMBERED_HEADING)
 
 
 def is_references_heading(x: Column | Line) -> Column:
-    return line(x).form.isin(*C.REFERENCE_NAMES)
+    return form_of(x).isin(*C.REFERENCE_NAMES)
 
 
 def is_first_anchor(x: Column | Line) -> Column:
-    return line(x).form.isin(*C.FIRST_ANCHORS)
+    return form_of(x).isin(*C.FIRST_ANCHORS)
 
 
 def is_second_anchor(x: Column | Line) -> Column:
-    return line(x).form.isin(*C.SECOND_ANCHORS)
+    return form_of(x).isin(*C.SECOND_ANCHORS)
 
 
 def noise_category(x: Column | Line, rules: Rules = RULES) -> Column:

@@ -6,7 +6,7 @@ places have no licence, no score and nothing to fetch, so such works aren't elig
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import AcquireConfig
@@ -63,22 +63,47 @@ def fetchable(locations: Column) -> Column:
     return F.filter(rows, lambda x: x["pdf_url"].isNotNull() | x["landing_page_url"].isNotNull())
 
 
+def _low(url: Column) -> Column:
+    return F.lower(F.coalesce(url, F.lit("")))
+
+
+def _score_of_urls(pdf: Column, page: Column) -> Column:
+    """What a place's URLs, in lower case, say of it."""
+    score = F.lit(0)
+    for host in C.REPOSITORIES:
+        score += F.when(pdf.contains(host), 100).when(page.contains(host), 80).otherwise(0)
+    for host in C.OPEN_PUBLISHERS:
+        score += F.when(pdf.contains(host), 50).otherwise(0)
+    for host in C.CLOSED_PUBLISHERS:
+        score -= F.when(pdf.contains(host), 50).otherwise(0)
+    return score + F.when(pdf != "", 30).otherwise(0)
+
+
+def _score_of_kind(source_type: Column, is_oa: Column) -> Column:
+    return F.when(source_type == "repository", 80).otherwise(0) + F.when(is_oa, 20).otherwise(0)
+
+
 def location_score(pdf: Column, page: Column, source_type: Column, is_oa: Column) -> Column:
     """How promising a place is: repositories and open publishers first, those behind a paywall last."""
+    urls = F.struct(_low(pdf).alias("pdf"), _low(page).alias("page"))
+    return let(urls, lambda u: _score_of_urls(u["pdf"], u["page"])) + _score_of_kind(source_type, is_oa)
 
-    def of_hosts(urls: Column) -> Column:
-        score = F.lit(0)
-        for host in C.REPOSITORIES:
-            score += F.when(urls["pdf"].contains(host), 100).when(urls["page"].contains(host), 80).otherwise(0)
-        for host in C.OPEN_PUBLISHERS:
-            score += F.when(urls["pdf"].contains(host), 50).otherwise(0)
-        for host in C.CLOSED_PUBLISHERS:
-            score -= F.when(urls["pdf"].contains(host), 50).otherwise(0)
-        return score + F.when(urls["pdf"] != "", 30).otherwise(0)
 
-    low = lambda x: F.lower(F.coalesce(x, F.lit("")))
-    score = let(F.struct(low(pdf).alias("pdf"), low(page).alias("page")), of_hosts)
-    return score + F.when(source_type == "repository", 80).otherwise(0) + F.when(is_oa, 20).otherwise(0)
+def ranked_places(works: DataFrame, key_col: str, locations_col: str = "locations") -> DataFrame:
+    """key, place (from 0, the most promising first), score and the fields of each place to fetch from.
+
+    In long form, a row for each location, as rank_locations() and fetchable() do on arrays: scores are columns of
+    their own, and a work's places are ranked where its rows are.
+    """
+    x = lambda name: F.col(f"_l.{name}")
+    rows = works.select(key_col, F.posexplode(locations_col).alias("_i", "_l")).select(
+        key_col, "_i", web_url(x("pdf_url")).alias("pdf_url"), web_url(x("landing_page_url")).alias("landing_page_url"), x("source.display_name").alias("source"),
+        x("source.type").alias("source_type"), F.coalesce(x("is_oa"), F.lit(False)).alias("is_oa"), x("license").alias("license"), x("version").alias("version"),
+    )
+    rows = rows.where("pdf_url is not null or landing_page_url is not null").withColumns({"_pdf": _low(F.col("pdf_url")), "_page": _low(F.col("landing_page_url"))})
+    rows = rows.withColumn("score", _score_of_urls(F.col("_pdf"), F.col("_page")) + _score_of_kind(F.col("source_type"), F.col("is_oa")))
+    order = Window.partitionBy(key_col).orderBy(F.desc("score"), "_i")
+    return rows.withColumn("place", F.row_number().over(order) - 1).drop("_i", "_pdf", "_page")
 
 
 def scored_locations(locations: Column) -> Column:
@@ -103,8 +128,15 @@ def is_eligible(config: AcquireConfig | None = None) -> Column:
     year = F.coalesce("publication_year", F.lit(0))
     ok = ~F.coalesce("is_retracted", F.lit(False)) & F.coalesce("open_access.is_oa", F.lit(False))
     ok &= ((year == 0) | (year >= config.min_year)) & (F.coalesce("cited_by_count", F.lit(0)) >= config.min_citations)
-    ok &= F.coalesce(F.size(fetchable(F.col("locations"))), F.lit(0)) >= 1
-    return ok & F.coalesce(license_of(F.col("locations")).isin(*config.licenses), F.lit(False)) if config.licenses else ok
+    ok &= F.coalesce(F.exists("locations", lambda x: web_url(x["pdf_url"]).isNotNull() | web_url(x["landing_page_url"]).isNotNull()), F.lit(False))
+    if not config.licenses:
+        return ok
+    others = [x for x in config.licenses if x not in C.LICENSES]
+    if not set(C.LICENSES) <= set(config.licenses):
+        return ok & F.coalesce(license_of(F.col("locations")).isin(*config.licenses), F.lit(False))
+    # each of the wanted ones is allowed, so one of them is enough, whichever would be chosen
+    good = F.coalesce(F.exists("locations", lambda x: F.lower(strip(x["license"])).isin(*C.LICENSES)), F.lit(False))
+    return ok & (good | F.coalesce(license_of(F.col("locations")).isin(*others), F.lit(False)) if others else good)
 
 
 def metadata_record(works: DataFrame) -> DataFrame:

@@ -69,8 +69,8 @@ def license_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("location_rank", f"WITH {K.WORKS_SQL}, {_PLACES} SELECT work_key, place::BIGINT AS place, pdf AS pdf_url, page AS landing_page_url, score FROM ranked")
 def location_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = K.works(spark, sf_dir).select("work_key", F.posexplode(M.scored_locations(M.fetchable(F.col("locations")))).alias("place", "z"))
-    return ranked.select("work_key", F.col("place").cast("bigint").alias("place"), "z.x.pdf_url", "z.x.landing_page_url", F.col("z.score").cast("bigint").alias("score"))
+    ranked = M.ranked_places(K.works(spark, sf_dir), "work_key")
+    return ranked.select("work_key", F.col("place").cast("bigint").alias("place"), "pdf_url", "landing_page_url", F.col("score").cast("bigint").alias("score"))
 
 
 @query("candidate_filter", f"WITH {K.WORKS_SQL}, {_ELIGIBLE} SELECT work_key, publication_year, cited_by_count, license FROM eligible")

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.config import CleanConfig
+from corpusloom.config import AcquireConfig, CleanConfig
 from corpusloom.functions import predicates as P
 from corpusloom.functions import text as T
 from corpusloom.operators import acquire, edit, lines, metadata, pages
@@ -209,3 +209,23 @@ def test_stream(spark, tmp_path):
         clean_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), CleanConfig(0, 0, 1.0)).awaitTermination(60)
     got = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": "Abstract\nSome text here.", "b": "x"}
+
+
+def test_ranked_places(spark):
+    """The long form ranks as the one on arrays does; eligibility by any list of licences is that of the licence chosen."""
+    draw = random.Random(6)
+    hosts = ["https://arxiv.org/x", " https://www.mdpi.com/y ", "http://onlinelibrary.wiley.com/", "ftp://no", None, "", "https://uni.edu/z"]
+    rows = []
+    for i in range(300):
+        places = [(draw.choice(hosts), draw.choice(hosts), draw.choice([True, False, None]), draw.choice(["CC-BY", " cc0 ", "mit", "", None, "other"]), "v", ("s", draw.choice(["repository", "journal", None]))) for _ in range(draw.choice([0, 1, 2, 6]))]
+        rows.append((i, 2020, 50, False, (True,), draw.choice([places, places, None])))
+    kind = "array<struct<pdf_url: string, landing_page_url: string, is_oa: boolean, license: string, version: string, source: struct<display_name: string, type: string>>>"
+    frame = spark.createDataFrame(rows, f"k int, publication_year int, cited_by_count int, is_retracted boolean, open_access struct<is_oa: boolean>, locations {kind}")
+    array = frame.select("k", F.posexplode(metadata.scored_locations(metadata.fetchable(F.col("locations")))).alias("place", "z")).select("k", "place", "z.score", "z.x.*")
+    long = metadata.ranked_places(frame, "k").select(array.columns)
+    assert sorted(map(str, long.collect())) == sorted(map(str, array.collect())) and long.count() > 300
+    for licenses in ((), ("cc-by", "cc-by-sa", "cc0", "public-domain"), ("cc-by", "cc-by-sa", "cc0", "public-domain", "mit"), ("cc0",), ("mit", "other")):
+        chosen = metadata.license_of(F.col("locations")).isin(*licenses) if licenses else F.lit(True)
+        want = F.coalesce((F.size(metadata.fetchable(F.col("locations"))) >= 1) & chosen, F.lit(False))
+        got = metadata.is_eligible(AcquireConfig(licenses=licenses))
+        assert frame.where(got != want).count() == 0 and frame.where(got).count() > 0
