@@ -9,7 +9,9 @@ by clustering their neighbours, others by the longest ending that they share wit
 
 The weights come from gradient steps that partitions of the training texts make by themselves, averaged
 after each round, every weight row by how often a partition used it. So they follow, in the last digits,
-how the input is partitioned. The table of weights grows with the cube root of the training tokens.
+how the input is partitioned. The table of weights grows with the cube root of the training tokens. A
+partition sends the rows that it has used; of partitions beyond TRAINERS several are one task's, so that
+what is sent in a round is TRAINERS tables at most, whatever the input; and sums are added up in two steps.
 
 Counts of the most frequent words are broadcast, at most HEAD of them; the other words' come by a join.
 """
@@ -50,6 +52,8 @@ FIRST_ROUND = 8
 TOGETHER = 24
 #: Weight rows that partitions send together.
 CHUNK = 256
+#: Tasks of a round, at most.
+TRAINERS = 4096
 CACHE_WORDS = 400_000
 #: What the class does to a feature's row in the second softmax: another permutation of the rows for each.
 TURNS = np.random.Generator(np.random.PCG64(9)).integers(0, 1 << 31, CLASSES, np.uint32)
@@ -390,9 +394,60 @@ def grouped(head: list, classes: dict[bytes, int], endings: dict[bytes, int]) ->
     return Known({w: i for i, (w, _) in enumerate(head)}, np.array([c for _, c in head], np.float64), leaves, endings)
 
 
+#: A chunk's rows that have been used: which of its rows, and their sums, weighted and with the weight.
+SUMS = "chunk bigint, lane bigint, rows binary, sums binary"
+
+
+def task_id() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+def packed(table: np.ndarray, lane: int) -> Iterator[pa.RecordBatch]:
+    """The used rows of a table, whose last column is how often they were used, by chunks; chunks without any aren't sent."""
+    for k in range(len(table) // CHUNK):
+        own = table[k * CHUNK : (k + 1) * CHUNK]
+        at = np.flatnonzero(own[:, -1] > 0)
+        if len(at):
+            values = [[k], [lane], [at.astype(np.uint8).tobytes()], [own[at].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "lane", "rows", "sums"])
+
+
+def _sums(batches) -> dict[tuple[int, int], np.ndarray]:
+    """Whole chunks of sums by (chunk, lane)."""
+    found: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for k, lane, rows, sums in zip(*(c.to_pylist() for c in batch.columns)):
+            if (k, lane) not in found:
+                found[k, lane] = np.zeros((CHUNK, CLASSES + 1))
+            found[k, lane][np.frombuffer(rows, np.uint8)] += np.frombuffer(sums, "<f4").reshape(-1, CLASSES + 1)
+    return found
+
+
+def added(batches) -> Iterator[pa.RecordBatch]:
+    """The sums of each chunk and lane."""
+    for (k, lane), x in _sums(batches).items():
+        for batch in packed(x.astype("<f4"), lane):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *batch.columns[1:]], names=batch.schema.names)
+
+
+def averaged(batches) -> Iterator[pa.RecordBatch]:
+    """The averages of each chunk's rows; nan for those that nobody has used."""
+    total: dict[int, np.ndarray] = {}
+    for (k, _), x in _sums(batches).items():
+        total[k] = total.get(k, 0.0) + x
+    for k, x in total.items():
+        mean = np.where(x[:, -1:] > 0, x[:, :-1] / np.maximum(x[:, -1:], 1e-30), np.nan).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([mean.tobytes()], pa.binary())], names=["chunk", "mean"])
+
+
 def _round(df: DataFrame, sent, weights: np.ndarray, n_rows: int) -> np.ndarray:
     """The average of what partitions make of the weights by gradient steps on their texts."""
     spark = df.sparkSession
+    tasks = df.rdd.getNumPartitions()
+    if tasks > TRAINERS:
+        df, tasks = df.coalesce(TRAINERS), TRAINERS
     begin = spark.sparkContext.broadcast(weights)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -405,24 +460,14 @@ def _round(df: DataFrame, sent, weights: np.ndarray, n_rows: int) -> np.ndarray:
             rows, leaves, *_ = index.batch(batch.column(0).to_pylist(), n_rows)
             for a in range(0, len(leaves), STEP_TOKENS):
                 step(own, squares, used, n_rows, *both_levels(rows[:, a : a + STEP_TOKENS], leaves[a : a + STEP_TOKENS], n_rows))
-        if used.any():
-            table = np.concatenate([own * used[:, None], used[:, None]], 1).astype("<f4")
-            chunks = range(len(own) // CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([table[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in chunks], pa.binary())], names=["chunk", "sums"])
+        yield from packed(np.concatenate([own * used[:, None], used[:, None]], 1).astype("<f4"), task_id())
 
-    def add(batches) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found[k] = found.get(k, 0.0) + np.frombuffer(x, "<f4").astype(np.float64)
-        for k, x in found.items():
-            x = x.reshape(CHUNK, CLASSES + 1)
-            mean = np.where(x[:, -1:] > 0, x[:, :-1] / np.maximum(x[:, -1:], 1e-30), np.nan).astype("<f4")
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([mean.tobytes()], pa.binary())], names=["chunk", "mean"])
-
-    sums = df.mapInArrow(run, "chunk bigint, sums binary")
+    sums = df.mapInArrow(run, SUMS)
+    lanes = max(1, math.isqrt(tasks))
+    by_lane = sums.withColumn("lane", F.col("lane") % lanes).repartition(parts(df), "chunk", "lane").mapInArrow(added, SUMS)
+    sums = by_lane.repartition(min(parts(df), len(weights) // CHUNK), "chunk").mapInArrow(averaged, "chunk bigint, mean binary")
     out = weights.copy()
-    for k, mean in sums.repartition(min(parts(df), len(weights) // CHUNK), "chunk").mapInArrow(add, "chunk bigint, mean binary").collect():
+    for k, mean in sums.collect():  # one table, of a size that is known
         mean = np.frombuffer(mean, "<f4").reshape(CHUNK, CLASSES)
         out[k * CHUNK : (k + 1) * CHUNK] = np.where(np.isnan(mean), out[k * CHUNK : (k + 1) * CHUNK], mean)
     begin.destroy()

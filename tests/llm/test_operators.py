@@ -767,3 +767,23 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.id: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 150: 100, 200: 100}
+
+
+def test_lm_sends_used_rows(spark):
+    """Partitions send the rows that they have used, and the sums are those of whole tables."""
+    draw = np.random.default_rng(4)
+    tables = []
+    for lane in range(7):
+        table = np.zeros((4 * lm_scoring.CHUNK, lm_scoring.CLASSES + 1), "<f4")
+        at = draw.choice(len(table) // 2, 30)
+        table[at] = draw.integers(1, 9, (30, lm_scoring.CLASSES + 1))
+        tables.append(table)
+    sent = [b for lane, x in enumerate(tables) for b in lm_scoring.packed(x, lane % 3)]
+    assert sum(len(b.column(3)[0].as_py()) for b in sent) == sum(int((x[:, -1] > 0).sum()) for x in tables) * 4 * (lm_scoring.CLASSES + 1)
+    total = sum(x.astype(np.float64) for x in tables)
+    means = {b.column(0)[0].as_py(): np.frombuffer(b.column(1)[0].as_py(), "<f4").reshape(lm_scoring.CHUNK, -1) for b in lm_scoring.averaged(list(lm_scoring.added(sent)))}
+    assert set(means) <= {0, 1}
+    for k, mean in means.items():
+        own = total[k * lm_scoring.CHUNK : (k + 1) * lm_scoring.CHUNK]
+        used = own[:, -1] > 0
+        assert np.isnan(mean[~used]).all() and np.allclose(mean[used], own[used, :-1] / own[used, -1:], rtol=1e-6)
