@@ -61,12 +61,39 @@ def test_dedup_keeps_columns(spark):
     assert texts[4] == LONG and texts[7].endswith("tail") and len(texts[7]) < 600
 
 
+def kept(rows):
+    return sorted(((r[0], r[1]) for r in rows), key=str)
+
+
 def test_stages_on_edges(spark, tmp_path):
+    """What each stage keeps of null, empty, long and repeated rows; of no rows none, in the same columns."""
     spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    for rows in (ROWS, []):
-        for name, apply in corpus_pipeline.STAGES:
-            docs = spark.createDataFrame(rows, SCHEMA)
-            got = stage(apply(spark, docs, str(tmp_path)), name)
-            assert got.count() >= 0
-            if name != "packing":
-                assert got.columns == docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, rows: stage(stages[name](spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)), name)
+    lettered = [r for r in ROWS if r[1] and any(c.isalpha() for c in r[1])]
+    assert len(lettered) == 6
+    # texts without a letter go; the others have the one language that there is, those without an id too
+    assert kept(run("language_id", ROWS).collect()) == kept(lettered)
+    # one label is not enough to tell good from bad: whatever is known of the rows, none is lost twice or doubled
+    assert set(kept(run("quality_classifier", ROWS).collect())) <= set(kept(ROWS))
+    # the near copy goes; rows of one id stay together, as do rows without an id, or without a word
+    assert kept(run("ngram_join", ROWS).collect()) == kept([r for r in ROWS if r[0] != 7])
+    # the passage that row 4 has too goes; white space stays as it is where nothing goes
+    texts = {r[0]: r[1] for r in ROWS}
+    found = kept(run("substring_dedup", ROWS).collect())
+    tail = next(t for i, t in found if i == 7)
+    assert [x for x in found if x[0] != 7] == kept([r for r in ROWS if r[0] != 7]) and texts[7].endswith(tail) and len(tail.split()) < 50
+    # every row is packed, null and empty ones as the end alone
+    packed = run("packing", ROWS).collect()
+    assert {r.doc_id for r in packed} == set(texts) and sum(r.piece == 0 for r in packed) == len(ROWS)
+    assert sorted(r.length for r in packed if r.doc_id in (2, 3, 5)) == [1, 1, 1]
+    for name in stages:
+        got = run(name, [])
+        assert got.count() == 0 and (name == "packing" or got.columns == spark.createDataFrame([], SCHEMA).columns)
+
+
+def test_stage_without_labels(spark, tmp_path):
+    """Without labels the classifier's stage keeps every row."""
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.classify_quality(spark, spark.createDataFrame(ROWS, SCHEMA), str(tmp_path))
+    assert kept(got.collect()) == kept(ROWS)

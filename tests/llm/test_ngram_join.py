@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from corpusloom.llm import ngram_join
+from tests.helpers import same, views
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -36,6 +37,12 @@ def linked(rows):
     return {a: (len(near[a]), min({a} | near[a])) for a in sets}  # a pair is the largest group here
 
 
+def test_larger_table(spark):
+    """Every link of a thousand documents is found."""
+    folder = "/root/testdata/sf0.01"
+    same(ngram_join.op10_ngram_join(spark, folder), views(folder), ngram_join.ORACLE)
+
+
 @pytest.mark.parametrize("turn, tasks", [(0, 1), (17, 3), (60, 7)])
 def test_several_texts_of_an_id(spark, turn, tasks):
     rows = several_texts()

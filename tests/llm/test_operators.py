@@ -257,6 +257,42 @@ def fewest(lengths, capacity):
     return best
 
 
+def test_quality_gradient():
+    """The first step of training goes against the log loss's slope, taken by differences, in every weight; the temperature is the best there is."""
+    draw = np.random.default_rng(5)
+    x, y = draw.normal(size=(60, 6)), (draw.random(60) < 0.3).astype(float)
+    back = np.arange(60) % 5 == 4
+    network = quality_classifier.Network.train(x, y, back, epochs=1, rate=0.01, decay=1e-3, seed=3)
+    at = np.flatnonzero(~back)
+    mean, scale = x[at].mean(0), x[at].std(0) + 1e-3
+    z, hidden = (x[at] - mean) / scale, quality_classifier.HIDDEN
+    own = np.random.Generator(np.random.PCG64(3))
+    start = [own.normal(0, 1 / np.sqrt(6), (6, hidden)), np.zeros(hidden), own.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
+    share = y[at].mean()
+
+    def loss(w):
+        logits = np.tanh(z @ w[0] + w[1]) @ w[2] + w[3]
+        each = np.logaddexp(0, logits) - y[at] * logits
+        return np.mean(each * np.where(y[at] > 0.5, 0.5 / share, 0.5 / (1 - share))) + 0.5e-3 * ((w[0] ** 2).sum() + (w[2] ** 2).sum())
+
+    checked = 0
+    for k, w in enumerate(start):
+        for i in np.ndindex(w.shape):
+            up, down = ([a.copy() for a in start] for _ in range(2))
+            up[k][i] += 1e-5
+            down[k][i] -= 1e-5
+            slope = (loss(up) - loss(down)) / 2e-5
+            if abs(slope) > 1e-5:  # Adam's first step is the rate, against the slope's sign
+                assert abs(network.weights[2 + k][i] - (w[i] - 0.01 * np.sign(slope))) < 2e-5
+                checked += 1
+    assert checked > 0.9 * sum(w.size for w in start)
+    held = np.flatnonzero(back)
+    target = 0.995 * y[held] + 0.0025
+    logits = network.logits(x[held])
+    cost = lambda t: np.mean(np.logaddexp(0, logits / t) - target * logits / t)
+    assert cost(network.temperature) <= min(cost(t) for t in np.geomspace(0.2, 20, 1000)) + 1e-3
+
+
 def test_packing_plan_brute_force():
     draw = random.Random(8)
     more = 0
@@ -300,16 +336,31 @@ def test_packing_pieces(spark):
 
 
 def test_word_tokenizer():
+    """Against the plain library call, in which a special token's string is that token."""
     path = public_tokenizers.path("word_bpe_49k.json")
     with open(path, encoding="utf-8") as f:
         own = packing.WordTokenizer(f.read())
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     draw = random.Random(1)
-    alphabet = "aeßÀéİΣσςＡﬁ½²ª1'.,;|-  ́ \n\tstmrel"
-    for _ in range(3000):
+    alphabet = [*"aeßÀéİΣσςＡﬁ½²ª1'.,;|-  ́ \n\tstmrel", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "中", "🙂"]
+    special = 0
+    for _ in range(4000):
         text = "".join(draw.choice(alphabet) for _ in range(draw.randint(0, 14)))
-        assert own.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+        want = whole.encode(text, add_special_tokens=False).ids
+        special += bool({49406, 49407} & set(want))
+        assert own.ids(text).tolist() == want, repr(text)
+    assert special > 500
+
+
+def test_packing_special_tokens(spark):
+    """Texts with the strings of special tokens are packed as the plain call encodes them."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["<|endoftext|>", "a<|startoftext|>b <|ENDOFTEXT|> c", "plain words", "ü<|endoftext|>" * 1500]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), with_ids=True).collect()
+    for d, text in enumerate(texts):
+        ids = [i for r in sorted((r for r in got if r.doc_id == d), key=lambda r: r.piece) for i in r.ids]
+        assert ids == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert sum(49407 in r.ids for r in got) >= 3
 
 
 def test_sketch_merges(spark):
