@@ -1,7 +1,11 @@
 """The pipeline, stage by stage, against brute force on each stage's own input."""
 
+import zlib
+
 import corpus_pipeline
+from corpusloom.llm import quality_classifier
 from corpusloom.llm.common import read, stage
+from tests.llm.test_operators import plain_language
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -12,7 +16,7 @@ def sets(rows):
 
 def test_stages(spark):
     docs = read(spark, FOLDER, "documents")
-    columns = docs.columns
+    columns, docs_schema = docs.columns, docs.schema
     seen = {}
     for name, apply in corpus_pipeline.STAGES:
         before = docs.collect()
@@ -21,11 +25,17 @@ def test_stages(spark):
         if name != "packing":
             assert docs.columns == columns
     before, after = seen["language_id"]
+    learned = [(r.lang, r.text) for r in before if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    found = plain_language(learned, [r.text for r in before], 3)
+    assert {r.doc_id for r in after} == {r.doc_id for r, (lang, score) in zip(before, found) if lang != "und" and score >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
     assert len(after) >= 0.97 * len(before)
     labels = {r.doc_id: r.quality for r in read(spark, FOLDER, "labels").collect()}
     before, after = seen["quality_classifier"]
     kept = {r.doc_id for r in after}
     assert sum(d in kept for d, q in labels.items() if q) >= 0.95 * sum(labels.values())
+    input_ = spark.createDataFrame(before, docs_schema)
+    scored = quality_classifier.quality_score(input_, quality_classifier.learn(input_, read(spark, FOLDER, "labels")))
+    assert kept == {r.doc_id for r in scored.where("predicted = 1").collect()} and len(kept) < len(before)
     before, after = seen["ngram_join"]
     grams = sets(before)
     near = {a: {b for b in grams if b != a and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])} for a in grams}
