@@ -3,9 +3,10 @@
 A set of word shingles is stood for by `SIZE` min-hashes, its tokens. From a root, each run splits the sets
 recursively: at a node some tokens are sampled by a hash of the node's path, 1 / threshold of them
 expected, and every set goes to one child for each sampled token that it has. Nodes of at most LIMIT sets
-are compared by brute force. Nodes still larger at the last level are dealt into blocks, and every pair of
-blocks is compared: to split them further would lower the chance that a pair shares a node, which the
-number of runs is planned by. As many runs are made as the target recall of a pair at the threshold needs.
+are compared by brute force. Nodes still larger at the last level are dealt into blocks by the sets' sizes, and every pair of blocks
+is compared whose sizes are near enough for a pair at the threshold: to split them further would lower the
+chance that a pair shares a node, which the number of runs is planned by. Larger inputs have more levels. As
+many runs are made as the target recall of a pair at the threshold needs.
 Sets are compared by sketches of BINS bytes, the least hash of each part of the hash range, and by their
 sizes; those near enough are tied into candidate groups, within which every pair's likeness is computed from
 the whole sets, in blocks. A sketch's error is a quarter of what the tokens' would be, so that texts on a
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import parts, prepare, read, reduced, release, stage
@@ -32,8 +33,8 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.99
 #: Min-hashes of a set.
 SIZE = 64
-#: Sets of a node that are compared by brute force; levels of the tree.
-LIMIT, LEVELS = 200, 3
+#: Sets of a node that are compared by brute force; levels of the tree for up to so many sets, and one more for each ten times as many.
+LIMIT, LEVELS, LEVEL_SETS = 200, 3, 1_000_000
 #: Sets, on average, of a block of a node that is too large at the last level.
 NODE_BLOCK = 2000
 #: Parts of the hash range, each of which gives a sketch a byte.
@@ -57,9 +58,14 @@ def survival(level: int) -> float:
     return p
 
 
-def runs_for(recall: float) -> int:
+def levels_for(sets: int) -> int:
+    """Levels of the tree: a node's sets grow with the input, and each level leaves a share of them."""
+    return LEVELS + max(0, math.ceil(math.log10(max(sets, 1) / LEVEL_SETS)))
+
+
+def runs_for(recall: float, levels: int = LEVELS) -> int:
     """Runs by which a pair at the threshold shares a node at the last level with this chance."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(LEVELS)))
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(levels)))
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -262,24 +268,53 @@ def candidates(signed: DataFrame, threshold: float = THRESHOLD, recall: float =
     used = [] if used is None else used
     # what the limits leave at a level: small nodes are leaves, larger ones go on
     leaves = None
-    paths = _expand(signed, threshold, runs_for(recall))
-    for level in range(1, LEVELS + 1):
+    last = levels_for(signed.count())
+    paths = _expand(signed, threshold, runs_for(recall, last))
+    for level in range(1, last + 1):
         paths = stage(paths, f"level-{level}")
         sizes = stage(paths.groupBy("path").count().where("count > 1"), f"sizes-{level}")  # staged: see substring_dedup
         used += [paths, sizes]
         shared = paths.join(sizes, "path")
-        if level < LEVELS:
-            large = shared.where(F.col("count") > LIMIT).select("id", "path")
-            shared = shared.where(F.col("count") <= LIMIT)
-            paths = _expand(large.join(signed.select("id", "signature"), "id"), threshold)
+        large = shared.where(F.col("count") > LIMIT).select("id", "path")
+        shared = shared.where(F.col("count") <= LIMIT).select("id", "path")
         leaves = shared if leaves is None else leaves.union(shared)
-    blocks = F.when(F.col("count") <= LIMIT, F.lit(1)).otherwise(F.ceil(F.col("count") / NODE_BLOCK)).cast("int")
-    dealt = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    rows = in_block_pairs(dealt).select("id", "path", "block", "i", "j").join(signed.select("id", "n_shingles", "sketch"), "id")
+        if level < last:
+            paths = _expand(large.join(signed.select("id", "signature"), "id"), threshold)
+    small = leaves.select("id", "path", *[F.lit(0).cast("bigint").alias(c) for c in ("block", "i", "j")])
+    rows = small.union(_dealt(large, signed, threshold, used)).join(signed.select("id", "n_shingles", "sketch"), "id")
     rows = rows.repartition(n, "path", "i", "j").sortWithinPartitions("path", "i", "j", "id").select("path", "i", "j", "block", "id", "n_shingles", "sketch")
     return _ties(rows, threshold)
 
 
+#: Blocks of a class of sizes, at most; a block's number is its class's times this and its own there.
+CLASS_BLOCKS = 1 << 32
+
+
+def _dealt(large: DataFrame, signed: DataFrame, threshold: float, used: list) -> DataFrame:
+    """id, path, block, i, j of the sets of large nodes: a row for each pair of blocks that a set's block is in.
+
+    A class has the sizes from one power of 1 / threshold to the next, so that sets at the threshold are of
+    one class or of two that follow each other. Blocks of about NODE_BLOCK sets are of one class.
+    """
+    size_class = F.floor(F.log("n_shingles") / math.log(1 / threshold) + 1e-9).cast("bigint")
+    rows = stage(large.join(signed.select("id", size_class.alias("class")), "id").select("id", "path", "class"), "large")
+    blocks = rows.groupBy("path", "class").agg(F.ceil(F.count("*") / NODE_BLOCK).alias("blocks"))  # a node's classes are few
+    after, before = (blocks.select("path", (F.col("class") + d).alias("class"), F.col("blocks").alias(name)) for d, name in ((-1, "after"), (1, "before")))
+    blocks = stage(blocks.join(after, ["path", "class"], "left").join(before, ["path", "class"], "left").na.fill(0, ["after", "before"]), "classes")
+    used += [rows, blocks]
+    found = rows.join(blocks, ["path", "class"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")))
+    number = lambda of, at: of * F.lit(CLASS_BLOCKS) + at
+    block = number(F.col("class"), F.col("own"))
+
+    def pairs(count: str, of: Column) -> Column:
+        """The pairs of the set's block with the blocks of a class."""
+        each = F.when(F.col(count) > 0, F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(each, lambda k: F.struct(F.least(number(of, k), block).alias("i"), F.greatest(number(of, k), block).alias("j")))
+
+    met = F.concat(*(pairs(name, F.col("class") + d) for name, d in (("before", -1), ("blocks", 0), ("after", 1))))
+    return found.withColumn("block", block).withColumn("p", F.explode(met)).select("id", "path", "block", "p.i", "p.j")
+
+
 def _likeness(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Jaccard likeness of the sets at `left` with those at `right`."""
     sizes = np.array([len(x) for x in sets])
