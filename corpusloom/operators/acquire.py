@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_PDF_BYTES = 10_000
+#: A server's failure, after which trying again makes sense, has this status or a higher one; others are for good.
+RETRY_FROM = 500
 
 
 def union_hits(*searches: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def is_pdf(length: Column, content: Column) -> Column:
 
 def http_class(status: Column) -> Column:
     """Whether trying again makes sense."""
-    return F.when(status >= 500, "retry").otherwise("permanent")
+    return F.when(status >= RETRY_FROM, "retry").otherwise("permanent")
 
 
 def attempt_outcome(attempts: DataFrame, max_retries: int = 2) -> DataFrame:

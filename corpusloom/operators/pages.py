@@ -36,16 +36,19 @@ def repeated_keys(df: DataFrame, id_col: str, pages_col: str, ratio: float = 0.3
 
 def strip_repeated(pages: Column, ratio: float = 0.30) -> Column:
     """Pages without their repeated lines; other lines in their normal form, empty ones kept."""
+    noted = lambda line: let(normalize_line(line), lambda x: F.struct(x.alias("x"), fuzzy_key(x).alias("key")))
 
-    def go(counted: Column) -> Column:
-        need = F.greatest(F.lit(2), (F.size(counted) * float(ratio)).cast("int"))
+    def go(own: Column) -> Column:
+        need = F.greatest(F.lit(2), (F.size(own) * float(ratio)).cast("int"))
+        keys = F.flatten(F.transform(own, lambda p: F.array_distinct(F.transform(F.filter(p, lambda z: _countable(z["x"])), lambda z: z["key"]))))
         # of sorted keys one is often if the one `need` - 1 places on is the same
-        often = lambda keys: F.array_distinct(F.filter(keys, lambda k, i: F.try_element_at(keys, i + need).eqNullSafe(k)))
-        drop = F.when(F.size(counted) >= MIN_PAGES, let(F.array_sort(F.flatten(counted)), often)).otherwise(F.array().cast("array<string>"))
+        often = lambda all_: F.array_distinct(F.filter(all_, lambda k, i: F.try_element_at(all_, i + need).eqNullSafe(k)))
+        drop = F.when(F.size(own) >= MIN_PAGES, let(F.array_sort(keys), often)).otherwise(F.array().cast("array<string>"))
+        kept = lambda d: lambda z: (z["x"] == "") | (F.size(d) == 0) | ~F.array_contains(d, z["key"])
         # a key is on a share of the pages, so there are few of them, however long the document
-        return let(drop, lambda d: F.transform(pages, lambda p: F.filter(F.transform(p, normalize_line), lambda x: (x == "") | (F.size(d) == 0) | ~F.array_contains(d, fuzzy_key(x)))))
+        return let(drop, lambda d: F.transform(own, lambda p: F.transform(F.filter(p, kept(d)), lambda z: z["x"])))
 
-    return let(page_keys(pages), go)
+    return let(F.transform(pages, lambda p: F.transform(p, noted)), go)
 
 
 def flatten_pages(pages: Column) -> Column:

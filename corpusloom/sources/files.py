@@ -102,7 +102,8 @@ def put_file(write: Callable[[BinaryIO], None], path: str, check: Callable[[str]
 def write_text_files(texts: DataFrame, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Write each text to `<doc_id>.txt` (UTF-8) of a folder that all executors share; doc_id, `keep`, and error, null if it went well.
 
-    The returned rows are made by writing: the caller runs them once. A repeated doc_id is written again;
+    Files are written by plain calls, so a store that isn't mounted can't be written to; write_texts() writes
+    a table to any. The returned rows are made by writing: the caller runs them once. A repeated doc_id is written again;
     a null or one that isn't a plain file name is an error, as is a file that can't be written; no other
     file is touched by it.
     """

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Row
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from corpusloom.operators.acquire import MIN_PDF_BYTES
+from corpusloom.operators.acquire import MIN_PDF_BYTES, RETRY_FROM
 from corpusloom.sources.files import put_file
 
 #: get(url, timeout) -> (status, or None for a lost connection, chunks of the body)
@@ -80,7 +80,7 @@ def try_place(url: str | None, path: str, get: Get, retries: int, timeout: float
         except Exception as e:  # noqa: BLE001  belongs to the place
             return type(e).__name__
         last = "connection" if status is None else f"http_{status}"
-        if status is not None and status < 500:
+        if status is not None and status < RETRY_FROM:
             return last
         if attempt < retries:
             wait(2.0 * attempt)
