@@ -61,6 +61,16 @@ class Block:
         self.weights = np.zeros(0, np.int64)
         self.n_docs = self.n_terms = 0
 
+    def fields(self) -> dict:
+        """What it is made of: a broadcast value is unpickled where this module need not be."""
+        return dict(vars(self))
+
+    @classmethod
+    def of(cls, fields: dict) -> Block:
+        found = cls.__new__(cls)
+        vars(found).update(fields)
+        return found
+
     def counted(self, n_docs: int, n_terms: int, df: dict[int, int]) -> Block:
         """With the counts of all documents."""
         self.n_docs, self.n_terms = n_docs, n_terms
@@ -215,10 +225,10 @@ def _counts(docs: DataFrame, block: Block) -> Block:
 
 def _search(docs: DataFrame, block: Block, k: int) -> DataFrame:
     """item_id, doc_id, score: of each shard the best k of each item."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+    sent = docs.sparkSession.sparkContext.broadcast(block.fields())
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        block, shard = sent.value, Shard()
+        block, shard = Block.of(sent.value), Shard()
         found = [np.zeros(0, np.int64)] * len(block.items)  # the best k scores of each item so far
 
         def results() -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom import llm
-from corpusloom.llm import byte_bpe, chat_format, components, fingerprints, language_id, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, substring_dedup
+from corpusloom.llm import byte_bpe, chat_format, components, fingerprints, hard_negatives, language_id, lm_scoring, merge_automaton, ngram_join, packing, quality_classifier, quality_rules, ranked_search, substring_dedup
 from tests.helpers import DATA, same, views
 
 
@@ -655,7 +655,11 @@ def test_broadcasts_need_no_module(spark, monkeypatch):
     packing.pack(frame).collect()
     byte_bpe.digest(frame).collect()
     byte_bpe.decode(byte_bpe.encode(frame)).collect()
-    assert len(sent) >= 10 and not any(b"corpusloom" in x for x in sent)
+    merge_automaton.decode(merge_automaton.encode(frame)).collect()
+    assert ranked_search.search(frame, frame.select(F.col("doc_id").alias("item_id"), "text")).count() > 0
+    vectors = frame.select(F.col("doc_id").alias("vec_id"), F.array("doc_id").alias("embedding"), (F.col("doc_id") % 2).alias("label"))
+    hard_negatives.hard_negatives(vectors, F.col("id") % 5 == 0).collect()
+    assert len(sent) >= 14 and not any(b"corpusloom" in x for x in sent)
 
 
 def test_lm_histories_end_at_texts():
