@@ -15,6 +15,7 @@ PROSE = " ".join(["the first of all the words that stand in it"] * 10)
 QUERIES = {
     "noise_removal": ("category", "author_blocks", 0),
     "noise_removal_blocks": ("category", "author_blocks", 0),
+    "cleanup_counts": ("author_blocks", 0, 1),
     "clean_corpus": ("reasons", "", 1),
 }
 
