@@ -13,6 +13,7 @@ NAMES = " ".join(["Ré"] * 150)
 PROSE = " ".join(["the first of all the words that stand in it"] * 10)
 #: For each query a row that it has, or hasn't, of a text whose second line is NAMES.
 QUERIES = {
+    "author_lists": ("line", NAMES, 0),
     "noise_removal": ("category", "author_blocks", 0),
     "noise_removal_blocks": ("category", "author_blocks", 0),
     "cleanup_counts": ("author_blocks", 0, 1),
