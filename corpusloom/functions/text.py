@@ -24,6 +24,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def lower(x: Column) -> Column:
+    """In lower case. As in SQL, a capital I with a dot becomes an i, and not an i and a dot above."""
+    return F.lower(F.replace(x, F.lit("\u0130"), F.lit("i")))
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end."""
     ends = F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))
@@ -82,7 +87,7 @@ def collapse_blank_lines(x: Column) -> Column:
 
 def heading_form(x: Column) -> Column:
     """A line as headings are compared: lower case, without spaces and ` .:-` around."""
-    return F.call_function("btrim", F.lower(strip(x)), F.lit(" .:-"))
+    return F.call_function("btrim", lower(strip(x)), F.lit(" .:-"))
 
 
 def section_name(x: Column) -> Column:

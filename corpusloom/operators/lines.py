@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import constants as C
 from corpusloom.functions import predicates as P
 from corpusloom.functions.rules import RULES, Rules
-from corpusloom.functions.text import let
+from corpusloom.functions.text import let, lower
 
 COUNTS = ("front_matter", "publisher_metadata", "correspondence", "author_blocks", "graphics", "references", "other_noise")
 
@@ -52,7 +52,7 @@ def classify_noise(df: DataFrame, id_col: str = "doc_id", line_col: str = "line"
     line, blank = F.col(line_col), F.col(line_col) == ""
     order = Window.partitionBy(*_documents(id_col)).orderBy("ord")
     # what several rules need is a column of its own, which the optimizer doesn't compute again for each
-    df = df.withColumn("_low", F.lower(line)).withColumns({"_form": P.heading_form(line), "_terms": P.affiliation_terms(F.col("_low"), rules)})
+    df = df.withColumn("_low", lower(line)).withColumns({"_form": P.heading_form(line), "_terms": P.affiliation_terms(F.col("_low"), rules)})
     own = P.Line(line, F.col("_low"), F.col("_form"), F.col("_terms"))
     known = ~blank & F.col(id_col).isNotNull()
     df = df.withColumns({"_t": known & P.ends_block(own, rules), "_s": known & P.starts_correspondence(own), "_c": F.when(known, P.noise_category(own, rules))}).drop("_low", "_form", "_terms")

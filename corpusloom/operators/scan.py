@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import constants as C
 from corpusloom.functions import predicates as P
 from corpusloom.functions.rules import RULES, Rules
-from corpusloom.functions.text import strip
+from corpusloom.functions.text import lower, strip
 
 #: Places of a block.
 BLOCK_LINES = 200_000
@@ -130,7 +130,7 @@ NOISE_MACHINE = [[0, 1, 0, 1], [1, 1, 0, 0]]
 def classify_noise(df: DataFrame, id_col: str = "doc_id", line_col: str = "line", block_lines: int = BLOCK_LINES, rules: Rules = RULES) -> DataFrame:
     """As lines.classify_noise(), df and `category`, for documents of any number of lines."""
     line, blank = F.col(line_col), F.col(line_col) == ""
-    df = df.withColumn("_low", F.lower(line)).withColumns({"_form": P.heading_form(line), "_terms": P.affiliation_terms(F.col("_low"), rules)})
+    df = df.withColumn("_low", lower(line)).withColumns({"_form": P.heading_form(line), "_terms": P.affiliation_terms(F.col("_low"), rules)})
     own = P.Line(line, F.col("_low"), F.col("_form"), F.col("_terms"))
     known = F.coalesce(~blank, F.lit(False)) & F.col(id_col).isNotNull()
     df = df.withColumns({"_t": known & P.ends_block(own, rules), "_s": known & P.starts_correspondence(own), "_c": F.when(known, P.noise_category(own, rules))}).drop("_low", "_form", "_terms")
@@ -184,7 +184,7 @@ class Joiner:
         hard = (x == "") | P.is_section_heading(x)
         known = F.create_map(*[y for i, w in enumerate(self.pieces, 1) for y in (F.lit(w), F.lit(i))])
         piece = F.coalesce(F.try_element_at(known, form), F.lit(0))
-        low = F.lower(x)
+        low = lower(x)
         bit = lambda flag, i: F.coalesce(flag, F.lit(False)).cast("int") * (1 << i)
         bits = bit(~low.startswith(form), 0) + bit(~low.endswith(form), 1) + bit(F.right(x, F.lit(1)).rlike(r"[.:;?!)\]}]"), 2) + bit(F.length(clean) <= 120, 3)
         bits += bit(x.rlike(r"(?U)\A\s*\d+(?:\.\d+)*\s*\z"), 4)
