@@ -16,6 +16,7 @@ LONG = " ".join(["the first of all the words that stand in it"] * 10)
 #: For each query a row that it has of a text of such lines, and how often.
 QUERIES = {
     "noise_removal": ("category", "correspondence", 3),
+    "noise_removal_blocks": ("category", "correspondence", 3),
     "cleanup_counts": ("correspondence", 3, 1),
 }
 
